@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # White space as web pages use it (wider than Java's \s), ASCII word letters.
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WS_CHARS = " \t\n\u000b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORD = "[0-9A-Za-z_]"
 
 # Street words and their short forms, in the order they are applied.
@@ -38,7 +39,7 @@ def blank_to_null(c: Column) -> Column:
 
 def trim_ws(c: Column) -> Column:
     """Strip every kind of white space from both ends."""
-    return F.regexp_replace(c, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -62,12 +63,13 @@ def normalize_address(c: Column, strict: bool = True) -> Column:
         rf"{WS}*\.?{WS}*{WORD}*\z"
     )
     out = F.regexp_replace(trim_ws(F.lower(c)), designator, "")
-    for word, short in STREET_WORDS.items():
-        if strict and word == "east":
-            word = STRICT_EAST
-        out = F.regexp_replace(out, rf"(?<!{WORD}){word}(?!{WORD})", short)
+    # Whole words and the text between them, so one pass replaces every street word.
+    pieces = F.regexp_extract_all(out, F.lit(rf"{WORD}+|(?:(?!{WORD})(?s:.))+"), F.lit(0))
+    short = {STRICT_EAST if strict and k == "east" else k: v for k, v in STREET_WORDS.items()}
+    lookup = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+    out = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(lookup, w), w)), "")
     out = trim_ws(F.regexp_replace(out, rf"{WS}+", " "))
-    return trim_ws(F.regexp_replace(out, r"[.,]+\z", ""))
+    return trim_ws(F.rtrim(out, F.lit(".,")))
 
 
 _UNIT_SUFFIX = (

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import cell_index, rooms_close
 from ..functions.text import blank_to_null, normalize_address, stable_id
 from ..session import stage
+from .ranking import sorted_position
 
 # Weights, acceptance threshold, score of the posting that founds a unit.
 ADDRESS_POINTS, UNIT_POINTS, CELL_POINTS, ROOM_POINTS = 40, 30, 20, 10
@@ -280,12 +281,12 @@ def founded_unit_id(listing_id: Column) -> Column:
 
 def newest_first() -> list[Column]:
     """Order in which a full run visits postings: newest first, then by id."""
-    return [(-F.unix_micros(F.col("last_seen_at").cast("timestamp"))).alias("pos"), F.col("listing_id")]
+    return [F.col("last_seen_at").desc(), F.col("listing_id")]
 
 
 def oldest_first() -> list[Column]:
     """Order of arrival, for micro-batches."""
-    return [F.unix_micros(F.col("last_seen_at").cast("timestamp")).alias("pos"), F.col("listing_id")]
+    return [F.col("last_seen_at"), F.col("listing_id")]
 
 
 def link_postings(
@@ -310,23 +311,29 @@ def link_postings(
     ``linked`` (unit_id, listing_id) marks postings that already have a unit: they
     found none, and without a match they keep that unit.
     """
-    order = order or newest_first()
-    rows = posting_identity(listings, strict).withColumn("ord", F.struct(*order))
-    columns = ["listing_id", "ord", *IDENTITY]
+    rows = posting_identity(listings, strict)
     if linked is not None:
         kept = linked.groupBy("listing_id").agg(F.min("unit_id").alias("kept_unit"))
         rows = rows.join(kept, "listing_id", "left")
     else:
         rows = rows.withColumn("kept_unit", F.lit(None).cast("string"))
-    rows = stage(rows.select(*columns, "kept_unit"), "postings")
+    rows = sorted_position(
+        rows.select(
+            "listing_id", "last_seen_at", "kept_unit", *IDENTITY,
+            F.concat_ws(
+                "\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in IDENTITY]
+            ).alias("vector"),
+        ),
+        order or newest_first(),
+        "ord",
+    )
 
     nodes = stage(
-        rows.groupBy(*IDENTITY)
+        rows.groupBy("vector", *IDENTITY)
         .agg(
             F.min(F.when(F.col("kept_unit").isNull(), F.col("ord"))).alias("ord"),
-            F.min("ord").alias("node_ord"),
+            F.min("ord").alias("node"),
         )
-        .withColumn("node", F.col("node_ord.listing_id"))
         .withColumn("self_score", match_score("", "")),
         "nodes",
     )
@@ -342,40 +349,41 @@ def link_postings(
         .select("node", "ord", *IDENTITY)
     )
 
-    # Founders a posting can reach: one per address rung, and on the unit+cell rung a
+    # Founders a node can reach: one per address rung, and on the unit+cell rung a
     # handful that are mutually not close, so the list per node is short by geometry.
     reach = (
         _meet(linkable, founders, ["node"], "ord", neighbours_only=False)
         .groupBy("node", "ord")
         .agg(F.max("score").alias("score"))
+        .join(
+            rows.select("ord", F.col("listing_id").alias("founder_id")), "ord"
+        )
         .groupBy("node")
-        .agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord")).alias("founders"))
+        .agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "founder_id")).alias("founders"))
+    )
+    options = (
+        nodes.select("vector", "node", "self_score")
+        .join(existing, "node", "left")
+        .join(reach, "node", "left")
+        .drop("node")
     )
-    options = nodes.select("node", *IDENTITY, "self_score").join(existing, "node", "left").join(reach, "node", "left")
-
-    same_node = F.lit(True)
-    for c in IDENTITY:
-        same_node = same_node & F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}"))
-    founder_ids = founders.select(F.col("ord.listing_id").alias("founder_listing"))
-    joined = (
-        rows.alias("r")
-        .join(options.alias("o"), same_node)
-        .select("r.listing_id", "r.ord", "r.kept_unit", "o.score", "o.unit_ord", "o.founders", "o.self_score")
-        .join(founder_ids, F.col("listing_id") == F.col("founder_listing"), "left")
+    founder_ords = founders.select(F.col("ord").alias("founder_ord"))
+    joined = rows.select("listing_id", "ord", "vector", "kept_unit").join(options, "vector").join(
+        founder_ords, F.col("ord") == F.col("founder_ord"), "left"
     )
-    earlier = F.array_min(F.filter("founders", lambda f: f["ord"] < F.col("ord")))
+    near = F.array_min(F.filter("founders", lambda f: f["ord"] < F.col("ord")))
     alone = F.col("kept_unit").isNull() & (F.col("self_score") < THRESHOLD)
-    founds = F.col("founder_listing").isNotNull() | alone
+    founds = F.col("founder_ord").isNotNull() | alone
     # Same score: the unit that existed before the run wins.
-    by_founder = F.coalesce(-F.col("near.neg") > F.col("score"), F.col("score").isNull()) & F.col("near").isNotNull()
+    by_founder = F.col("near").isNotNull() & F.coalesce(-F.col("near.neg") > F.col("score"), F.lit(True))
     links = (
-        joined.withColumn("near", earlier)
+        joined.withColumn("near", near)
         .withColumn("founds_unit", founds)
         .select(
             "listing_id",
             F.when(founds, founded_unit_id(F.col("listing_id")))
-            .when(by_founder, founded_unit_id(F.col("near.ord.listing_id")))
-            .otherwise(F.coalesce("unit_ord.unit_id", "kept_unit"))
+            .when(by_founder, founded_unit_id(F.col("near.founder_id")))
+            .otherwise(F.col("unit_ord.unit_id"))
             .alias("unit_id"),
             F.when(founds, F.lit(FOUNDER_SCORE))
             .when(by_founder, -F.col("near.neg"))
@@ -384,6 +392,7 @@ def link_postings(
             .alias("match_score"),
             "founds_unit",
         )
+        # A linked posting without a match keeps the unit it has: nothing to write.
         .filter(F.col("match_score").isNotNull())
     )
     return LinkResult(stage(links, "links"), rounds)

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 
 def day_bucket(ts: str | Column, newest_first: bool = False) -> Column:
     """Bucket of a time column: its day, counted in the direction of the order."""
@@ -75,3 +77,29 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """First ``k`` rows of each key by ``order``; map tasks pass on at most ``k`` per key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def sorted_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Staged copy of ``df`` with a bigint that rises with ``order`` (unique, with gaps).
+
+    ``order`` must be unique per row. The sort is range-partitioned on all of it, so
+    equal leading values spread over tasks; the position is fixed by being written.
+    """
+    return stage(df.orderBy(*order).withColumn(name, F.monotonically_increasing_id()), "sorted")
+
+
+def dense_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Staged copy of ``df`` with its 1-based position in the whole table by ``order``."""
+    placed = sorted_position(df, order, "_at")
+    # The upper bits of the position number the sort partition, the lower 33 the row.
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = placed.withColumns({"_part": part, "_row": row})
+    sizes = placed.groupBy("_part").agg((F.max("_row") + 1).alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per sort partition: small whatever the table holds, so safe to broadcast.
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (
+        placed.join(F.broadcast(starts), "_part")
+        .withColumn(name, F.col("_before") + F.col("_row") + 1)
+        .drop("_at", "_part", "_row", "_before")
+    )
