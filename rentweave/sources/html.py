@@ -140,7 +140,7 @@ def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 
 # --- selection -----------------------------------------------------------------------
 
-ELS = F.col("elements")
+ELS = "elements"
 
 
 def element_text(e: Column) -> Column:
@@ -148,7 +148,7 @@ def element_text(e: Column) -> Column:
     return trim_ws(F.substring(F.col("page_text"), e["start"] + 1, e["length"]))
 
 
-def select(where, elements: Column = ELS) -> Column:
+def select(where, elements: Column | str = ELS) -> Column:
     return F.filter(elements, where)
 
 
