@@ -86,6 +86,8 @@ def match_score(a: str, b: str) -> Column:
 def _rung_array(build: bool, kinds, plain_only_accepting: bool) -> Column:
     """Rung keys of a row: ``key``, ``score``, and whether room counts must be close.
 
+    Null entries are rungs the row is not on.
+
     Close rungs carry the whole-number bedroom bin in the key; the build side enters
     the neighbouring bins too, so a difference of 0.5 always meets.
     """
@@ -126,7 +128,7 @@ def _rung_array(build: bool, kinds, plain_only_accepting: bool) -> Column:
                         usable & F.col("bedrooms").isNotNull(), entry(room, base + ROOM_POINTS, True)
                     ).otherwise(nothing)
                 )
-    return F.filter(F.array(*entries), lambda e: e.isNotNull())
+    return F.array(*entries)
 
 
 def _with_rungs(df: DataFrame, keep: list[str], build: bool, neighbours_only: bool) -> DataFrame:
@@ -134,7 +136,7 @@ def _with_rungs(df: DataFrame, keep: list[str], build: bool, neighbours_only: bo
     return df.select(
         *keep, "bedrooms", "bathrooms",
         F.explode(_rung_array(build, kinds, neighbours_only)).alias("rung"),
-    ).select(*keep, "bedrooms", "bathrooms", "rung.*")
+    ).filter(F.col("rung").isNotNull()).select(*keep, "bedrooms", "bathrooms", "rung.*")
 
 
 def _meet(probe: DataFrame, build: DataFrame, keep: list[str], payload: str, neighbours_only: bool) -> DataFrame:

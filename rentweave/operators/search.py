@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .ranking import top_rows
 from .registry import newest_posting
 
@@ -68,13 +69,13 @@ def search_units(
 ) -> DataFrame:
     """One page of search results.
 
-    The page is cut first; posting counts and images are then looked up for its at
-    most 100 units only, which makes the page a safe broadcast.
+    The page is cut first and kept as a table of its own, at most 100 rows, which
+    makes it a safe broadcast; posting counts and images are looked up for it only.
     """
     page = max(1, page)
     limit = min(MAX_LIMIT, max(1, limit))
     found = filter_units(units, **limits).orderBy(*search_order(no_fee_preferred))
-    hits = found.offset((page - 1) * limit).limit(limit)
+    hits = stage(found.offset((page - 1) * limit).limit(limit), "page")
     ids = F.broadcast(hits.select("unit_id"))
     linked = postings.select("unit_id", "listing_id").join(ids, "unit_id", "left_semi")
     details = posting_counts(linked).join(newest_image(linked, listings), "unit_id", "left")

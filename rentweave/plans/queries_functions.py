@@ -42,7 +42,7 @@ WITH p AS ({POSTINGS_SQL}), r AS (SELECT listing_id, {_RAW_SQL} AS raw FROM p)
 SELECT listing_id, {sql_normalize('raw')} AS normalized, {sql_normalize('raw', False)} AS corrected FROM r
 """)
 def normalize_address(spark, sf_dir):
-    p = postings_view(spark, sf_dir)
+    p = postings_view(spark, sf_dir, place=False)
     a, u = F.col("address"), F.coalesce("unit", F.lit(""))
     swap = lambda old, new: F.replace(a, F.lit(old), F.lit(new))
     raw = _pick(
@@ -84,7 +84,7 @@ SELECT listing_id,
 FROM r
 """)
 def split_address_unit(spark, sf_dir):
-    p = postings_view(spark, sf_dir)
+    p = postings_view(spark, sf_dir, place=False)
     a = F.col("address")
     unit = lambda default: F.coalesce("unit", F.lit(default))
     location = _pick(
@@ -112,7 +112,7 @@ FROM p
 """)
 def geo_cell(spark, sf_dir):
     lat, lng = F.col("lat"), F.col("lng")
-    return postings_view(spark, sf_dir).select(
+    return postings_view(spark, sf_dir, place=False).select(
         "listing_id",
         geo.cell_index(lat).alias("cell_lat"),
         geo.cell_index(lng).alias("cell_lng"),
@@ -148,7 +148,7 @@ SELECT listing_id,
 FROM r
 """)
 def parse_money_number(spark, sf_dir):
-    p = postings_view(spark, sf_dir)
+    p = postings_view(spark, sf_dir, place=False)
     key = F.col("orderkey")
     number = _pick(
         key % 5,
@@ -211,7 +211,7 @@ SELECT listing_id,
 FROM r
 """)
 def text_flags(spark, sf_dir):
-    p = postings_view(spark, sf_dir)
+    p = postings_view(spark, sf_dir, place=False)
     cust, key = F.col("custkey"), F.col("orderkey")
     rows = p.select(
         "listing_id",
@@ -313,7 +313,7 @@ FROM p
 def split_geo(spark, sf_dir):
     part = lambda c, zero, junk: F.when(F.col("orderkey") % zero == 0, junk).otherwise(F.col(c).cast("string"))
     pair = F.concat(part("lat", 11, "0"), F.when(F.col("orderkey") % 2 == 0, ";").otherwise(", "), part("lng", 13, "n/a"))
-    rows = postings_view(spark, sf_dir).select(
+    rows = postings_view(spark, sf_dir, place=False).select(
         "listing_id",
         F.when(F.col("lat").isNotNull(), pair).otherwise("unknown").alias("g"),
     )
@@ -329,7 +329,7 @@ SELECT listing_id, coalesce(abs(a - b) <= 0.5, false) AND coalesce(abs(c - d) <=
 """)
 def beds_baths_close(spark, sf_dir):
     key = F.col("orderkey")
-    rows = postings_view(spark, sf_dir).select(
+    rows = postings_view(spark, sf_dir, place=False).select(
         "listing_id",
         F.when(key % 6 != 0, F.col("bedrooms")).alias("a"),
         ((key % 9) * F.lit(0.5)).alias("b"),
@@ -347,7 +347,7 @@ SELECT listing_id, CAST(len(kept) AS BIGINT) AS plausible, CAST(kept[1] AS BIGIN
 """)
 def plausible_rents(spark, sf_dir):
     amounts = F.array((F.col("custkey") % 900).cast("bigint"), F.col("rent_gross").cast("bigint"), F.col("rent_gross").cast("bigint") * 40)
-    kept = postings_view(spark, sf_dir).select("listing_id", F.filter(amounts, plausible_rent).alias("kept"))
+    kept = postings_view(spark, sf_dir, place=False).select("listing_id", F.filter(amounts, plausible_rent).alias("kept"))
     return kept.select(
         "listing_id",
         F.size("kept").cast("bigint").alias("plausible"),
@@ -371,7 +371,7 @@ def kept_images(spark, sf_dir):
             F.concat(F.lit("https://cdn.streeteasy.com/"), F.col("orderkey").cast("string"), F.lit(".jpg"))
         ),
     )
-    return postings_view(spark, sf_dir).select(
+    return postings_view(spark, sf_dir, place=False).select(
         "listing_id", F.array_join(F.filter(images, is_photo), " ").alias("kept")
     )
 
@@ -388,6 +388,6 @@ def min_lease_term(spark, sf_dir):
         F.when(F.col("orderkey") % 2 == 0, "24month").otherwise("open end"),
     )
     months = F.filter(F.transform(cells, text.parse_lease_months), lambda m: m > 0)
-    return postings_view(spark, sf_dir).select(
+    return postings_view(spark, sf_dir, place=False).select(
         "listing_id", F.array_min(months).cast("bigint").alias("lease_term_months")
     )

@@ -16,7 +16,7 @@ from .views import AS_OF, POSTINGS_SQL, SPLIT_DAY, ntz, postings_view
 
 def split_view(spark, sf_dir):
     """Postings of the run, and the known ones."""
-    p = postings_view(spark, sf_dir)
+    p = postings_view(spark, sf_dir, place=False)
     day = ntz(SPLIT_DAY)
     return p.filter(F.col("last_seen_at") >= day), p.filter(F.col("last_seen_at") < day)
 
@@ -170,7 +170,7 @@ SELECT listing_id, last_seen_at, row_number() OVER (ORDER BY last_seen_at DESC,
 def unlinked_ranked(spark, sf_dir):
     _, old = split_view(spark, sf_dir)
     postings = old.select(F.col("listing_id").alias("unit_id"), "listing_id")
-    todo = unlinked(postings_view(spark, sf_dir), postings).select("listing_id", "last_seen_at")
+    todo = unlinked(postings_view(spark, sf_dir, place=False), postings).select("listing_id", "last_seen_at")
     return dense_position(todo, linkage.newest_first(), "position")
 
 
@@ -209,7 +209,7 @@ FROM v JOIN final f ON f.pos = v.pos LEFT JOIN picked ON picked.pos = v.pos AND
 JOIN v w ON w.pos = CASE WHEN f.mark = 1 THEN v.pos ELSE picked.founder END
 """)
 def link_units(spark, sf_dir):
-    return linkage.link_postings(postings_view(spark, sf_dir), spark.createDataFrame([], UNITS)).links
+    return linkage.link_postings(postings_view(spark, sf_dir, place=False), spark.createDataFrame([], UNITS)).links
 
 
 @query()

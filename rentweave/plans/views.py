@@ -24,18 +24,27 @@ def ntz(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def postings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings_view(spark: SparkSession, sf_dir: str, place: bool = True) -> DataFrame:
+    """Orders as postings; without ``place`` there is no join, and borough and neighborhood are null."""
     orders = table(spark, sf_dir, "orders")
-    place = (
+    if not place:
+        return _posting_columns(
+            orders.withColumns({"neighborhood": F.lit(None).cast("string"), "borough": F.lit(None).cast("string")})
+        )
+    places = (
         table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("c_custkey", F.col("n_name").alias("neighborhood"), F.col("r_name").alias("borough"))
     )
+    return _posting_columns(orders.join(places, F.col("o_custkey") == F.col("c_custkey"), "left"))
+
+
+def _posting_columns(orders: DataFrame) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     listing_id = F.lpad(key.cast("string"), 12, "0")
     image = lambda n: F.concat(F.lit("img/"), (cust % n).cast("string"), F.lit(".jpg"))
-    return orders.join(place, cust == F.col("c_custkey"), "left").select(
+    return orders.select(
         listing_id.alias("listing_id"),
         F.col("o_orderpriority").alias("source"),
         F.concat(F.lit("u/"), cust.cast("string")).alias("source_url"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,30 +112,43 @@ def shred(markup: str | None) -> tuple[str | None, list[dict] | None]:
     return parser.finish()
 
 
+_ARROW_ELEMENTS = pa.list_(
+    pa.struct(
+        [
+            ("seq", pa.int32()), ("end_seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
+            ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
+            ("start", pa.int32()), ("length", pa.int32()),
+        ]
+    )
+)
+
+
 def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace the markup column by ``page_text`` and ``elements``; one row per page.
 
     Small output chunks keep a batch of large pages within a worker's memory.
     """
-    fields = [f for f in pages.schema.fields if f.name != html]
+    carried = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType(
-        [
-            *fields,
-            T.StructField("page_text", T.StringType()),
-            T.StructField("elements", T._parse_datatype_string(ELEMENTS)),
-        ]
+        [*carried, T.StructField("page_text", T.StringType()), T.StructField("elements", T._parse_datatype_string(ELEMENTS))]
     )
+    names = [f.name for f in carried]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                shredded = [shred(m) for m in part[html]]
-                yield part.drop(columns=html).assign(
-                    page_text=[s[0] for s in shredded], elements=[s[1] for s in shredded]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                shredded = [shred(m) for m in part.column(html).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(n) for n in names],
+                        pa.array([s[0] for s in shredded], pa.string()),
+                        pa.array([s[1] for s in shredded], _ARROW_ELEMENTS),
+                    ],
+                    names=[*names, "page_text", "elements"],
                 )
 
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 # --- selection -----------------------------------------------------------------------

@@ -21,23 +21,12 @@ NO_BROKERAGE, BROKERAGE = "not charging a brokerage fee", "charging a brokerage
 IMAGE_HOST, IMAGE_FOLDER = "images.leasebreak.com", "uploads"
 
 
-def _labelled_value(label: Column, *classes: str) -> Column:
-    """Text of the first value element in the label's nearest enclosing div ('' if none)."""
-    around = F.filter(
-        ELS, lambda d: (d["tag"] == "div") & (d["seq"] <= label["seq"]) & (label["seq"] < d["end_seq"])
-    )
-    values = F.filter(
-        ELS,
-        lambda e: inside(e, last(around)) & F.arrays_overlap(e["classes"], F.array(*[F.lit(c) for c in classes])),
-    )
-    return F.coalesce(element_text(first(values)), F.lit(""))
-
-
-def _after(heads: Column) -> Column:
+def _after(heads: str) -> Column:
     """Elements on the same level behind any of the heads, in document order."""
-    return F.filter(
+    behind = F.filter(
         ELS, lambda e: F.exists(heads, lambda h: (h["parent"] == e["parent"]) & (h["seq"] < e["seq"]))
     )
+    return F.when(F.size(heads) > 0, behind).otherwise(F.filter(ELS, lambda e: F.lit(False)))
 
 
 def _last_hit(values: Column, rule) -> Column:
@@ -51,31 +40,58 @@ def parse_sublet_pages(pages: DataFrame) -> DataFrame:
     raw_price = parse_money(extract(F.col("html"), rf"(?i)(\${WS}*[\d,]+){WS}*/{WS}*mo"))
     shredded = shred_pages(pages.withColumn("raw_price", raw_price))
 
-    labels = F.transform(
-        select(classed(LABEL)),
-        lambda e: F.struct(
-            element_text(e).alias("label"),
-            _labelled_value(e, VALUE).alias("value"),
-            _labelled_value(e, VALUE, DATE).alias("when"),
-        ),
+    # Whatever a lambda looks up is a column of an earlier step, so that it is computed
+    # once per page and not once per element.
+    def heading(text: str) -> Column:
+        return select(lambda e: (e["tag"] == "h2") & (element_text(e) == text))
+
+    marked = shredded.withColumns(
+        {
+            "icons": select(classed(LABEL)),
+            "values": select(lambda e: classed(VALUE)(e) | classed(DATE)(e)),
+            "divs": select(tagged("div")),
+            "table": first(select(tagged("table"))),
+            "details_heads": heading(DETAILS_HEADING),
+            "features_heads": heading(FEATURES_HEADING),
+        }
+    )
+    enclosing = lambda e: last(
+        F.filter("divs", lambda d: (d["seq"] <= e["seq"]) & (e["seq"] < d["end_seq"]))
     )
-    heading = lambda text: select(lambda e: (e["tag"] == "h2") & (element_text(e) == text))
-    table = first(select(tagged("table")))
-    staged = shredded.withColumns(
+    boxed = marked.withColumns(
         {
-            "labels": labels,
-            "rows": select(lambda e: (e["tag"] == "tr") & inside(e, table)),
-            "behind_details": _after(heading(DETAILS_HEADING)),
-            "feature_box": first(F.filter(_after(heading(FEATURES_HEADING)), tagged("ul", "div"))),
+            "boxes": F.when(
+                F.size("divs") > 0,
+                F.transform("icons", lambda e: F.struct(element_text(e).alias("label"), enclosing(e).alias("box"))),
+            ),
+            "rows": select(lambda e: (e["tag"] == "tr") & inside(e, F.col("table"))),
+            "cells": select(lambda e: (e["tag"] == "td") & inside(e, F.col("table"))),
+            "behind_details": _after("details_heads"),
+            "feature_box": first(F.filter(_after("features_heads"), tagged("ul", "div"))),
         }
-    ).withColumn(
-        "features",
-        F.filter(
-            F.transform(
-                select(lambda e: e["tag"].isin("li", "span") & inside(e, F.col("feature_box"))), element_text
+    )
+
+    def boxed_text(box: Column, *names: str) -> Column:
+        hit = lambda e: inside(e, box) & F.arrays_overlap(e["classes"], F.array(*[F.lit(n) for n in names]))
+        return F.coalesce(element_text(first(F.filter("values", hit))), F.lit(""))
+
+    staged = boxed.withColumns(
+        {
+            "labels": F.transform(
+                "boxes",
+                lambda x: F.struct(
+                    x["label"].alias("label"),
+                    boxed_text(x["box"], VALUE).alias("value"),
+                    boxed_text(x["box"], VALUE, DATE).alias("when"),
+                ),
             ),
-            lambda t: (F.length(t) > 0) & (F.length(t) < 100),
-        ),
+            "features": F.filter(
+                F.transform(
+                    select(lambda e: e["tag"].isin("li", "span") & inside(e, F.col("feature_box"))), element_text
+                ),
+                lambda t: (F.length(t) > 0) & (F.length(t) < 100),
+            ),
+        }
     )
 
     location = F.transform(F.split(first_text(classed(LOCATION)), ","), trim_ws)
@@ -85,7 +101,7 @@ def parse_sublet_pages(pages: DataFrame) -> DataFrame:
     )["value"]
 
     def cells(row: Column) -> Column:
-        return select(lambda e: (e["tag"] == "td") & inside(e, row))
+        return F.filter("cells", lambda e: inside(e, row))
 
     second_cells = cells(F.try_element_at("rows", F.lit(2)))
     table_price = parse_money(element_text(F.try_element_at(second_cells, F.lit(2))))
