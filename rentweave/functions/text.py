@@ -44,7 +44,7 @@ def trim_ws(c: Column) -> Column:
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """First match of a group, null when there is none."""
-    return F.when(F.regexp_like(c, F.lit(pattern)), F.regexp_extract(c, pattern, group))
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def has(c: Column, text: str) -> Column:

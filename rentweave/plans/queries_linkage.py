@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import linkage
-from ..operators.ranking import dense_position
-from ..operators.registry import append_changes, attach_changes, unlinked
+from ..operators.ranking import dense_position, top_rows
+from ..operators.registry import append_changes, attach_changes, unlinked, update_freshness
+from ..operators.search import filter_units
 from ..session import checkpoint_root
 from ..schemas import POSTINGS, UNITS
 from .catalog import query, sql_cell, sql_normalize
-from .run import link_arrivals
+from .run import link_arrivals, link_new
 from .views import AS_OF, POSTINGS_SQL, SPLIT_DAY, ntz, postings_view
 
 
@@ -174,12 +175,13 @@ def unlinked_ranked(spark, sf_dir):
     return dense_position(todo, linkage.newest_first(), "position")
 
 
-@query(f"""
-WITH RECURSIVE {IDENTITY_SQL.split(', old AS')[0].replace(chr(10) + 'old AS', chr(10) + 'old_ AS')},
+# The sequential visit as a recursion over rounds on the explicit pair graph.
+LINK_SQL = f"""
+{IDENTITY_SQL.split("," + chr(10) + "old AS")[0]},
 v AS MATERIALIZED (SELECT listing_id, addr, unit_key, cell_lat, cell_lng, bedrooms, bathrooms,
                           row_number() OVER (ORDER BY last_seen_at DESC, listing_id) AS pos FROM keyed),
 e AS MATERIALIZED (
-  SELECT DISTINCT n.pos AS later, o.pos AS earlier, {SCORE_SQL} AS score
+  SELECT n.pos AS later, o.pos AS earlier, {SCORE_SQL} AS score
   FROM v n JOIN v o ON o.pos < n.pos AND n.addr = o.addr AND n.unit_key = o.unit_key
   UNION
   SELECT n.pos, o.pos, {SCORE_SQL} FROM v n JOIN v o
@@ -201,17 +203,46 @@ state AS (
   WHERE EXISTS (SELECT 1 FROM state u WHERE u.mark = 0)),
 final AS (SELECT pos, mark FROM state WHERE round = (SELECT max(round) FROM state)),
 picked AS (SELECT e.later AS pos, e.earlier AS founder, e.score FROM e JOIN final f ON f.pos = e.earlier AND f.mark = 1
-           QUALIFY row_number() OVER (PARTITION BY e.later ORDER BY e.score DESC, e.earlier) = 1)
-SELECT v.listing_id, sha256('unit' || chr(1) || w.listing_id) AS unit_id,
-       CASE WHEN f.mark = 1 THEN CAST(100 AS DOUBLE) ELSE CAST(picked.score AS DOUBLE) END AS match_score,
-       f.mark = 1 AS founds_unit
-FROM v JOIN final f ON f.pos = v.pos LEFT JOIN picked ON picked.pos = v.pos AND f.mark = 2
-JOIN v w ON w.pos = CASE WHEN f.mark = 1 THEN v.pos ELSE picked.founder END
-""")
+           QUALIFY row_number() OVER (PARTITION BY e.later ORDER BY e.score DESC, e.earlier) = 1),
+linked AS (
+  SELECT v.listing_id, w.listing_id AS founder, sha256('unit' || chr(1) || w.listing_id) AS unit_id,
+         CASE WHEN f.mark = 1 THEN CAST(100 AS DOUBLE) ELSE CAST(picked.score AS DOUBLE) END AS match_score,
+         f.mark = 1 AS founds_unit
+  FROM v JOIN final f ON f.pos = v.pos LEFT JOIN picked ON picked.pos = v.pos AND f.mark = 2
+  JOIN v w ON w.pos = CASE WHEN f.mark = 1 THEN v.pos ELSE picked.founder END)"""
+
+
+@query(f"WITH RECURSIVE {LINK_SQL} SELECT listing_id, unit_id, match_score, founds_unit FROM linked")
 def link_units(spark, sf_dir):
     return linkage.link_postings(postings_view(spark, sf_dir, place=False), spark.createDataFrame([], UNITS)).links
 
 
+@query(f"""
+WITH RECURSIVE {LINK_SQL},
+newest AS (SELECT l.unit_id, l.founder, k.borough, k.neighborhood, k.bedrooms, k.rent_gross, k.broker_fee, k.last_seen_at
+           FROM linked l JOIN keyed k ON k.listing_id = l.listing_id
+           QUALIFY row_number() OVER (PARTITION BY l.unit_id ORDER BY k.last_seen_at DESC, k.listing_id) = 1)
+SELECT n.borough, CAST(row_number() OVER w AS BIGINT) AS place, n.unit_id, f.addr AS address, n.neighborhood, n.bedrooms,
+       n.rent_gross, n.last_seen_at,
+       CASE WHEN n.last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY THEN 'active' ELSE 'unknown' END AS active_state
+FROM newest n JOIN keyed f ON f.listing_id = n.founder
+WHERE n.broker_fee = false AND n.bedrooms >= 2 AND n.last_seen_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY
+WINDOW w AS (PARTITION BY n.borough ORDER BY n.rent_gross, n.unit_id) QUALIFY row_number() OVER w <= 5
+""")
+def cheapest_no_fee_units(spark, sf_dir):
+    """Flagship: cheapest no-fee units with two bedrooms or more, per borough, seen in the last 14 days."""
+    listings = postings_view(spark, sf_dir)
+    none = spark.createDataFrame([], UNITS), spark.createDataFrame([], POSTINGS)
+    run = link_new(listings, *none, ntz(AS_OF))
+    units = update_freshness(run.units, ntz(AS_OF)).filter(F.col("active_state") != "stale")
+    found = filter_units(units, min_beds=2.0).filter(~F.col("broker_fee"))
+    best = top_rows(found, ["borough"], [F.col("best_rent_gross"), F.col("unit_id")], 5, "place")
+    return best.select(
+        "borough", F.col("place").cast("bigint").alias("place"), "unit_id", F.col("canonical_address").alias("address"),
+        "neighborhood", "bedrooms", F.col("best_rent_gross").alias("rent_gross"), "last_seen_at", "active_state",
+    )
+
+
 @query()
 def relink_batch(spark, sf_dir):
     """Newer postings arrive one by one at the units of the older ones; some are linked already."""

@@ -7,8 +7,9 @@ page text instead of carrying their own copy, so nested markup costs no extra sp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,87 +41,118 @@ _CLOSES = {
 }
 
 
-class _Shredder(HTMLParser):
-    """Collects elements in document order with their text ranges."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
-        self.open: list[int] = []
-        self.text: list[str] = []
-        self.length = 0
-
-    def handle_starttag(self, tag, attrs):
-        closes, stops = _CLOSES.get(tag, ((), ()))
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.elements[self.open[depth]]["tag"]
-            if name in closes:
-                self._close(depth)
-            elif name in stops:
-                break
-        values: dict[str, str] = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
-        seq = len(self.elements)
-        self.elements.append(
-            {
-                "seq": seq,
-                "end_seq": seq + 1,
-                "parent": self.open[-1] if self.open else -1,
-                "tag": tag,
-                "classes": values.get("class", "").split(),
-                "attrs": list(values.items()),
-                "start": self.length,
-                "length": 0,
-            }
-        )
-        if tag not in VOID:
-            self.open.append(seq)
-
-    def handle_startendtag(self, tag, attrs):
-        # A slash closes nothing in HTML, except on tags without content.
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[depth]]["tag"] == tag:
-                self._close(depth)
-                return
-
-    def handle_data(self, data):
-        self.text.append(data)
-        self.length += len(data)
-
-    def _close(self, depth: int) -> None:
-        for seq in self.open[depth:]:
-            element = self.elements[seq]
-            element["end_seq"] = len(self.elements)
-            element["length"] = self.length - element["start"]
-        del self.open[depth:]
-
-    def finish(self) -> tuple[str, list[dict]]:
-        self.close()
-        self._close(0)
-        return "".join(self.text), self.elements
-
-
-def shred(markup: str | None) -> tuple[str | None, list[dict] | None]:
-    if markup is None:
-        return None, None
-    parser = _Shredder()
-    parser.feed(markup)
-    return parser.finish()
-
-
-_ARROW_ELEMENTS = pa.list_(
-    pa.struct(
-        [
-            ("seq", pa.int32()), ("end_seq", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
-            ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
-            ("start", pa.int32()), ("length", pa.int32()),
-        ]
-    )
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>?""", re.S
 )
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+# Tags whose content is text only, with and without character references.
+_RAW_TEXT, _PLAIN_TEXT = frozenset(("script", "style")), frozenset(("title", "textarea"))
+
+
+def _attributes(text: str) -> dict[str, str]:
+    values: dict[str, str] = {}
+    for name, double, single, bare in _ATTRIBUTE.findall(text):
+        value = double or single or bare
+        values.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    return values
+
+
+def shred(markup: str) -> tuple[str, list[list]]:
+    """Page text and elements [tag, parent, end_seq, attributes, start, length] in document order."""
+    elements: list[list] = []
+    opened: list[int] = []
+    texts: list[str] = []
+    length = 0
+    at, size = 0, len(markup)
+
+    def close(depth: int) -> None:
+        for seq in opened[depth:]:
+            element = elements[seq]
+            element[2] = len(elements)
+            element[5] = length - element[4]
+        del opened[depth:]
+
+    def add_text(text: str, references: bool = True) -> None:
+        nonlocal length
+        if text:
+            text = unescape(text) if references and "&" in text else text
+            texts.append(text)
+            length += len(text)
+
+    while at < size:
+        token = _TOKEN.search(markup, at)
+        if token is None:
+            break
+        add_text(markup[at : token.start()])
+        at = token.end()
+        closing, tag, rest = token.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if closing:
+            for depth in range(len(opened) - 1, -1, -1):
+                if elements[opened[depth]][0] == tag:
+                    close(depth)
+                    break
+            continue
+        rules = _CLOSES.get(tag)
+        if rules:
+            closes, stops = rules
+            for depth in range(len(opened) - 1, -1, -1):
+                name = elements[opened[depth]][0]
+                if name in closes:
+                    close(depth)
+                elif name in stops:
+                    break
+        seq = len(elements)
+        elements.append(
+            [tag, opened[-1] if opened else -1, seq + 1, _attributes(rest) if rest else {}, length, 0]
+        )
+        if tag in VOID:
+            continue
+        opened.append(seq)
+        if tag in _RAW_TEXT or tag in _PLAIN_TEXT:
+            end = re.compile(f"</{tag}", re.I).search(markup, at)
+            stop = end.start() if end else size
+            add_text(markup[at:stop], tag in _PLAIN_TEXT)
+            at = stop
+    add_text(markup[at:])
+    close(0)
+    return "".join(texts), elements
+
+
+def _offsets(sizes: list[int | None]) -> pa.Array:
+    """Arrow list offsets; a null size marks a null list."""
+    out, total = [], 0
+    for n in sizes:
+        out.append(total if n is not None else None)
+        total += n or 0
+    return pa.array([*out, total], pa.int32())
+
+
+def _element_array(pages: list[list[list] | None]) -> pa.Array:
+    """Arrow form of the elements of some pages."""
+    flat = [e for elements in pages if elements for e in elements]
+    seqs = [i for elements in pages if elements for i in range(len(elements))]
+    classes = [e[3]["class"].split() if "class" in e[3] else [] for e in flat]
+    columns = {
+        "seq": pa.array(seqs, pa.int32()),
+        "end_seq": pa.array([e[2] for e in flat], pa.int32()),
+        "parent": pa.array([e[1] for e in flat], pa.int32()),
+        "tag": pa.array([e[0] for e in flat], pa.string()),
+        "classes": pa.ListArray.from_arrays(
+            _offsets([len(c) for c in classes]), pa.array([x for c in classes for x in c], pa.string())
+        ),
+        "attrs": pa.MapArray.from_arrays(
+            _offsets([len(e[3]) for e in flat]),
+            pa.array([k for e in flat for k in e[3]], pa.string()),
+            pa.array([v for e in flat for v in e[3].values()], pa.string()),
+        ),
+        "start": pa.array([e[4] for e in flat], pa.int32()),
+        "length": pa.array([e[5] for e in flat], pa.int32()),
+    }
+    structs = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(_offsets([None if p is None else len(p) for p in pages]), structs)
 
 
 def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -138,12 +170,12 @@ def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                shredded = [shred(m) for m in part.column(html).to_pylist()]
+                shredded = [(None, None) if m is None else shred(m) for m in part.column(html).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(n) for n in names],
                         pa.array([s[0] for s in shredded], pa.string()),
-                        pa.array([s[1] for s in shredded], _ARROW_ELEMENTS),
+                        _element_array([s[1] for s in shredded]),
                     ],
                     names=[*names, "page_text", "elements"],
                 )
