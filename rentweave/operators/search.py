@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ranking import top_rows
 from .registry import newest_posting
 
 # Page size when none is asked for, and the largest one.
@@ -109,58 +108,76 @@ def search_meta(units: DataFrame, page: int = 1, limit: int = DEFAULT_LIMIT, **l
 
 
 _ANY = "\u0002any"
+# Rents as unsigned 32-bit numbers, cut into blocks of 16, 16^2, ... values.
+_RENT_SHIFT, _BITS, _LEVELS = 1 << 31, 4, 9
+_ANY_RENT = -1
 
 
-def match_saved_searches(searches: DataFrame, units: DataFrame, k: int = DEFAULT_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Every active saved search run over all units: (total hits, newest ``k`` hits).
+def _block(level: int, index: Column) -> Column:
+    return F.lit(level << 33) + index
 
-    Units shrink to one row per place, rent and bedroom count (hits, newest ``k``);
-    searches shrink to their distinct limits. The two meet by equi-join on the place,
-    where a search without one looks under a wildcard that every unit also enters.
-    """
-    active = searches.filter("is_active")
-    place = lambda c: F.coalesce(F.col(c), F.lit(_ANY))
-    limits = (
-        active.select(
-            F.coalesce(F.nullif("borough", F.lit("")), F.lit(_ANY)).alias("at_borough"),
-            F.coalesce(F.nullif("neighborhood", F.lit("")), F.lit(_ANY)).alias("at_hood"),
-            "max_rent", "min_beds", "search_id",
-        )
-    )
-    distinct = limits.select("at_borough", "at_hood", "max_rent", "min_beds").distinct()
-
-    cells = ["borough", "neighborhood", "best_rent_gross", "bedrooms"]
-    counts = units.groupBy(*cells).agg(F.count(F.lit(1)).alias("n"))
-    newest = top_rows(
-        units.select("unit_id", "last_seen_at", *cells), cells, search_order(), k, "_at"
-    ).drop("_at")
-
-    def spread(df: DataFrame) -> DataFrame:
-        pair = lambda c: F.array_distinct(F.array(place(c), F.lit(_ANY)))
-        return (
-            df.withColumn("at_borough", F.explode(pair("borough")))
-            .withColumn("at_hood", F.explode(pair("neighborhood")))
-        )
 
-    within = (F.col("max_rent").isNull() | (F.col("best_rent_gross") <= F.col("max_rent"))) & (
-        F.col("min_beds").isNull() | (F.col("bedrooms") >= F.col("min_beds"))
-    )
-    key = ["at_borough", "at_hood", "max_rent", "min_beds"]
+def _blocks_holding(rent: Column) -> Column:
+    """Every block a rent lies in, one per level, and the block of all rents (also unknown ones)."""
+    x = rent.cast("bigint") + _RENT_SHIFT
+    levels = [_block(n, F.shiftright(x, _BITS * n)) for n in range(_LEVELS)]
+    known = F.when(rent.isNotNull(), F.array(*levels)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(known, F.array(F.lit(_ANY_RENT).cast("bigint")))
 
-    def meet(df: DataFrame) -> DataFrame:
-        return distinct.join(spread(df), ["at_borough", "at_hood"]).filter(within)
 
-    totals = meet(counts).groupBy(*key).agg(F.sum("n").alias("total"))
-    hits = top_rows(meet(newest), key, search_order(), k, "ord").select(*key, "ord", "unit_id", "last_seen_at")
+def _blocks_up_to(limit: Column) -> Column:
+    """Disjoint blocks that together hold exactly the rents up to ``limit``."""
+    x = limit.cast("bigint") + (_RENT_SHIFT + 1)
+    parts = []
+    for n in range(_LEVELS):
+        digit = F.shiftright(x, _BITS * n).bitwiseAND(F.lit((1 << _BITS) - 1))
+        base = F.shiftleft(F.shiftright(x, _BITS * (n + 1)), _BITS)
+        span = F.sequence(_block(n, base), _block(n, base + digit - 1))
+        parts.append(F.when(digit > 0, span).otherwise(F.array().cast("array<bigint>")))
+    return F.when(limit.isNotNull(), F.concat(*parts)).otherwise(F.array(F.lit(_ANY_RENT).cast("bigint")))
 
-    def per_search(df: DataFrame, how: str) -> DataFrame:
-        right = df.select(*[F.col(c).alias(f"k_{c}") for c in key], *[c for c in df.columns if c not in key])
-        same = F.lit(True)
-        for c in key:
-            same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-        return limits.join(right, same, how)
 
-    return (
-        per_search(totals, "left").select("search_id", F.coalesce("total", F.lit(0)).alias("total")),
-        per_search(hits, "inner").select("search_id", "ord", "unit_id", "last_seen_at"),
+def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
+    """Every active saved search run over all units: total hits and the newest one.
+
+    No search is compared with single units. Units are summed up per place, block of
+    rents and bedroom count; a search reads the few blocks that make up its rent range
+    (equi-join on place and block) under its place, or under a wildcard place that
+    every unit also enters. Searches shrink to their distinct limits first.
+    """
+    active = searches.filter("is_active")
+    limits = active.select(
+        F.coalesce(F.nullif("borough", F.lit("")), F.lit(_ANY)).alias("at_borough"),
+        F.coalesce(F.nullif("neighborhood", F.lit("")), F.lit(_ANY)).alias("at_hood"),
+        "max_rent", "min_beds", "search_id",
+    )
+    key = ["at_borough", "at_hood", "max_rent", "min_beds"]
+    asked = limits.select(*key).distinct().withColumn("block", F.explode(_blocks_up_to(F.col("max_rent"))))
+
+    age = -F.unix_micros(F.col("last_seen_at").cast("timestamp"))
+    places = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(_ANY)), F.lit(_ANY)))
+    summed = (
+        units.groupBy("borough", "neighborhood", "best_rent_gross", "bedrooms")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(age.alias("age"), "unit_id", "last_seen_at")).alias("newest"))
+        .withColumn("at_borough", F.explode(places("borough")))
+        .withColumn("at_hood", F.explode(places("neighborhood")))
+        .withColumn("block", F.explode(_blocks_holding(F.col("best_rent_gross"))))
+        .groupBy("at_borough", "at_hood", "block", "bedrooms")
+        .agg(F.sum("n").alias("n"), F.min("newest").alias("newest"))
+    )
+    hits = (
+        asked.join(summed, ["at_borough", "at_hood", "block"])
+        .filter(F.col("min_beds").isNull() | (F.col("bedrooms") >= F.col("min_beds")))
+        .groupBy(*key)
+        .agg(F.sum("n").alias("total"), F.min("newest").alias("newest"))
+        .select(*[F.col(c).alias(f"k_{c}") for c in key], "total", "newest")
+    )
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    return limits.join(hits, same, "left").select(
+        "search_id",
+        F.coalesce("total", F.lit(0)).alias("total"),
+        F.col("newest.unit_id").alias("newest_unit_id"),
+        F.col("newest.last_seen_at").alias("newest_seen_at"),
     )

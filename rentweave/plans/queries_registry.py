@@ -304,20 +304,14 @@ hits AS (SELECT s.search_id, u.unit_id, u.last_seen_at FROM s JOIN units u
          WHERE s.is_active)"""
 
 
-@query(f"""{_HITS_SQL}
-SELECT s.search_id, count(h.unit_id) AS total FROM s LEFT JOIN hits h ON h.search_id = s.search_id WHERE s.is_active GROUP BY 1
-""")
-def saved_search_totals(spark, sf_dir):
-    return search.match_saved_searches(searches_view(spark, sf_dir), refreshed(spark, sf_dir)[0])[0]
-
-
-@query(f"""{_HITS_SQL}
-SELECT search_id, CAST(row_number() OVER w AS BIGINT) AS ord, unit_id, last_seen_at FROM hits
-WINDOW w AS (PARTITION BY search_id ORDER BY last_seen_at DESC, unit_id) QUALIFY row_number() OVER w <= 20
+@query(f"""{_HITS_SQL},
+t AS (SELECT search_id, count(*) AS total FROM hits GROUP BY 1),
+n AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY last_seen_at DESC, unit_id) = 1)
+SELECT s.search_id, coalesce(t.total, 0) AS total, n.unit_id AS newest_unit_id, n.last_seen_at AS newest_seen_at
+FROM s LEFT JOIN t ON t.search_id = s.search_id LEFT JOIN n ON n.search_id = s.search_id WHERE s.is_active
 """)
 def saved_search_matches(spark, sf_dir):
-    hits = search.match_saved_searches(searches_view(spark, sf_dir), refreshed(spark, sf_dir)[0])[1]
-    return hits.withColumn("ord", F.col("ord").cast("bigint"))
+    return search.match_saved_searches(searches_view(spark, sf_dir), refreshed(spark, sf_dir)[0])
 
 
 @query(f"""
