@@ -15,7 +15,7 @@ def _stem(suffix: str) -> Column:
 def read_json_folder(spark: SparkSession, folder: str, source: str) -> DataFrame:
     """One raw record per ``.json`` file; the file stem is the source's own id."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(folder)
+        spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         .select(
             F.lit(source).alias("source"),
             F.col("_metadata.file_path").alias("source_url"),
@@ -42,7 +42,7 @@ def attach_sidecar_urls(pages: DataFrame, sidecars: DataFrame) -> DataFrame:
 def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Saved ``.html`` pages (url, html), urls from ``.url`` sidecar files where present."""
     pages = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(folder)
+        spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
         .select(
             _stem("html").alias("stem"),
             F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("path"),
@@ -50,7 +50,7 @@ def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     sidecars = (
-        spark.read.option("wholetext", True).option("pathGlobFilter", "*.url").text(folder)
+        spark.read.option("pathGlobFilter", "*.url").text(folder, wholetext=True)
         .select(_stem("url").alias("stem"), F.col("value").alias("text"))
     )
     return attach_sidecar_urls(pages, sidecars).select("url", "html")

@@ -149,10 +149,10 @@ def run_spark(spark, listings, units, kept=None):
     return {r.listing_id: (founded.get(r.unit_id, r.unit_id), int(r.match_score)) for r in result.links.collect()}
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(3))
 def test_matches_sequential_loop(spark, seed):
     rng = random.Random(seed)
-    listings, units = random_case(rng, 250, rng.choice([0, 15]))
+    listings, units = random_case(rng, 200, seed * 10)
     assert run_spark(spark, listings, units) == sequential(listings, units)
 
 
