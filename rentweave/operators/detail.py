@@ -26,7 +26,10 @@ def unit_postings(units: DataFrame, postings: DataFrame, listings: DataFrame) ->
     posted = postings.select("unit_id", "listing_id", "match_score").join(
         listings.select("listing_id", *[F.col(c).alias(f"posting_{c}") for c in shown]), "listing_id", "left"
     )
-    return units.join(posted, "unit_id", "left")
+    # Not a left join: only the unit side of one could be split when a unit holds very
+    # many postings, and here it is the posting side that has to be.
+    alone = units.join(postings.select("unit_id").distinct(), "unit_id", "left_anti")
+    return units.join(posted, "unit_id").unionByName(alone, allowMissingColumns=True)
 
 
 def latest_changes(changes: DataFrame, k: int = SHOWN_CHANGES) -> DataFrame:

@@ -83,52 +83,37 @@ def match_score(a: str, b: str) -> Column:
     )
 
 
+_RUNG_PARTS = {"addr": "addr", "unit": "unit_key", "cell": "concat(string(cell_lat), ',', string(cell_lng))"}
+_RUNG_KNOWN = {"addr": "addr IS NOT NULL", "unit": "unit_key IS NOT NULL", "cell": "cell_lat IS NOT NULL"}
+
+
 def _rung_array(build: bool, kinds, plain_only_accepting: bool) -> Column:
     """Rung keys of a row: ``key``, ``score``, and whether room counts must be close.
 
-    Null entries are rungs the row is not on.
-
-    Close rungs carry the whole-number bedroom bin in the key; the build side enters
-    the neighbouring bins too, so a difference of 0.5 always meets.
+    Null entries are rungs the row is not on. Close rungs carry the whole-number bedroom
+    bin in the key; the build side enters the neighbouring bins too, so a difference of
+    0.5 always meets.
     """
-    parts = {
-        "addr": F.col("addr"),
-        "unit": F.col("unit_key"),
-        "cell": F.concat_ws(",", F.col("cell_lat").cast("string"), F.col("cell_lng").cast("string")),
-    }
-    known = {
-        "addr": F.col("addr").isNotNull(),
-        "unit": F.col("unit_key").isNotNull(),
-        "cell": F.col("cell_lat").isNotNull(),
-    }
-    nothing = F.lit(None).cast("struct<key:string,score:int,close:boolean>")
     entries = []
     for kind in kinds:
         base = sum(_POINTS[k] for k in kind)
-        usable = F.lit(True)
-        for k in kind:
-            usable = usable & known[k]
         name = "+".join(kind)
-        text = [parts[k] for k in kind]
+        known = " AND ".join(_RUNG_KNOWN[k] for k in kind)
+        parts = ", ".join(_RUNG_PARTS[k] for k in kind)
 
-        def entry(label: Column, score: int, close: bool) -> Column:
-            return F.struct(
-                F.concat_ws("\u0001", label, *text).alias("key"),
-                F.lit(score).alias("score"),
-                F.lit(close).alias("close"),
+        def entry(condition: str, label: str, score: int, close: bool) -> str:
+            return (
+                f"CASE WHEN {condition} THEN named_struct('key', concat_ws('\\u0001', {label}, {parts}), "
+                f"'score', {score}, 'close', {str(close).lower()}) END"
             )
 
         if base >= THRESHOLD:
-            entries.append(F.when(usable, entry(F.lit(name), base, False)).otherwise(nothing))
+            entries.append(entry(known, f"'{name}'", base, False))
         if base < THRESHOLD or not plain_only_accepting:
             for shift in (-1, 0, 1) if build else (0,):
-                room = F.concat_ws("@", F.lit(name), (F.floor("bedrooms") + shift).cast("string"))
-                entries.append(
-                    F.when(
-                        usable & F.col("bedrooms").isNotNull(), entry(room, base + ROOM_POINTS, True)
-                    ).otherwise(nothing)
-                )
-    return F.array(*entries)
+                bin_label = f"concat('{name}@', string(floor(bedrooms) + {shift}))"
+                entries.append(entry(f"{known} AND bedrooms IS NOT NULL", bin_label, base + ROOM_POINTS, True))
+    return F.expr(f"array({', '.join(entries)})")
 
 
 def _with_rungs(df: DataFrame, keep: list[str], build: bool, neighbours_only: bool) -> DataFrame:
@@ -319,16 +304,18 @@ def link_postings(
         rows = rows.join(kept, "listing_id", "left")
     else:
         rows = rows.withColumn("kept_unit", F.lit(None).cast("string"))
-    rows = sorted_position(
+    # Written before the sort: range partitioning reads its input twice, and the address
+    # rule should not run twice over the source.
+    rows = stage(
         rows.select(
             "listing_id", "last_seen_at", "kept_unit", *IDENTITY,
             F.concat_ws(
                 "\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in IDENTITY]
             ).alias("vector"),
         ),
-        order or newest_first(),
-        "ord",
+        "identity",
     )
+    rows = sorted_position(rows, order or newest_first(), "ord")
 
     nodes = stage(
         rows.groupBy("vector", *IDENTITY)
