@@ -51,16 +51,21 @@ def plan_frontier(
     return per_source.orderBy("source", "place").limit(room).withColumn("source_listing_id", url_id(F.col("url")))
 
 
-def host_schedule(urls: DataFrame, delays: dict[str, int] | None = None) -> DataFrame:
-    """Earliest start of each visit, keeping visits of one host apart."""
-    host = url_host(F.col("url"))
+def host_delay() -> Column:
+    """Milliseconds between two visits of the host in column ``host``."""
     delay = F.lit(DEFAULT_DELAY_MS)
-    for name, ms in (HOST_DELAY_MS if delays is None else delays).items():
+    for name, ms in HOST_DELAY_MS.items():
         delay = F.when(F.col("host") == name, F.lit(ms)).otherwise(delay)
+    return delay
+
+
+def host_schedule(urls: DataFrame, delay: Column | None = None) -> DataFrame:
+    """Earliest start of each visit, keeping visits of one host apart by ``delay``."""
     placed = number_rows(
-        urls.withColumn("host", host), ["host"], [F.col("seq"), F.col("url")], chunk_bucket("seq"), "visit"
+        urls.withColumn("host", url_host(F.col("url"))),
+        ["host"], [F.col("seq"), F.col("url")], chunk_bucket("seq"), "visit",
     )
-    return placed.withColumn("start_ms", (F.col("visit") - 1) * delay)
+    return placed.withColumn("start_ms", (F.col("visit") - 1) * (host_delay() if delay is None else delay))
 
 
 def discovery_query(

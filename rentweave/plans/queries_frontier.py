@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_host
 from ..operators import frontier
 from .catalog import query
 from .queries_registry import SEARCHES_SQL, searches_view
@@ -73,11 +72,9 @@ WITH v AS (SELECT url, page_id, {_HOST_SQL} AS host,
 SELECT url, host, (visit - 1) * CASE WHEN host LIKE 'blog.%' THEN 1200 ELSE 1000 END AS start_ms FROM v
 """)
 def host_schedule(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    urls = pages.select("url", F.col("page_id").alias("seq"))
-    # Slower hosts are configuration: a short list of names.
-    slow = [r.host for r in urls.select(url_host(F.col("url")).alias("host")).distinct().filter("host like 'blog.%'").collect()]
-    planned = frontier.host_schedule(urls, delays={h: 1200 for h in slow})
+    urls = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("seq"))
+    delay = F.when(F.col("host").startswith("blog."), F.lit(1200)).otherwise(F.lit(1000))
+    planned = frontier.host_schedule(urls, delay)
     return planned.select("url", "host", F.col("start_ms").cast("bigint").alias("start_ms"))
 
 

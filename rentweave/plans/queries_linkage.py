@@ -243,7 +243,47 @@ def cheapest_no_fee_units(spark, sf_dir):
     )
 
 
-@query()
+# Arrivals at known units: mark 1 founds, 2 attaches, 3 has a unit already and never founds.
+_RELINK_SQL = f"""
+{IDENTITY_SQL},
+v AS MATERIALIZED (SELECT listing_id, addr, unit_key, cell_lat, cell_lng, bedrooms, bathrooms, orderkey % 4 = 0 AS kept,
+                          row_number() OVER (ORDER BY last_seen_at, listing_id) AS pos FROM new),
+e AS MATERIALIZED (
+  SELECT n.pos AS later, o.pos AS earlier, {SCORE_SQL} AS score FROM v n JOIN v o
+    ON o.pos < n.pos AND n.addr = o.addr AND {SCORE_SQL} >= 60
+  UNION
+  SELECT n.pos, o.pos, {SCORE_SQL} FROM v n JOIN v o
+    ON o.pos < n.pos AND n.unit_key = o.unit_key AND n.cell_lat = o.cell_lat AND n.cell_lng = o.cell_lng
+   AND {SCORE_SQL} >= 60),
+{PAIRS_SQL.strip()}, {BEST_SQL.strip()},
+state AS (
+  SELECT 0 AS round, v.pos, CASE WHEN best.listing_id IS NOT NULL THEN 2 WHEN v.kept THEN 3 ELSE 0 END AS mark
+  FROM v LEFT JOIN best ON best.listing_id = v.listing_id
+  UNION ALL
+  SELECT s.round + 1, s.pos,
+         CASE WHEN s.mark <> 0 THEN s.mark WHEN coalesce(b.founder, false) THEN 2 WHEN NOT coalesce(b.open, false) THEN 1 ELSE 0 END
+  FROM state s LEFT JOIN (
+    SELECT e.later, bool_or(t.mark = 1) AS founder, bool_or(t.mark = 0) AS open
+    FROM e JOIN state t ON t.pos = e.earlier GROUP BY 1) b ON b.later = s.pos
+  WHERE EXISTS (SELECT 1 FROM state u WHERE u.mark = 0)),
+final AS (SELECT pos, mark FROM state WHERE round = (SELECT max(round) FROM state)),
+options AS (
+  SELECT v.listing_id, best.unit_id, best.score, 0 AS place FROM v JOIN best ON best.listing_id = v.listing_id
+  UNION ALL
+  SELECT v.listing_id, sha256('unit' || chr(1) || w.listing_id), e.score, e.earlier
+  FROM e JOIN final f ON f.pos = e.earlier AND f.mark = 1 JOIN v ON v.pos = e.later JOIN v w ON w.pos = e.earlier),
+attached AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, place) = 1)"""
+
+
+@query(f"""
+WITH RECURSIVE {_RELINK_SQL}
+SELECT 'kept-' || custkey AS unit_id, listing_id, CAST(100 AS DOUBLE) AS match_score FROM new WHERE orderkey % 4 = 0
+UNION ALL
+SELECT sha256('unit' || chr(1) || v.listing_id), v.listing_id, 100 FROM v JOIN final f ON f.pos = v.pos AND f.mark = 1
+UNION ALL
+SELECT a.unit_id, a.listing_id, a.score FROM attached a JOIN v ON v.listing_id = a.listing_id
+JOIN final f ON f.pos = v.pos AND f.mark <> 1
+""")
 def relink_batch(spark, sf_dir):
     """Newer postings arrive one by one at the units of the older ones; some are linked already."""
     new, old = split_view(spark, sf_dir)

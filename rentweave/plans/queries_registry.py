@@ -265,7 +265,7 @@ def searches_view(spark, sf_dir):
     place = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", "n_name", "r_name")
-    return c.join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
+    return c.join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
         F.lpad(key.cast("string"), 10, "0").alias("search_id"),
         F.when(key % 17 != 0, F.col("c_name")).alias("name"),
         F.when(key % 19 == 0, F.lit("")).when(key % 5 == 0, F.repeat(F.col("c_mktsegment"), 30)).otherwise(
