@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import PARSED_FIELDS
+from ..session import stage
 from ..sources.adapters import SourceAdapter
 from ..sources.json_postings import extracted_json
 from .ranking import top_rows
@@ -17,7 +18,7 @@ PARSE_VERSION = "1.0.0"
 
 @dataclass
 class IngestBatch:
-    """Raw rows to upsert, parsed postings, refused rows; all lazy."""
+    """Raw rows to upsert, parsed postings, refused rows and counts of one batch."""
 
     raw: DataFrame
     listings: DataFrame
@@ -35,7 +36,9 @@ def cap_per_source(discovered: DataFrame, limit: int) -> DataFrame:
 def parse_batch(fetched: DataFrame, adapter: SourceAdapter) -> DataFrame:
     """Posting fields of every fetched row plus ``error``; a bad row never fails the task."""
     named = fetched.withColumn("source", F.lit(adapter.name))
-    keep = [c for c in ("source", "source_url", "source_listing_id", "http_status", "seen_at") if c in named.columns]
+    keep = [
+        c for c in ("source", "source_url", "source_listing_id", "http_status", "seen_at", "content") if c in named.columns
+    ]
     return adapter.parse(named).select(*keep, *PARSED_FIELDS, "error")
 
 
@@ -48,26 +51,27 @@ def ingest_stats(parsed: DataFrame) -> DataFrame:
 
 
 def ingest_batch(fetched: DataFrame, adapter: SourceAdapter, limit: int = 0) -> IngestBatch:
-    """Parse one source's fetched rows (source_url, raw_content, seen_at, seq, ...)."""
+    """Parse one source's fetched rows (source_url, raw_content, seen_at, seq, ...).
+
+    Parsing is narrow and runs once: its result, with the content beside it, is
+    written as one table, from which raw rows, postings, errors and counts each read
+    their columns. No join brings content and fields together again.
+    """
     capped = fetched
     if limit:
         named = fetched.withColumns({"source": F.lit(adapter.name), "url": F.col("source_url")})
         capped = cap_per_source(named, limit).drop("url")
-    parsed = parse_batch(capped, adapter)
-    record = parsed.select("source", "source_url", "seen_at", extracted_json(list(PARSED_FIELDS)).alias("extracted_json"), "error")
-    raw = (
-        capped.withColumn("source", F.lit(adapter.name))
-        .join(record, ["source", "source_url", "seen_at"], "left")
-        .select(
+    parsed = stage(parse_batch(capped.withColumn("content", F.col("raw_content")), adapter), "parsed")
+    good = F.col("error").isNull()
+    return IngestBatch(
+        raw=parsed.select(
             "source", "source_url", "source_listing_id",
-            F.col("seen_at").alias("fetched_at"), "http_status", "raw_content",
-            F.when(F.col("error").isNull(), F.col("extracted_json")).alias("extracted_json"),
+            F.col("seen_at").alias("fetched_at"), "http_status",
+            F.col("content").alias("raw_content"),
+            F.when(good, extracted_json(list(PARSED_FIELDS))).alias("extracted_json"),
             F.lit(PARSE_VERSION).alias("parse_version"),
-        )
-    )
-    return IngestBatch(
-        raw=raw,
-        listings=parsed.filter(F.col("error").isNull()).drop("error"),
-        errors=parsed.filter(F.col("error").isNotNull()).select("source", "source_url", "error"),
+        ),
+        listings=parsed.filter(good).drop("error", "content"),
+        errors=parsed.filter(~good).select("source", "source_url", "error"),
         stats=ingest_stats(parsed),
     )
