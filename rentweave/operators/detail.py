@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import top_rows
+from .ranking import age, top_rows
 
 # Change records and gallery images shown per unit.
 SHOWN_CHANGES, SHOWN_IMAGES = 50, 10
@@ -49,10 +49,9 @@ def unit_gallery(postings: DataFrame, listings: DataFrame, k: int = SHOWN_IMAGES
     Each image keeps its first place; copies are merged before the shuffle and only
     ``k`` images per unit are ever brought together.
     """
-    age = -F.unix_micros(F.col("last_seen_at").cast("timestamp"))
     seen = postings.select("unit_id", "listing_id").join(
         listings.select("listing_id", "last_seen_at", "images"), "listing_id"
-    ).select("unit_id", age.alias("age"), "listing_id", F.posexplode("images").alias("pos", "image"))
+    ).select("unit_id", age("last_seen_at").alias("age"), "listing_id", F.posexplode("images").alias("pos", "image"))
     first = seen.groupBy("unit_id", "image").agg(F.min(F.struct("age", "listing_id", "pos")).alias("at"))
     top = top_rows(first, ["unit_id"], [F.col("at")], k, "ord")
     return top.groupBy("unit_id").agg(

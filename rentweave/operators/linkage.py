@@ -149,7 +149,9 @@ def best_match(probe: DataFrame, units: DataFrame, probe_id: str, unit_order: st
 
     ``unit_order`` is a struct column of ``units`` that orders and identifies them.
     """
-    met = _meet(probe, units, [probe_id], unit_order, neighbours_only=False)
+    # Of units with equal fields only the first can win; this also shrinks what enters the rungs.
+    firsts = units.groupBy(*IDENTITY).agg(F.min(unit_order).alias(unit_order))
+    met = _meet(probe, firsts, [probe_id], unit_order, neighbours_only=False)
     rank = F.struct((-F.col("score")).alias("neg"), F.col(unit_order))
     return met.groupBy(probe_id).agg(F.min(rank).alias("best")).select(
         probe_id, (-F.col("best.neg")).alias("score"), F.col(f"best.{unit_order}").alias(unit_order)
@@ -163,7 +165,7 @@ def score_histogram(probe: DataFrame, units: DataFrame, probe_id: str) -> DataFr
     apart by inclusion and exclusion.
     """
     counts = (
-        _with_rungs(units, [], True, False)
+        _with_rungs(units.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("same")), ["same"], True, False)
         .withColumns(
             {
                 "b_beds": F.when(F.col("close"), F.col("bedrooms")),
@@ -171,7 +173,7 @@ def score_histogram(probe: DataFrame, units: DataFrame, probe_id: str) -> DataFr
             }
         )
         .groupBy("key", "b_beds", "b_baths")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("same").alias("n"))
     )
     close = rooms_close(F.col("bedrooms"), F.col("b_beds"), F.col("bathrooms"), F.col("b_baths"))
     met = (

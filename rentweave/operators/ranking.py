@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 
+def age(ts: str | Column) -> Column:
+    """Orders newest first; for taking the newest row as a minimum. Needs no time zone."""
+    return F.lit("2100-01-01").cast("timestamp_ntz") - (F.col(ts) if isinstance(ts, str) else ts)
+
+
 def day_bucket(ts: str | Column, newest_first: bool = False) -> Column:
     """Bucket of a time column: its day, counted in the direction of the order."""
     day = F.datediff(F.col(ts) if isinstance(ts, str) else ts, F.lit("1970-01-01"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_address
 from .linkage import founded_unit_id
+from .ranking import age
 
 # Days until a unit is no longer active / is stale; its states.
 ACTIVE_DAYS, UNKNOWN_DAYS = 7, 14
@@ -106,13 +107,12 @@ def newest_posting(postings: DataFrame, listings: DataFrame, columns: list[str])
     seen = postings.select("unit_id", "listing_id").join(
         listings.select("listing_id", "last_seen_at", *[F.col(c).alias(f"v_{c}") for c in columns]), "listing_id"
     )
-    # Newest first as a minimum, so that the id breaks ties upwards.
-    age = -F.unix_micros(F.col("last_seen_at").cast("timestamp"))
+    # The newest as a minimum, so that the id breaks ties upwards.
     return (
         seen.groupBy("unit_id")
         .agg(
             F.min_by(
-                F.struct("listing_id", *[F.col(f"v_{c}").alias(c) for c in columns]), F.struct(age, "listing_id")
+                F.struct("listing_id", *[F.col(f"v_{c}").alias(c) for c in columns]), F.struct(age("last_seen_at"), "listing_id")
             ).alias("newest")
         )
         .select("unit_id", "newest")

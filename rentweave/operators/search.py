@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
+from .ranking import age
 from .registry import newest_posting
 
 # Page size when none is asked for, and the largest one.
@@ -154,11 +155,10 @@ def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
     key = ["at_borough", "at_hood", "max_rent", "min_beds"]
     asked = limits.select(*key).distinct().withColumn("block", F.explode(_blocks_up_to(F.col("max_rent"))))
 
-    age = -F.unix_micros(F.col("last_seen_at").cast("timestamp"))
     places = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(_ANY)), F.lit(_ANY)))
     summed = (
         units.groupBy("borough", "neighborhood", "best_rent_gross", "bedrooms")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(age.alias("age"), "unit_id", "last_seen_at")).alias("newest"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(age("last_seen_at").alias("age"), "unit_id", "last_seen_at")).alias("newest"))
         .withColumn("at_borough", F.explode(places("borough")))
         .withColumn("at_hood", F.explode(places("neighborhood")))
         .withColumn("block", F.explode(_blocks_holding(F.col("best_rent_gross"))))
