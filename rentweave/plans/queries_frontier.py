@@ -109,10 +109,10 @@ def targeted_plan(spark, sf_dir):
 
 
 def jobs_view(spark, sf_dir):
-    """A job for the query of every second search, some of them paused."""
+    """A job for every query that asks for no fee, some of them paused."""
     tasks = frontier.plan_searches(searches_view(spark, sf_dir), _SOURCES)
     number = F.col("search_id").cast("bigint")
-    return tasks.filter(number % 2 == 0).select(
+    return tasks.filter(F.contains("query", F.lit("no fee"))).select(
         F.concat(F.lit("job-"), F.col("search_id"), F.lit("-"), F.col("source")).alias("job_id"),
         "source", F.lit("user_targeted").alias("mode"), "query",
         F.when(number % 8 == 0, "paused").otherwise("active").alias("status"),
@@ -124,7 +124,7 @@ def jobs_view(spark, sf_dir):
 _JOBS_SQL = f"""{_TASKS_SQL},
 jobs AS (SELECT 'job-' || search_id || '-' || source AS job_id, source, query, CAST(search_id AS BIGINT) AS n,
                 CASE WHEN CAST(search_id AS BIGINT) % 8 = 0 THEN 'paused' ELSE 'active' END AS status
-         FROM tasks WHERE CAST(search_id AS BIGINT) % 2 = 0)"""
+         FROM tasks WHERE contains(query, 'no fee'))"""
 
 
 @query(f"""

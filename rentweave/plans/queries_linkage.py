@@ -246,7 +246,7 @@ def cheapest_no_fee_units(spark, sf_dir):
 # Arrivals at known units: mark 1 founds, 2 attaches, 3 has a unit already and never founds.
 _RELINK_SQL = f"""
 {IDENTITY_SQL},
-v AS MATERIALIZED (SELECT listing_id, addr, unit_key, cell_lat, cell_lng, bedrooms, bathrooms, orderkey % 4 = 0 AS kept,
+v AS MATERIALIZED (SELECT listing_id, addr, unit_key, cell_lat, cell_lng, bedrooms, bathrooms, coalesce(broker_fee, false) AS kept,
                           row_number() OVER (ORDER BY last_seen_at, listing_id) AS pos FROM new),
 e AS MATERIALIZED (
   SELECT n.pos AS later, o.pos AS earlier, {SCORE_SQL} AS score FROM v n JOIN v o
@@ -277,7 +277,7 @@ attached AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY listi
 
 @query(f"""
 WITH RECURSIVE {_RELINK_SQL}
-SELECT 'kept-' || custkey AS unit_id, listing_id, CAST(100 AS DOUBLE) AS match_score FROM new WHERE orderkey % 4 = 0
+SELECT 'kept-' || custkey AS unit_id, listing_id, CAST(100 AS DOUBLE) AS match_score FROM new WHERE broker_fee
 UNION ALL
 SELECT sha256('unit' || chr(1) || v.listing_id), v.listing_id, 100 FROM v JOIN final f ON f.pos = v.pos AND f.mark = 1
 UNION ALL
@@ -285,9 +285,9 @@ SELECT a.unit_id, a.listing_id, a.score FROM attached a JOIN v ON v.listing_id =
 JOIN final f ON f.pos = v.pos AND f.mark <> 1
 """)
 def relink_batch(spark, sf_dir):
-    """Newer postings arrive one by one at the units of the older ones; some are linked already."""
+    """Newer postings arrive one by one at the units of the older ones; those with a fee are linked already."""
     new, old = split_view(spark, sf_dir)
-    again = new.filter(F.col("orderkey") % 4 == 0).select(
+    again = new.filter("broker_fee").select(
         F.concat(F.lit("kept-"), F.col("custkey").cast("string")).alias("unit_id"), "listing_id",
         F.lit(100.0).alias("match_score"), F.col("last_seen_at").alias("created_at"),
     )

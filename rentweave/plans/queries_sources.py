@@ -218,26 +218,27 @@ def page_extract(spark, sf_dir):
 @query("""
 WITH l AS (SELECT page_id AS seq, unnest(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS path,
                   generate_subscripts(regexp_extract_all(html, 'href="(/[^"]+)"', 1), 1) - 1 AS pos
-           FROM pages WHERE page_id % 10 <> 0)
+           FROM pages WHERE NOT contains(url, 'utm_source'))
 SELECT 'https://site.example.com' || path AS url, seq, CAST(pos AS BIGINT) AS pos FROM l
 QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq, pos) = 1
 """)
 def discover_links(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("seq"), "html", F.when(F.col("page_id") % 10 == 0, 404).otherwise(200).alias("http_status")
+        F.col("page_id").alias("seq"), "html", F.when(F.contains("url", F.lit("utm_source")), 404).otherwise(200).alias("http_status")
     )
     found = links.discover_links(pages, r'href="(/[^"]+)"', "https://site.example.com")
     return found.select("url", "seq", F.col("pos").cast("bigint").alias("pos"))
 
 
 @query("""
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'file:///saved/' || page_id || '.html' END AS url FROM pages
+SELECT page_id, CASE WHEN url LIKE 'https%' THEN url ELSE 'file:///saved/' || page_id || '.html' END AS url FROM pages
 """)
 def sidecar_url_join(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     stem = F.col("page_id").cast("string")
     saved = pages.select("page_id", stem.alias("stem"), F.concat(F.lit("/saved/"), stem, F.lit(".html")).alias("path"))
-    sidecars = pages.filter(F.col("page_id") % 2 == 0).select(
+    # Pages saved over https came with a sidecar.
+    sidecars = pages.filter(F.col("url").startswith("https")).select(
         stem.alias("stem"), F.concat(F.lit("\t "), F.col("url"), F.lit("\n")).alias("text")
     )
     return attach_sidecar_urls(saved, sidecars).select("page_id", "url")
@@ -246,13 +247,14 @@ def sidecar_url_join(spark, sf_dir):
 @query("""
 SELECT url, 'Hood ' || (page_id % 7) AS neighborhood, 'Queens' AS borough, 40 + page_id * 0.001::DOUBLE AS lat,
        -73 - page_id * 0.001::DOUBLE AS lng, 'https://img.example.com/' || page_id || '.jpg' AS image
-FROM pages WHERE page_id % 2 = 0
-UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 2 <> 0
+FROM pages WHERE url LIKE 'https%'
+UNION ALL SELECT url, NULL, NULL, NULL, NULL, NULL FROM pages WHERE url NOT LIKE 'https%'
 """)
 def page_meta_overlay(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     key = F.col("page_id")
-    meta = pages.filter(key % 2 == 0).select(
+    # Metadata was captured for the pages on https.
+    meta = pages.filter(F.col("url").startswith("https")).select(
         "url",
         F.lit(None).cast("string").alias("title"),
         F.concat(F.lit("Unit in Hood "), (key % 7).cast("string"), F.lit(", Queens | Site")).alias("og_title"),

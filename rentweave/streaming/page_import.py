@@ -21,7 +21,7 @@ class RegistryFolder:
     """Registry tables below one folder, one complete version per batch.
 
     A batch reads the version before it and writes its own, so running it again after
-    a failure gives the same files.
+    a failure gives the same rows; only the times in link and change records differ.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
