@@ -180,33 +180,29 @@ def score_histogram(probe: DataFrame, units: DataFrame, probe_id: str) -> DataFr
         _with_rungs(probe, [probe_id], False, False)
         .join(counts, "key")
         .filter(~F.col("close") | close)
-        .withColumn("kind", F.regexp_extract("key", "^([a-z+]+)", 1))
     )
 
-    def total(kind: str, near: bool) -> Column:
-        hit = (F.col("kind") == kind) & (F.col("close") == F.lit(near))
+    # Score and closeness name the rung: no two rungs share both.
+    def total(score: int, near: bool) -> Column:
+        hit = (F.col("score") == score) & (F.col("close") == F.lit(near))
         return F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0))
 
-    names = ["+".join(k) for k in _ALL_RUNGS]
+    plain = {"aug": 90, "au": 70, "ag": 60}
+    near = {"aug": 100, "au": 80, "ag": 70, "ug": 60}
     sums = met.groupBy(probe_id).agg(
-        *[total(n, near).alias(f"{n}{'*' if near else ''}") for n in names for near in (False, True)]
+        *[total(score, False).alias(name) for name, score in plain.items()],
+        *[total(score, True).alias(f"{name}_near") for name, score in near.items()],
     )
-
-    def c(name: str) -> Column:
-        return F.col(f"`{name}`")
-
-    full, au, ag, ug = names
+    # Units of exactly one kind of agreement: those on a rung less those also on a finer one.
+    aug, au, ag = [F.col(c) for c in plain]
+    aug_near, au_near, ag_near, ug_near = [F.col(f"{c}_near") for c in near]
     return sums.select(
         probe_id,
-        c(f"{full}*").alias("n100"),
-        (c(full) - c(f"{full}*")).alias("n90"),
-        (c(f"{au}*") - c(f"{full}*")).alias("n80"),
-        (
-            c(au) - c(f"{au}*") - c(full) + c(f"{full}*") + c(f"{ag}*") - c(f"{full}*")
-        ).alias("n70"),
-        (
-            c(ag) - c(f"{ag}*") - c(full) + c(f"{full}*") + c(f"{ug}*") - c(f"{full}*")
-        ).alias("n60"),
+        aug_near.alias("n100"),
+        (aug - aug_near).alias("n90"),
+        (au_near - aug_near).alias("n80"),
+        ((au - au_near) - (aug - aug_near) + (ag_near - aug_near)).alias("n70"),
+        ((ag - ag_near) - (aug - aug_near) + (ug_near - aug_near)).alias("n60"),
     )
 
 
