@@ -91,6 +91,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
 #: Odd, so that it has an inverse modulo 2**64.
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SIZE_CODE = 0xD6E8FEB86659FD93
 _BYTE_CODES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -101,10 +102,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[np.uint64, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """``base ** 0 .. base ** n`` modulo 2**64, kept for the next call."""
+    known = _POWERS.get(base)
+    if known is None or len(known) <= n:
+        out = np.full(max(n, STEP_BYTES) + 1, base, np.uint64)
+        out[0] = 1
+        known = np.cumprod(out, dtype=np.uint64)
+        if n <= STEP_BYTES:
+            _POWERS[base] = known
+    return known[: n + 1]
 
 
 class RangeHash:
@@ -118,13 +128,13 @@ class RangeHash:
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(_SIZE_CODE))
 
     def grams(self, n: int) -> np.ndarray:
         """Of every n-gram of the sequence, by its start."""
         count = max(len(self.sums) - n, 0)
         raw = (self.sums[n : n + count] - self.sums[:count]) * self.back[:count]
-        return mix(raw + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(raw + np.uint64(n * _SIZE_CODE % (1 << 64)))
 
 
 def byte_codes(data: np.ndarray) -> np.ndarray:
@@ -151,19 +161,21 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def window_min(values: np.ndarray, width: int) -> np.ndarray:
-    """Start-relative place of the leftmost smallest value of every window of ``width``."""
+    """Place of the smallest value of every window of ``width``, by the upper 32 bits, leftmost of equals.
+
+    Depends on a window's values alone, so equal windows choose equal places wherever they are.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    best, at, reach = values[:n + width - 1].copy(), np.arange(n + width - 1), 1
-    while reach < width:  # windows of 2, 4, 8, ... and a last overlapping step
-        step = min(reach, width - reach)
-        left, right = best[: len(best) - step], best[step:]
-        take = right < left
-        at = np.where(take, at[step:], at[: len(at) - step])
-        best = np.where(take, right, left)
-        reach += step
-    return at
+    rows = -(-len(values) // width)
+    key = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
+    key[: len(values)] = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    block = key.reshape(rows, width)
+    tail = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    head = np.minimum.accumulate(block, axis=1).reshape(-1)
+    least = np.minimum(tail[:n], head[width - 1 : width - 1 + n])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def within_documents(firsts: np.ndarray, n: int, width: int) -> np.ndarray:
@@ -191,15 +203,12 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(deep)[:n] > 0
 
 
-# ---------------------------------------------------------------- document id and place in one long
-
-PLACE_BITS = 24
+# ---------------------------------------------------------------- rows and results
 
 
-def packable(docs: DataFrame) -> bool:
-    """Ids small enough to share a long with a place in a document (up to 2**24)."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    return low is None or (low >= -(1 << 39) and high < 1 << 39)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, text``: ``key`` tells rows that share a doc_id apart by their text."""
+    return docs.select(F.col("`doc_id`"), F.xxhash64(F.col("`text`")).alias("key"), F.col("`text`"))
 
 
 def as_signed(x: np.ndarray) -> np.ndarray:
