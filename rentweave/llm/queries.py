@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import bpe, langid, rlz, simhash, suffix
+from rentweave.llm import arrowtokens, bpe, langid, rlz, simhash, suffix, urlfilter
 from rentweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,40 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The rules that op3 judges by: action, host, path.
+URL_RULES = (
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+)
+_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+
+
+@register(f"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
+rest AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rest),
+best AS (
+    SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+        max_by(action, length(rule_host || rule_path)) AS action
+    FROM parts JOIN rules
+        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM parts LEFT JOIN best USING (page_id)
+""")
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULE_ROWS} AS t(action, host, path)")
+    return urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
+@register()
+def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return arrowtokens.read_documents(arrowtokens.write_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), 1))
