@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import arrowtokens, bpe, langid, rlz, simhash, suffix, urlfilter
-from rentweave.llm.common import table
+from rentweave.llm import arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter
+from rentweave.llm.common import keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return arrowtokens.read_documents(arrowtokens.write_sequences(docs, public_tokenizers.path("word_bpe_49k.json"), 1))
+
+
+@register()
+def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = keyed(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return decontam.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("key")
