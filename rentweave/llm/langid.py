@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rentweave.llm.common import only, slices, utf8
@@ -175,6 +176,19 @@ def training_sample(docs: DataFrame, learn: Column) -> dict[str, list[bytes]]:
     return out
 
 
+def _judge(model: Model, texts: pa.Array, letter) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of a batch."""
+    told = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
+    if not model.languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    data, offsets = utf8(texts)
+    bits = code_lengths(model, data, offsets)
+    n = np.maximum(np.diff(offsets), 1)
+    scaled = (bits - bits.min(1, keepdims=True)) * (np.minimum(n, 64) / n)[:, None]
+    score = 1 / np.exp2(-np.minimum(scaled, 1000)).sum(1)
+    return [model.languages[b] if ok else UNKNOWN for b, ok in zip(bits.argmin(1), told)], np.where(told, score, 0.0)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` of every whole text.
 
@@ -186,32 +200,29 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        m = shared.value
         letter = regex.compile(_LETTER)
         for batch in slices(batches):
-            texts = batch.column("text")
-            data, offsets = utf8(texts)
-            told = np.array([t is not None and letter.search(t) is not None for t in texts.to_pylist()], bool)
-            if not m.languages:
-                told[:] = False
-                best, score = np.zeros(len(told), int), np.zeros(len(told))
-            else:
-                bits = code_lengths(m, data, offsets)
-                best = bits.argmin(1)
-                n = np.maximum(np.diff(offsets), 1)
-                scaled = (bits - bits.min(1, keepdims=True)) * (np.minimum(n, 64) / n)[:, None]
-                score = 1 / np.exp2(-np.minimum(scaled, 1000)).sum(1)
-            names = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best, told)]
+            names, score = _judge(shared.value, batch.column("text"), letter)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(told, score, 0.0))],
-                ["doc_id", "lang_pred", "score"],
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]
             )
 
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose language is recognised with at least ``least_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letter = regex.compile(_LETTER)
+        for batch in slices(batches):
+            names, score = _judge(shared.value, batch.column("text"), letter)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, learn: Column) -> DataFrame:
     """Fit on the rows where ``learn`` holds, predict every row; an empty table gives an empty result."""
     return predict(docs, fit(training_sample(docs, learn)))

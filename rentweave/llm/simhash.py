@@ -10,6 +10,11 @@ radius plus ``ceil(t / 2)`` of both. So a fingerprint is replicated to the ancho
 cover the points of its own ball of that size (about 14 anchors for ``t = 2``), and
 comparing per anchor misses no link. Equal fingerprints are one node throughout.
 
+Near copies by shingle similarity (``near_copies``) differ in far more than two bits: at a
+similarity of 0.8 about ten of 64. There every document also gets ``VIEWS`` fingerprints of
+small samples of its shingles, which near copies often share exactly, and what meets at
+an anchor is compared by its exact shingle sets.
+
 An anchor with more than ``MOST_COMPARED`` fingerprints is not compared pair by pair:
 its fingerprints meet at the points of their balls instead, which is exact and linear.
 """
@@ -24,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rentweave.llm.common import only, slices, stage, utf8
+from rentweave.llm.common import RangeHash, byte_codes, mix, only, slices, stage, utf8, within_documents, words
 from rentweave.llm.components import components
 
 SEED = 42
@@ -226,3 +231,150 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> Da
     edges = links.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     named = nodes.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- near copies by similarity
+
+VIEWS = 24
+#: Shingles sampled for one view: the smallest under as many hash functions.
+PER_VIEW = 5
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, VIEWS * PER_VIEW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = ball(1)
+
+
+def _shingle_hashes(batch: pa.RecordBatch, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of a batch's lower-cased words, and the first one of each document.
+
+    A text of fewer words is one shingle, one without words has none.
+    """
+    data, offsets = utf8(batch.column("text"))
+    data = np.frombuffer(data.tobytes().translate(_LOWER), np.uint8)
+    starts, ends, firsts = words(data, offsets)
+    hashes = RangeHash(RangeHash(byte_codes(data))(starts, ends))
+    at = np.flatnonzero(within_documents(firsts[:-1], len(starts), shingle))
+    n = np.diff(firsts)
+    few = np.flatnonzero((n > 0) & (n < shingle))
+    begin = np.r_[at, firsts[few]]
+    stop = np.r_[at + shingle, firsts[few] + n[few]]
+    order = np.argsort(begin, kind="stable")
+    begin, stop = begin[order], stop[order]
+    return hashes(begin, stop), np.searchsorted(begin, firsts)
+
+
+def _fingerprints_of(hashes: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """SimHash of consecutive groups of hashes; ``groups`` holds the first of each, none is empty."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, groups, axis=0, dtype=np.int32)
+    n = np.diff(np.r_[groups, len(hashes)])[:, None]
+    return np.packbits(2 * ones > n, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _meeting_points(docs: DataFrame, shingle: int) -> DataFrame:
+    """``point, node``: anchors of the whole fingerprint's ball and the home anchor of every view."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, firsts = _shingle_hashes(batch, shingle)
+            some = np.flatnonzero(np.diff(firsts))
+            if not len(some):
+                continue
+            groups = firsts[some]
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)[some]
+            whole = np.zeros(len(some), np.uint64)
+            ends = np.r_[groups[1:], len(hashes)]
+            lo = 0
+            while lo < len(some):  # bit columns of a bounded number of shingles at a time
+                hi = max(int(np.searchsorted(ends, groups[lo] + (1 << 18), "right")), lo + 1)
+                whole[lo:hi] = _fingerprints_of(hashes[groups[lo] : ends[hi - 1]], groups[lo:hi] - groups[lo])
+                lo = hi
+            anchors = np.sort(anchor_of(whole[:, None] ^ _FLIPS[None, :]), axis=1)
+            first = np.ones(anchors.shape, bool)
+            first[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
+            points, owner = [mix(anchors[first])], [np.repeat(nodes, first.sum(axis=1))]
+            for view in range(VIEWS):
+                least = [
+                    mix(np.minimum.reduceat(hashes * f, groups))
+                    for f in _FACTORS[view * PER_VIEW : (view + 1) * PER_VIEW]
+                ]
+                sample = np.stack(least, axis=1).ravel()
+                home = anchor_of(_fingerprints_of(sample, np.arange(len(some)) * PER_VIEW))
+                points.append(mix(home ^ (np.uint64(view + 1) << np.uint64(48))))
+                owner.append(nodes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(points).view(np.int64)), pa.array(np.concatenate(owner))], ["point", "node"]
+            )
+
+    return docs.mapInArrow(run, "point long, node long")
+
+
+def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles``: the sorted distinct 32-bit shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, firsts = _shingle_hashes(batch, shingle)
+            short = (hashes >> np.uint64(32)).astype(np.uint32)
+            sets = [np.unique(short[a:b]).tobytes() for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles binary")
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                one, two = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(two) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``node, component``: texts (by ``xxhash64``) connected by shingle-set similarity of at least ``similarity``.
+
+    Equal texts are one node. At every meeting point each text is paired with the smallest
+    and the largest node there, so the number of pairs is linear in the texts; ``VIEWS``
+    points make it all but certain that similar texts are paired at one of them. Texts
+    without a partner are not listed. Null text is like the empty one.
+    """
+    texts = docs.select(
+        F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("node"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")
+    )
+    placed = stage(_meeting_points(texts, shingle), "points")
+    ends = placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    pairs = stage(
+        placed.join(ends, "point").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
+        "pairs",
+    )
+    members = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = stage(
+        _shingle_sets(texts.join(members, "node"), shingle).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"
+    )
+    compared = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
+        .select("a", "b", "one", "two")
+    )
+    return components(_similar(compared, similarity))
+
+
+def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest doc_id stays (null last).
+
+    Equal rows, and rows that share a doc_id and text, leave one. Columns are those of ``docs``.
+    """
+    groups = near_copies(docs, similarity, shingle)
+    node = F.xxhash64(F.coalesce(F.col("`text`"), F.lit("")))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), node.alias("node"))
+    grouped = named.select(F.col("row.doc_id").alias("doc_id"), "node").join(groups, "node", "left").select(
+        F.coalesce("component", "node").alias("component"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node").alias("who")
+    )
+    best = grouped.groupBy("component").agg(F.min("who").alias("who")).select("who.doc_id", "who.node")
+    n, b = named.alias("n"), best.alias("b")
+    kept = n.join(b, (F.col("n.node") == F.col("b.node")) & F.col("n.row.doc_id").eqNullSafe(F.col("b.doc_id")), "left_semi")
+    return kept.dropDuplicates(["node"]).select("row.*")

@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rentweave.llm.common import (
     RangeHash, as_signed, byte_codes, covered, keyed, owners, slices, stage, utf8, window_min, within_documents,
@@ -280,3 +281,42 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     return _with_spans(docs, length).mapInArrow(
         run, "doc_id long, key long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+
+
+def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """``docs`` with the repeats cut out of ``text``, whole characters only; ``n_chars`` is counted anew.
+
+    Other columns and the number of rows stay; null text stays null.
+    """
+    spans = stage(repeat_groups(keyed(docs), length).select("doc_id", "key", "start", "stop").distinct(), "spans")
+    per_document = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).alias("p")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("`text`").alias("text"),
+        F.col("`doc_id`").alias("doc_id"), F.xxhash64(F.col("`text`")).alias("key"),
+    ).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & F.col("d.key").eqNullSafe(F.col("p.key"))
+    joined = rows.join(per_document, same, "left").select("d.rest", "d.text", "p.spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, offsets, gone = removed_mask(batch)
+            begins = np.flatnonzero((data & 0xC0) != 0x80)
+            if len(begins):
+                sizes = np.diff(np.r_[begins, len(data)])
+                gone = np.repeat(np.minimum.reduceat(gone, begins), sizes)
+            stay = ~gone
+            kept = np.r_[0, np.cumsum(stay)][offsets].astype(np.int32)
+            text = pa.StringArray.from_buffers(
+                len(kept) - 1, pa.py_buffer(kept.tobytes()), pa.py_buffer(data[stay].tobytes())
+            )
+            text = pa.compute.if_else(batch.column("text").is_valid(), text, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), text], ["rest", "text"])
+
+    schema = T.StructType([T.StructField("rest", rows.schema["rest"].dataType), T.StructField("text", T.StringType())])
+    cut = joined.mapInArrow(run, schema)
+    columns = [
+        F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(f"rest.`{c}`")
+        for c in docs.columns
+    ]
+    return cut.select(*columns)
