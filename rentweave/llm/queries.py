@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter
+from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter
 from rentweave.llm.common import keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op7_arrow_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = keyed(table(spark, sf_dir, "documents", "doc_id", "text"))
     return decontam.leaks(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).drop("key")
+
+
+@register()
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
