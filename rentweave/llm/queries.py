@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter
+from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter, warc
 from rentweave.llm.common import keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register()
+def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = warc.mark_copies(table(spark, sf_dir, "pages", "page_id", "url", "html"), 0)
+    return warc.read_records(warc.normalise(warc.write_archives(marked)))
+
+
 #: The rules that op3 judges by: action, host, path.
 URL_RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
