@@ -82,15 +82,17 @@ class Tokens:
         name = (_IS_UPPER[head] & (e - s > 1) & ~_IS_UPPER[second] | accented) & ~opens & ~number & ~unit
         measured = np.where(number, _NUMBER, np.where(unit, _UNIT, plain))
         self.codes = (np.where(name, _NAME, measured), measured, plain)
-        self.slot = number | unit | name
-        self.literal = (~self.slot, ~(number | unit))
+        #: Words that are slots, and words that are not, at each level.
+        self.slot = (number | unit | name, number | unit, np.zeros(len(s), bool))
+        self.literal = (~self.slot[0], ~self.slot[1])
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts inside one document and hashes of the windows of ``size`` words."""
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts inside one document, hashes and levels of the windows of ``size`` words."""
         n = len(self.starts)
         at = np.flatnonzero(within_documents(self.firsts[:-1], n, size))
         hashes = np.zeros(len(at), np.uint64)
-        need, done = min(LITERALS, size), np.zeros(len(at), bool)
+        need = LITERALS if size == WINDOW else max(2, size - 2)  # an item shorter than a window
+        done, chosen = np.zeros(len(at), bool), np.zeros(len(at), np.int8)
         for level in range(3):
             fits = ~done
             if level < 2:
@@ -98,8 +100,9 @@ class Tokens:
                 fits &= literals[at + size] - literals[at] >= need
             grams = RangeHash(self.codes[level]).grams(size)[at[fits]]
             hashes[fits] = mix(grams + np.uint64(level + 1))
+            chosen[fits] = level
             done |= fits
-        return at, hashes
+        return at, hashes, chosen
 
 
 _UNIT_CODES: list[np.ndarray] = []
@@ -122,9 +125,6 @@ class _Known:
         self.bits = np.zeros(int(self.mask) + 1, bool)
         self.bits[self.values & self.mask] = True
 
-    def __contains__(self, _: object) -> bool:
-        raise TypeError("use found()")
-
     def found(self, hashes: np.ndarray) -> np.ndarray:
         maybe = np.flatnonzero(self.bits[hashes & self.mask])
         place = np.searchsorted(self.values, hashes[maybe])
@@ -148,18 +148,18 @@ def template_windows(texts: DataFrame, sizes: list[int], known: np.ndarray | Non
             sizes_of = np.diff(tokens.firsts)
             raw = data.tobytes()
             for size in sizes:
-                at, hashes = tokens.windows(size)
+                at, hashes, level = tokens.windows(size)
                 doc = owners(tokens.firsts[:-1], at)
                 pick = np.arange(len(at)) if wanted is None else wanted.found(hashes)
                 if short and size < WINDOW:
                     pick = pick[sizes_of[doc[pick]] == size]
                 if not len(pick):
                     continue
-                at, hashes, doc = at[pick], hashes[pick], doc[pick]
+                at, hashes, level, doc = at[pick], hashes[pick], level[pick], doc[pick]
                 slots = [
                     [raw[tokens.starts[w] : tokens.ends[w]].decode("utf-8", "replace").lower()
-                     for w in range(a, a + size) if tokens.slot[w]]
-                    for a in at.tolist()
+                     for w in range(a, a + size) if tokens.slot[v][w]]
+                    for a, v in zip(at.tolist(), level.tolist())
                 ]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(

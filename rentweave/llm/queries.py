@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, rlz, simhash, suffix, urlfilter, warc
+from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, oracles, rlz, simhash, suffix, urlfilter, warc
 from rentweave.llm.common import keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +28,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-@register()
+@register(oracles.RLZ_COPIES)
 def op1_rlz_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rlz.remove_copies(table(spark, sf_dir, "documents", "doc_id", "text"), 13)
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,13 +55,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@register()
+@register(oracles.REPEATED_BYTES)
 def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), 400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register()
+@register(oracles.WARC_RECORDS)
 def op2_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = warc.mark_copies(table(spark, sf_dir, "pages", "page_id", "url", "html"), 0)
     return warc.read_records(warc.normalise(warc.write_archives(marked)))
