@@ -17,7 +17,7 @@ reach from its first window's start to its last window's end (its context).
    ``l + d`` bytes are a maximal repeat within the contexts. All members get their
    strings recorded, not only neighbours in the array.
 3. Grams with more than ``MOST_CLASSES`` classes are not put into one task: their windows
-   are compared by hash with counts per window, which splits without limit.
+   are compared by hash with counts, which splits without limit.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rentweave.llm.common import (
-    RangeHash, as_signed, byte_codes, covered, keyed, owners, slices, stage, utf8, window_min, within_documents,
+    RangeHash, as_signed, byte_codes, covered, keyed, mix, owners, slices, stage, utf8, window_min, within_documents,
 )
 
 GRAM = 64
 #: Distinct contexts of one gram that form one suffix array in one task.
 MOST_CLASSES = 512
+#: Neighbouring windows of a crowded gram's context that are first told apart by their common core.
+PIECE = 16
 _OCCURRENCE = "anchor long, class long, doc_id long, key long, at int, first int, last int"
 _SPAN = "group_id long, doc_id long, key long, start int, stop int"
 
@@ -182,28 +184,46 @@ def _scan_groups(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans for grams with very many contexts: windows that a second context of the gram has too."""
+    """Spans for grams with very many contexts: windows that a second context of the gram has too.
+
+    A context's windows are taken in pieces of up to ``PIECE`` neighbouring ones, which have a
+    core of ``length - PIECE + 1`` bytes in common. Only pieces whose core a second context
+    has are opened and counted window by window.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "after"):
-            left = utf8(batch.column("before"))[1]
-            for i, (b, a) in enumerate(zip(batch.column("before").to_pylist(), batch.column("after").to_pylist())):
-                text = np.frombuffer(b + a, np.uint8)
-                windows = RangeHash(byte_codes(text)).grams(length)
-                rows = pa.array(np.full(len(windows), i))
-                start = batch.column("at")[i].as_py() - int(left[i + 1] - left[i]) + np.arange(len(windows))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(as_signed(windows)), *[batch.column(c).take(rows) for c in ("n", "doc_id", "key")],
-                        pa.array(start.astype(np.int32)),
-                    ],
-                    ["group_id", "n", "doc_id", "key", "start"],
-                )
+            rows, cores, starts, windows = [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "at", "before", "after"))
+            for i, (anchor, at, b, a) in enumerate(zip(*columns)):
+                hashes = RangeHash(byte_codes(np.frombuffer(b + a, np.uint8)))
+                own, left = as_signed(hashes.grams(length)), len(b)
+                piece = (left - np.arange(len(own))) // PIECE
+                first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+                core = left - piece[first] * PIECE
+                found = hashes(core, core + length - PIECE + 1) + piece[first].astype(np.uint64)
+                cores.append(mix(found ^ np.uint64(anchor % (1 << 64))))
+                rows.append(np.full(len(first), i))
+                starts.append(at - left + first)
+                windows += np.split(own, first[1:])
+            owner = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_signed(np.concatenate(cores))), *[batch.column(c).take(owner) for c in ("n", "doc_id", "key")],
+                    pa.array(np.concatenate(starts).astype(np.int32)), pa.array(windows, pa.list_(pa.int64())),
+                ],
+                ["core", "n", "doc_id", "key", "start", "windows"],
+            )
 
-    windows = contexts.where("crowded").mapInArrow(run, "group_id long, n long, doc_id long, key long, start int")
-    many = windows.groupBy("group_id").agg(F.count("*").alias("places")).where("places > 1").select("group_id")
-    return windows.where("n = 1").join(many, "group_id").select(
-        "group_id", "doc_id", "key", "start", (F.col("start") + length).alias("stop")
+    pieces = contexts.where("crowded").mapInArrow(
+        run, "core long, n long, doc_id long, key long, start int, windows array<long>"
+    )
+    shared = pieces.groupBy("core").agg(F.count("*").alias("places")).where("places > 1").select("core")
+    opened = pieces.join(shared, "core").select("n", "doc_id", "key", "start", F.posexplode("windows").alias("at", "group_id"))
+    many = opened.groupBy("group_id").agg(F.count("*").alias("places")).where("places > 1").select("group_id")
+    start = F.col("start") + F.col("at")
+    return opened.where("n = 1").join(many, "group_id").select(
+        "group_id", "doc_id", "key", start.alias("start"), (start + length).alias("stop")
     )
 
 
