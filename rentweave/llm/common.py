@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rentweave.session import checkpoint_root, stage as write_stage
 
 #: Bytes of text that one step handles at a time; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
