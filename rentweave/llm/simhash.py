@@ -226,10 +226,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> Da
     """
     found = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    links = fingerprint_links(nodes, threshold)
-    of_a, of_b = (nodes.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}")) for c in ("a", "b"))
-    edges = links.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    named = nodes.join(components(edges), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    connected = components(fingerprint_links(nodes, threshold)).withColumnRenamed("node", "fp")
+    placed = nodes.join(connected, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "node")
+    least = placed.groupBy("component").agg(F.min("node").alias("component_id"))
+    named = placed.select("fp", "component").join(least, "component").select("fp", "component_id")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
