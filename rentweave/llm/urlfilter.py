@@ -52,7 +52,7 @@ def sweep(points: DataFrame, starts: DataFrame) -> DataFrame:
     are left out.
     """
     levels = _depths(starts)
-    deepest = levels.agg(F.max("depth")).first()[0] or 0
+    deepest = levels.agg(F.max("depth")).first()[0] or 1
     rules = starts.groupBy("grp").agg(F.count("*").alias("rules"))
     runs = points.groupBy("grp").agg(F.count("*").alias("n")).join(rules, "grp").select(
         "grp", F.ceil(F.col("n") / F.greatest(F.lit(RUN), "rules")).cast("int").alias("runs")
