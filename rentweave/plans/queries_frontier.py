@@ -96,13 +96,13 @@ def discovery_query_text(spark, sf_dir):
 # Each page is found by the search of the customer with the page's number.
 @query(f"""
 WITH {_TASKS_SQL}, {_FOUND_SQL},
-f AS (SELECT lpad(CAST(seq % 40 AS VARCHAR), 10, '0') AS search_id, source, url, seq FROM fresh),
+f AS (SELECT lpad(CAST(seq % 40 AS VARCHAR), 20, '0') AS search_id, source, url, seq FROM fresh),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY search_id, source ORDER BY seq, url) AS BIGINT) AS place FROM f)
 SELECT r.search_id, r.source, url, seq, place, query, {_ID_SQL}
 FROM r JOIN tasks t ON t.search_id = r.search_id AND t.source = r.source WHERE place <= 2
 """)
 def targeted_plan(spark, sf_dir):
-    found = discovered_view(spark, sf_dir).withColumn("search_id", F.lpad((F.col("seq") % 40).cast("string"), 10, "0"))
+    found = discovered_view(spark, sf_dir).withColumn("search_id", F.lpad((F.col("seq") % 40).cast("string"), 20, "0"))
     tasks = frontier.plan_searches(searches_view(spark, sf_dir), _SOURCES)
     plan = frontier.plan_targeted(tasks, found, listed_view(spark, sf_dir), cap=2)
     return plan.withColumn("place", F.col("place").cast("bigint"))
@@ -140,7 +140,7 @@ def job_lookup(spark, sf_dir):
 
 
 _DELTA_SQL = """
-d AS (SELECT 'job-' || lpad(CAST(c_custkey - c_custkey % 10 AS VARCHAR), 10, '0') || '-sublet_pages' AS job_id, count(*) AS discovered,
+d AS (SELECT 'job-' || lpad(CAST(c_custkey - c_custkey % 10 AS VARCHAR), 20, '0') || '-sublet_pages' AS job_id, count(*) AS discovered,
              count(*) FILTER (c_custkey % 3 <> 0) AS ingested, count(*) FILTER (c_custkey % 5 = 0) AS units_added,
              max(c_custkey) AS ending_units FROM customer GROUP BY 1)"""
 
@@ -148,7 +148,7 @@ d AS (SELECT 'job-' || lpad(CAST(c_custkey - c_custkey % 10 AS VARCHAR), 10, '0'
 def _deltas(spark, sf_dir):
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("job-"), F.lpad((key - key % 10).cast("string"), 10, "0"), F.lit("-sublet_pages")).alias("job_id"),
+        F.concat(F.lit("job-"), F.lpad((key - key % 10).cast("string"), 20, "0"), F.lit("-sublet_pages")).alias("job_id"),
         F.lit(1).cast("bigint").alias("discovered"),
         (key % 3 != 0).cast("bigint").alias("ingested"),
         (key % 5 == 0).cast("bigint").alias("units_added"),

@@ -21,7 +21,7 @@ from .views import AS_OF, POSTINGS_SQL, SPLIT_DAY, ntz, postings_view, table
 def registry_view(spark, sf_dir):
     """(units before refresh, postings, listings): every customer's postings are one unit."""
     listings = postings_view(spark, sf_dir)
-    unit_id = F.concat(F.lit("unit-"), F.lpad(F.col("custkey").cast("string"), 10, "0"))
+    unit_id = F.concat(F.lit("unit-"), F.lpad(F.col("custkey").cast("string"), 20, "0"))
     postings = listings.select(
         unit_id.alias("unit_id"), "listing_id", F.lit(100.0).alias("match_score"), F.col("last_seen_at").alias("created_at")
     )
@@ -40,7 +40,7 @@ def refreshed(spark, sf_dir):
 
 
 REGISTRY_SQL = f"""
-p AS (SELECT *, 'unit-' || lpad(CAST(custkey AS VARCHAR), 10, '0') AS unit_id FROM ({POSTINGS_SQL})),
+p AS (SELECT *, 'unit-' || lpad(CAST(custkey AS VARCHAR), 20, '0') AS unit_id FROM ({POSTINGS_SQL})),
 newest AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY unit_id ORDER BY last_seen_at DESC, listing_id) = 1),
 known AS (SELECT unit_id, max(address) AS address, max(unit) AS canonical_unit, min(last_seen_at) AS created_at FROM p GROUP BY 1),
 units AS (SELECT k.unit_id, {sql_normalize('k.address')} AS canonical_address, k.canonical_unit, n.neighborhood, n.borough,
@@ -139,41 +139,23 @@ def upsert_partial(spark, sf_dir):
     p = postings_view(spark, sf_dir, place=False)
     types = column_types(LISTINGS)
     given = set(p.columns) - {"last_seen_at", "listing_id"}
-    # Sighting time made unique per posting, so that the order of one day's repeats is fixed.
     seen = p.select(
-        "source", "source_url", "listing_id", F.col("last_seen_at").alias("seen_at"),
+        "source", "source_url", F.col("listing_id").cast("bigint").alias("seq"), F.col("last_seen_at").alias("seen_at"),
         *[
             (F.col(c) if c in given else F.lit(None)).cast(t).alias(c)
             for c, t in types.items()
             if c not in ("source", "source_url", "listing_id", "first_seen_at", "last_seen_at")
         ],
     )
-    # One record per key and batch: the last of the day's repeats.
-    def last_per_key(df):
-        first = df.groupBy("source", "source_url").agg(
-            F.min("seen_at").alias("first_at"), F.max_by(F.struct(*df.columns), F.struct("seen_at", "listing_id")).alias("r")
-        )
-        return first
-
     day = ntz(SPLIT_DAY)
     empty = spark.createDataFrame([], LISTINGS)
-    old = seen.filter(F.col("seen_at") < day)
-    new = seen.filter(F.col("seen_at") >= day)
-    both = [_with_first(last_per_key(df)) for df in (old, new)]
-    table_ = upsert_listings(empty, both[0])
-    table_ = upsert_listings(table_, both[1], columns=FOLDER_IMPORT_COLUMNS)
+    table_ = upsert_listings(empty, seen.filter(F.col("seen_at") < day))
+    table_ = upsert_listings(table_, seen.filter(F.col("seen_at") >= day), columns=FOLDER_IMPORT_COLUMNS)
     return table_.select(
         "source", "source_url", "first_seen_at", "last_seen_at", "title", "unit", "rent_net", "broker_fee", "lat", "lng"
     )
 
 
-def _with_first(reduced):
-    """First and last record of each key: the first one only carries its time."""
-    last = reduced.select("r.*")
-    first = reduced.filter(F.col("first_at") < F.col("r.seen_at")).select("r.*", "first_at")
-    return last.unionByName(first.withColumn("seen_at", F.col("first_at")).drop("first_at"))
-
-
 @query(f"""
 WITH p AS ({POSTINGS_SQL}),
 l AS (SELECT 'unit-' || custkey AS unit_id, source AS listing_id, orderkey, last_seen_at FROM p)
@@ -187,14 +169,11 @@ def upsert_link_scores(spark, sf_dir):
         F.col("source").alias("listing_id"),
         (60 + F.col("orderkey") % 5 * 10).cast("double").alias("match_score"),
         F.col("last_seen_at").alias("created_at"),
-        "orderkey",
+        F.col("orderkey").alias("seq"),
     )
     day = ntz(SPLIT_DAY)
-    keys, cols = ["unit_id", "listing_id"], ["unit_id", "listing_id", "match_score", "created_at"]
-    # Repeats within a day are settled first; the merge itself orders by time.
-    settled = links.groupBy(*keys, "created_at").agg(F.max_by("match_score", "orderkey").alias("match_score")).select(*cols)
-    first = upsert_links(settled.limit(0), settled.filter(F.col("created_at") < day))
-    return upsert_links(first, settled.filter(F.col("created_at") >= day))
+    first = upsert_links(links.drop("seq").limit(0), links.filter(F.col("created_at") < day))
+    return upsert_links(first, links.filter(F.col("created_at") >= day))
 
 
 # --- search ----------------------------------------------------------------------------
@@ -266,7 +245,7 @@ def searches_view(spark, sf_dir):
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     ).select("n_nationkey", "n_name", "r_name")
     return c.join(place, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        F.lpad(key.cast("string"), 10, "0").alias("search_id"),
+        F.lpad(key.cast("string"), 20, "0").alias("search_id"),
         F.when(key % 17 != 0, F.col("c_name")).alias("name"),
         F.when(key % 19 == 0, F.lit("")).when(key % 5 == 0, F.repeat(F.col("c_mktsegment"), 30)).otherwise(
             F.concat(F.lit("near "), F.lower("c_mktsegment"))
@@ -282,7 +261,7 @@ def searches_view(spark, sf_dir):
 
 
 SEARCHES_SQL = """
-SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS search_id,
+SELECT lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS search_id,
        CASE WHEN c_custkey % 17 <> 0 THEN c_name END AS name,
        CASE WHEN c_custkey % 19 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN repeat(c_mktsegment, 30)
             ELSE 'near ' || lower(c_mktsegment) END AS prompt,

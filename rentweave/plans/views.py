@@ -42,7 +42,7 @@ def postings_view(spark: SparkSession, sf_dir: str, place: bool = True) -> DataF
 
 def _posting_columns(orders: DataFrame) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    listing_id = F.lpad(key.cast("string"), 12, "0")
+    listing_id = F.lpad(key.cast("string"), 20, "0")
     image = lambda n: F.concat(F.lit("img/"), (cust % n).cast("string"), F.lit(".jpg"))
     return orders.select(
         listing_id.alias("listing_id"),
@@ -73,7 +73,7 @@ def _posting_columns(orders: DataFrame) -> DataFrame:
 
 
 POSTINGS_SQL = """
-SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS listing_id,
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS listing_id,
        o_orderpriority AS source,
        'u/' || CAST(o_custkey AS VARCHAR) AS source_url,
        'Posting ' || CAST(o_orderkey AS VARCHAR) AS title,

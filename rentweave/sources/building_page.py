@@ -9,7 +9,7 @@ from ..functions.geo import geo_pair
 from ..functions.text import (
     BOROUGHS, WORD, WS, blank_to_null, extract, has, parse_money, parse_number, trim_ws,
 )
-from .html import ELS, attr, class_part, element_text, first, last, select, shred_pages, tagged
+from .html import ELS, attr, class_part, element_text, first, last, own_text, select, shred_pages, tagged
 
 # Class name parts, phrases and limits the page marks its fields with.
 ADDRESS_PART, SUMMARY_PART, EXPLORE_PART, PRICE_PART = (
@@ -62,7 +62,7 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
                 "struct<title:string,og_title:string,og_images:array<string>,geo_position:string,icbm:string>"
             ),
         )
-    page = shred_pages(pages)
+    page = shred_pages(pages).withColumn("page_text", F.array_join("text_runs", ""))
 
     def texts(where) -> Column:
         return F.transform(select(where), element_text)
@@ -74,8 +74,7 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
         {
             "low_text": F.lower("page_text"),
             "paragraphs": texts(tagged("p")),
-            "head_title": trim_ws(F.array_join(F.transform(select(tagged("title")), lambda e: F.substring(
-                F.col("page_text"), e["start"] + 1, e["length"])), "")),
+            "head_title": trim_ws(F.array_join(F.transform(select(tagged("title")), own_text), "")),
             "meta_title": F.coalesce(blank_to_null(F.col("meta.title")), blank_to_null(F.col("meta.og_title"))),
             "place_title": F.coalesce(blank_to_null(F.col("meta.og_title")), blank_to_null(F.col("meta.title"))),
             "h1": blank_to_null(element_text(first(select(tagged("h1"))))),

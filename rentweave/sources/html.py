@@ -8,6 +8,7 @@ page text instead of carrying their own copy, so nested markup costs no extra sp
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -20,7 +21,7 @@ from ..functions.text import blank_to_null, has, trim_ws
 
 ELEMENTS = (
     "array<struct<seq:int,end_seq:int,parent:int,tag:string,classes:array<string>,"
-    "attrs:map<string,string>,start:int,length:int>>"
+    "attrs:map<string,string>,run:int,runs:int>>"
 )
 
 # Tags without content, and which open tags a new tag closes.
@@ -57,27 +58,24 @@ def _attributes(text: str) -> dict[str, str]:
     return values
 
 
-def shred(markup: str) -> tuple[str, list[list]]:
-    """Page text and elements [tag, parent, end_seq, attributes, start, length] in document order."""
+def shred(markup: str) -> tuple[list[str], list[list]]:
+    """Text runs and elements [tag, parent, end_seq, attributes, run, runs] in document order."""
     elements: list[list] = []
     opened: list[int] = []
+    depths: dict[str, list[int]] = {}  # of each open tag, where in ``opened`` it stands
     texts: list[str] = []
-    length = 0
     at, size = 0, len(markup)
 
     def close(depth: int) -> None:
-        for seq in opened[depth:]:
-            element = elements[seq]
+        while len(opened) > depth:
+            element = elements[opened.pop()]
             element[2] = len(elements)
-            element[5] = length - element[4]
-        del opened[depth:]
+            element[5] = len(texts) - element[4]
+            depths[element[0]].pop()
 
     def add_text(text: str, references: bool = True) -> None:
-        nonlocal length
         if text:
-            text = unescape(text) if references and "&" in text else text
-            texts.append(text)
-            length += len(text)
+            texts.append(unescape(text) if references and "&" in text else text)
 
     while at < size:
         token = _TOKEN.search(markup, at)
@@ -90,26 +88,24 @@ def shred(markup: str) -> tuple[str, list[list]]:
             continue
         tag = tag.lower()
         if closing:
-            for depth in range(len(opened) - 1, -1, -1):
-                if elements[opened[depth]][0] == tag:
-                    close(depth)
-                    break
+            if depths.get(tag):
+                close(depths[tag][-1])
             continue
         rules = _CLOSES.get(tag)
         if rules:
             closes, stops = rules
-            for depth in range(len(opened) - 1, -1, -1):
-                name = elements[opened[depth]][0]
-                if name in closes:
-                    close(depth)
-                elif name in stops:
-                    break
+            stop = max((depths[name][-1] for name in stops if depths.get(name)), default=-1)
+            # all open tags of this kind above the nearest stop: the outermost takes the others with it
+            hits = [places[bisect_right(places, stop)] for name in closes if (places := depths.get(name)) and places[-1] > stop]
+            if hits:
+                close(min(hits))
         seq = len(elements)
         elements.append(
-            [tag, opened[-1] if opened else -1, seq + 1, _attributes(rest) if rest else {}, length, 0]
+            [tag, opened[-1] if opened else -1, seq + 1, _attributes(rest) if rest else {}, len(texts), 0]
         )
         if tag in VOID:
             continue
+        depths.setdefault(tag, []).append(len(opened))
         opened.append(seq)
         if tag in _RAW_TEXT or tag in _PLAIN_TEXT:
             end = re.compile(f"</{tag}", re.I).search(markup, at)
@@ -118,7 +114,7 @@ def shred(markup: str) -> tuple[str, list[list]]:
             at = stop
     add_text(markup[at:])
     close(0)
-    return "".join(texts), elements
+    return texts, elements
 
 
 def _offsets(sizes: list[int | None]) -> pa.Array:
@@ -148,21 +144,21 @@ def _element_array(pages: list[list[list] | None]) -> pa.Array:
             pa.array([k for e in flat for k in e[3]], pa.string()),
             pa.array([v for e in flat for v in e[3].values()], pa.string()),
         ),
-        "start": pa.array([e[4] for e in flat], pa.int32()),
-        "length": pa.array([e[5] for e in flat], pa.int32()),
+        "run": pa.array([e[4] for e in flat], pa.int32()),
+        "runs": pa.array([e[5] for e in flat], pa.int32()),
     }
     structs = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
     return pa.ListArray.from_arrays(_offsets([None if p is None else len(p) for p in pages]), structs)
 
 
 def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Replace the markup column by ``page_text`` and ``elements``; one row per page.
+    """Replace the markup column by ``text_runs`` and ``elements``; one row per page.
 
     Small output chunks keep a batch of large pages within a worker's memory.
     """
     carried = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType(
-        [*carried, T.StructField("page_text", T.StringType()), T.StructField("elements", T._parse_datatype_string(ELEMENTS))]
+        [*carried, T.StructField("text_runs", T.ArrayType(T.StringType())), T.StructField("elements", T._parse_datatype_string(ELEMENTS))]
     )
     names = [f.name for f in carried]
 
@@ -174,10 +170,10 @@ def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(n) for n in names],
-                        pa.array([s[0] for s in shredded], pa.string()),
+                        pa.array([s[0] for s in shredded], pa.list_(pa.string())),
                         _element_array([s[1] for s in shredded]),
                     ],
-                    names=[*names, "page_text", "elements"],
+                    names=[*names, "text_runs", "elements"],
                 )
 
     return pages.mapInArrow(run, schema)
@@ -188,9 +184,14 @@ def shred_pages(pages: DataFrame, html: str = "html") -> DataFrame:
 ELS = "elements"
 
 
+def own_text(e: Column) -> Column:
+    """Text of an element and everything inside it."""
+    return F.array_join(F.slice("text_runs", e["run"] + 1, e["runs"]), "")
+
+
 def element_text(e: Column) -> Column:
     """Trimmed text of an element and everything inside it."""
-    return trim_ws(F.substring(F.col("page_text"), e["start"] + 1, e["length"]))
+    return trim_ws(own_text(e))
 
 
 def select(where, elements: Column | str = ELS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from rentweave.sources.adapters import SourceAdapter, SourceRegistry
@@ -94,8 +96,8 @@ def test_shredder_details(spark):
     text, elements = shred('<p a="1>2" B=x>one<p>two<br>three</p></div><!-- <i> --><textarea><b>&lt;</textarea><script>&lt;</script>')
     assert [e[0] for e in elements] == ["p", "p", "br", "textarea", "script"]
     assert elements[0][3] == {"a": "1>2", "b": "x"}
-    assert text == "onetwothree<b><&lt;"
-    assert [text[e[4] : e[4] + e[5]] for e in elements] == ["one", "twothree", "", "<b><", "&lt;"]
+    assert "".join(text) == "onetwothree<b><&lt;"
+    assert ["".join(text[e[4] : e[4] + e[5]]) for e in elements] == ["one", "twothree", "", "<b><", "&lt;"]
     page = shred_pages(spark.createDataFrame([("<a href=' /x '>  </a><a href='/y'>Y</a><a>Z</a>",), (None,)], "html string"))
     rows = page.select(
         first_text(tagged("a")).alias("t"), all_text(tagged("a")).alias("ts"), first_attr(tagged("a"), "href").alias("h"),
@@ -137,3 +139,11 @@ def test_discover_links(spark):
     )
     rows = {(r.url.rsplit("/", 2)[1], r.source_listing_id, r.seq, r.pos) for r in discover_links(df).collect()}
     assert rows == {("7", "7", 1, 0), ("8", "8", 1, 1)}
+
+
+@pytest.mark.parametrize("markup", ["<div>" * 1_000_000, "<b>" * 500_000 + "</i>" * 900_000, "<p>x" * 1_300_000])
+def test_large_broken_pages_are_linear(markup):
+    start = time.process_time()
+    _, elements = shred(markup)
+    assert len(elements) >= 500_000
+    assert time.process_time() - start < 60
