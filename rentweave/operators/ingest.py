@@ -37,7 +37,7 @@ def parse_batch(fetched: DataFrame, adapter: SourceAdapter) -> DataFrame:
     """Posting fields of every fetched row plus ``error``; a bad row never fails the task."""
     named = fetched.withColumn("source", F.lit(adapter.name))
     keep = [
-        c for c in ("source", "source_url", "source_listing_id", "http_status", "seen_at", "content") if c in named.columns
+        c for c in ("source", "source_url", "source_listing_id", "http_status", "seen_at", "seq", "content") if c in named.columns
     ]
     return adapter.parse(named).select(*keep, *PARSED_FIELDS, "error")
 
@@ -70,6 +70,7 @@ def ingest_batch(fetched: DataFrame, adapter: SourceAdapter, limit: int = 0) ->
             F.col("content").alias("raw_content"),
             F.when(good, extracted_json(list(PARSED_FIELDS))).alias("extracted_json"),
             F.lit(PARSE_VERSION).alias("parse_version"),
+            *[c for c in ("seq",) if c in parsed.columns],
         ),
         listings=parsed.filter(good).drop("error", "content"),
         errors=parsed.filter(~good).select("source", "source_url", "error"),

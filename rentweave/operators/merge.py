@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
 from ..schemas import PARSED_FIELDS
+from ..session import stage
+
+#: Keys of a batch up to which they are sent to all tasks.
+MOST_KEYS = 500_000
 
 
 def keyed_upsert(
@@ -25,9 +29,23 @@ def keyed_upsert(
     takes ``insert_only`` columns from its first record, ``update`` columns always
     come from its last one (nulls included), all other columns keep the old value.
 
-    One aggregation with map-side combine: a key repeated in a third of the batch
+    Rows whose key the batch does not hold pass through without a shuffle, as long as
+    the batch has at most ``MOST_KEYS`` keys; a larger batch is merged as a whole. Only the
+    rest is aggregated, with map-side combine: a key repeated in a third of the batch
     shrinks to one row per map task before the shuffle.
     """
+    touched = stage(incoming.select(*keys).distinct(), "keys")
+    if touched.limit(MOST_KEYS + 1).count() > MOST_KEYS:
+        return _merge(existing, incoming, keys, order, update, insert_only)
+    hit = F.lit(True)
+    for c in keys:
+        hit = hit & F.col(f"e.{c}").eqNullSafe(F.col(f"k.{c}"))
+    old, few = existing.alias("e"), F.broadcast(touched).alias("k")
+    merged = _merge(old.join(few, hit, "left_semi"), incoming, keys, order, update, insert_only)
+    return old.join(few, hit, "left_anti").unionByName(merged)
+
+
+def _merge(existing, incoming, keys, order, update, insert_only) -> DataFrame:
     columns = existing.columns
     written = {*keys, *update, *insert_only}
     types = dict(existing.dtypes)
@@ -54,6 +72,11 @@ def keyed_upsert(
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """With ``seq``, the order of arrival, which decides between equal times."""
+    return rows if "seq" in rows.columns else rows.withColumn("seq", F.lit(None).cast("bigint"))
+
+
 def _null(df: DataFrame, name: str):
     return F.lit(None).cast(df.schema[name].dataType).alias(name)
 
@@ -65,7 +88,7 @@ def upsert_raw(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     """Raw pages by (source, source_url); the source's own id is set on insert only."""
     rows = fetched.withColumn("raw_id", stable_id(F.lit("raw"), F.col("source"), F.col("source_url")))
     return keyed_upsert(
-        existing, rows, LISTING_KEY, ("fetched_at",),
+        existing, _in_order(rows), LISTING_KEY, ("fetched_at", "seq"),
         update=("fetched_at", "http_status", "raw_content", "extracted_json", "parse_version"),
         insert_only=("raw_id", "source_listing_id"),
     )
@@ -96,7 +119,7 @@ def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[st
     )
     update = tuple(columns) if columns else ("raw_id", *PARSED_FIELDS, "last_seen_at")
     return keyed_upsert(
-        existing, rows, LISTING_KEY, ("seen_at",), update=update,
+        existing, _in_order(rows), LISTING_KEY, ("seen_at", "seq"), update=update,
         insert_only=("listing_id", "first_seen_at"),
     )
 
@@ -104,6 +127,6 @@ def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[st
 def upsert_links(existing: DataFrame, links: DataFrame) -> DataFrame:
     """Unit-listing links; a known pair only gets the new score."""
     return keyed_upsert(
-        existing, links, ("unit_id", "listing_id"), ("created_at",),
+        existing, _in_order(links), ("unit_id", "listing_id"), ("created_at", "seq"),
         update=("match_score",), insert_only=("created_at",),
     )

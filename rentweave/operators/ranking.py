@@ -1,8 +1,8 @@
 """Ordered positions without one task per group.
 
-Top-k needs no helper: ``row_number() <= k`` is cut down before the shuffle. A full
-numbering or a lag over a group that holds a third of all rows is split here into
-buckets that keep the order; only per-bucket summaries meet in one place.
+A top-k, a full numbering or a lag over a group that holds a third of all rows is split
+here into sort partitions or buckets that keep the order; only their summaries meet in one
+place.
 """
 
 from __future__ import annotations
@@ -79,9 +79,22 @@ def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
-    """First ``k`` rows of each key by ``order``; map tasks pass on at most ``k`` per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    """First ``k`` rows of each key by ``order``, with their place; one plan for every ``k``.
+
+    The rows are range-sorted by key and order, so a key with very many rows spreads over
+    sort partitions, whose row counts per key place it; no task holds a whole key.
+    """
+    placed = sorted_position(df, [*[F.col(c) for c in keys], *order], "_at")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*keys, "_part", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (
+        _join_null_safe(placed, starts.where(F.col("_before") < k), [*keys, "_part"])
+        .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+        .filter(F.col(name) <= k)
+        .drop("_at", "_part", "_first", "_before")
+    )
 
 
 def sorted_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from rentweave.operators import detail, history, ranking, search
@@ -199,3 +200,49 @@ def test_run_stats(spark):
     assert row.asDict() == dict(
         starting_units=7, discovered=5, new_urls=3, ingested=1, errors=1, units_added=1, ending_units=8
     )
+
+
+def test_equal_times_apply_in_order_of_arrival(spark):
+    from rentweave.operators.merge import upsert_links
+
+    rows = [("u", f"l{i % 3}", float(i), i) for i in range(30)]
+    schema = "unit_id string, listing_id string, match_score double, seq long"
+    known = spark.createDataFrame([("u", "l0", -1.0), ("v", "l0", -2.0)], "unit_id string, listing_id string, match_score double")
+    noon = F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")
+    for order in (rows, rows[::-1]):
+        batch = spark.createDataFrame(order, schema).withColumn("created_at", noon)
+        got = upsert_links(known.withColumn("created_at", noon), batch)
+        assert {(r.unit_id, r.listing_id): r.match_score for r in got.collect()} == {
+            ("u", "l0"): 27.0, ("u", "l1"): 28.0, ("u", "l2"): 29.0, ("v", "l0"): -2.0
+        }
+
+
+def test_known_rows_of_other_keys_are_not_shuffled(spark):
+    from rentweave.operators.merge import keyed_upsert
+
+    known = spark.range(1000).select("id", F.lit("page").alias("content"), F.lit(0).alias("at"))
+    batch = spark.createDataFrame([(5, "new", 1)], "id long, content string, at int")
+    merged = keyed_upsert(known, batch, ("id",), ("at",), update=("content", "at"))
+    assert merged.count() == 1000 and merged.where("content = 'new'").count() == 1
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    untouched = plan[: plan.index("LeftSemi")]
+    assert "LeftAnti" in untouched and "hashpartitioning" not in untouched[: untouched.index("LeftAnti")]
+
+
+@pytest.mark.parametrize("k", [3, 5000])
+def test_top_rows_at_any_k(spark, k):
+    from rentweave.operators.ranking import top_rows
+
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 4 == 0, F.lit("small")).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.lit("hot")).alias("source"),
+        (F.col("id") * 7919 % 20_011).alias("seq"),
+    )
+    got = top_rows(rows, ["source"], [F.col("seq")], k, "place")
+    want: dict = {}
+    for r in sorted(rows.collect(), key=lambda r: r.seq):
+        want.setdefault(r.source, []).append(r.seq)
+    found: dict = {}
+    for r in sorted(got.collect(), key=lambda r: r.place):
+        found.setdefault(r.source, []).append(r.seq)
+        assert r.place == len(found[r.source])
+    assert found == {s: v[:k] for s, v in want.items()}
