@@ -122,14 +122,29 @@ def assign_jobs(tasks: DataFrame, jobs: DataFrame, mode: str = MODE_TARGETED) ->
     )
 
 
-def add_job_counts(jobs: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Targeted jobs: counters of the run are added to the job's own."""
+def open_jobs(assigned: DataFrame, jobs: DataFrame, opened_at: Column, mode: str = MODE_TARGETED, target: int | None = None) -> DataFrame:
+    """``jobs`` with a row for every new job of ``assigned`` (see ``assign_jobs``), its counters at zero."""
+    types = dict(jobs.dtypes)
+    fresh = assigned.filter("is_new").select("job_id", "source", "query").distinct().join(jobs.select("job_id"), "job_id", "left_anti")
+    known = {
+        "mode": F.lit(mode), "status": F.lit("active"), "target_count": F.lit(target),
+        "discovered": F.lit(0), "ingested": F.lit(0), "units_added": F.lit(0),
+        "created_at": opened_at, "updated_at": opened_at,
+    }
+    return jobs.unionByName(fresh.select(*[known.get(c, F.col(c)).cast(types[c]).alias(c) for c in jobs.columns]))
+
+
+def add_job_counts(jobs: DataFrame, deltas: DataFrame, updated_at: Column | None = None) -> DataFrame:
+    """Targeted jobs: counters of the run are added to the job's own, which counts as an update.
+
+    Jobs the run has begun must have been opened (``open_jobs``).
+    """
     names = ("discovered", "ingested", "units_added")
-    run = deltas.groupBy("job_id").agg(*[F.sum(c).alias(f"d_{c}") for c in names])
-    joined = jobs.join(run, "job_id", "left")
-    return joined.withColumns(
-        {c: F.col(c) + F.coalesce(F.col(f"d_{c}"), F.lit(0)) for c in names}
-    ).select(*jobs.columns)
+    run = deltas.groupBy("job_id").agg(*[F.sum(c).alias(f"d_{c}") for c in names], F.lit(True).alias("counted"))
+    added = jobs.join(run, "job_id", "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"d_{c}"), F.lit(0)) for c in names})
+    if updated_at is not None:
+        added = added.withColumn("updated_at", F.when(F.col("counted"), updated_at).otherwise(F.col("updated_at")))
+    return added.select(*jobs.columns)
 
 
 def set_job_counts(jobs: DataFrame, totals: DataFrame) -> DataFrame:

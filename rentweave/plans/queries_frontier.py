@@ -168,6 +168,37 @@ def job_counters(spark, sf_dir):
     return jobs.select("job_id", "discovered", "ingested", "units_added")
 
 
+@query(f"""
+WITH {_JOBS_SQL}, a AS (SELECT source, query, min(job_id) AS job_id FROM jobs WHERE status = 'active' GROUP BY 1, 2),
+given AS (
+    SELECT coalesce(a.job_id, sha256('job' || chr(1) || 'user_targeted' || chr(1) || t.source || chr(1) || t.query)) AS job_id,
+           CAST(t.search_id AS BIGINT) AS s
+    FROM tasks t LEFT JOIN a ON a.source = t.source AND a.query = t.query),
+d AS (SELECT job_id, count(*) * 3 AS discovered, sum(s % 3) AS ingested, count(*) FILTER (s % 5 = 0) AS units_added FROM given GROUP BY 1),
+opened AS (
+    SELECT job_id, n % 5 AS discovered, n % 4 AS ingested, n % 3 AS units_added, status FROM jobs
+    UNION ALL SELECT job_id, 0, 0, 0, 'active' FROM d WHERE job_id NOT IN (SELECT job_id FROM jobs))
+SELECT o.job_id, status, CAST(o.discovered + coalesce(d.discovered, 0) AS BIGINT) AS discovered,
+       CAST(o.ingested + coalesce(d.ingested, 0) AS BIGINT) AS ingested,
+       CAST(o.units_added + coalesce(d.units_added, 0) AS BIGINT) AS units_added, d.job_id IS NOT NULL AS updated
+FROM opened o LEFT JOIN d ON d.job_id = o.job_id
+""")
+def opened_job_counters(spark, sf_dir):
+    """Tasks get their jobs, jobs not seen before get a row, then the run is counted."""
+    jobs = jobs_view(spark, sf_dir)
+    given = frontier.assign_jobs(frontier.plan_searches(searches_view(spark, sf_dir), _SOURCES), jobs)
+    number = F.col("search_id").cast("bigint")
+    counts = given.select(
+        "job_id", F.lit(3).cast("bigint").alias("discovered"), (number % 3).alias("ingested"),
+        (number % 5 == 0).cast("bigint").alias("units_added"),
+    )
+    opened = frontier.open_jobs(given, jobs, ntz("2001-01-01 00:00:00"))
+    counted = frontier.add_job_counts(opened, counts, ntz(AS_OF))
+    return counted.select(
+        "job_id", "status", "discovered", "ingested", "units_added", (F.col("updated_at") == ntz(AS_OF)).alias("updated")
+    )
+
+
 @query(f"""
 WITH {_JOBS_SQL}, {_DELTA_SQL}
 SELECT j.job_id, coalesce(d.discovered, n % 5) AS discovered, coalesce(d.ingested, n % 4) AS ingested,

@@ -175,6 +175,20 @@ def source_caps(spark, sf_dir):
     return cap_per_source(found, 100).select("source", F.col("url").alias("source_url"), "seq")
 
 
+@query("""
+SELECT CAST(l_linenumber % 3 AS VARCHAR) AS source, 'l/' || l_orderkey || '/' || l_linenumber AS source_url, l_orderkey AS seq FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_linenumber % 3 ORDER BY l_orderkey, source_url) <= 5000
+""")
+def source_caps_large(spark, sf_dir):
+    """A cap far above what one task should hold of a source."""
+    line, order = F.col("l_linenumber"), F.col("l_orderkey")
+    found = table(spark, sf_dir, "lineitem").select(
+        (line % 3).cast("string").alias("source"),
+        F.concat(F.lit("l/"), order.cast("string"), F.lit("/"), line.cast("string")).alias("url"), order.alias("seq"),
+    )
+    return cap_per_source(found, 5000).select("source", F.col("url").alias("source_url"), "seq")
+
+
 # --- pages -----------------------------------------------------------------------------
 
 
