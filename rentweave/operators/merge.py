@@ -73,8 +73,11 @@ def _merge(existing, incoming, keys, order, update, insert_only) -> DataFrame:
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """With ``seq``, the order of arrival, which decides between equal times."""
-    return rows if "seq" in rows.columns else rows.withColumn("seq", F.lit(None).cast("bigint"))
+    """With ``batch`` and ``seq``, the order of arrival of batches and, at equal times, of their records."""
+    for c in ("batch", "seq"):
+        if c not in rows.columns:
+            rows = rows.withColumn(c, F.lit(None).cast("bigint"))
+    return rows
 
 
 def _null(df: DataFrame, name: str):
@@ -88,7 +91,7 @@ def upsert_raw(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     """Raw pages by (source, source_url); the source's own id is set on insert only."""
     rows = fetched.withColumn("raw_id", stable_id(F.lit("raw"), F.col("source"), F.col("source_url")))
     return keyed_upsert(
-        existing, _in_order(rows), LISTING_KEY, ("fetched_at", "seq"),
+        existing, _in_order(rows), LISTING_KEY, ("batch", "fetched_at", "seq"),
         update=("fetched_at", "http_status", "raw_content", "extracted_json", "parse_version"),
         insert_only=("raw_id", "source_listing_id"),
     )
@@ -119,7 +122,7 @@ def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[st
     )
     update = tuple(columns) if columns else ("raw_id", *PARSED_FIELDS, "last_seen_at")
     return keyed_upsert(
-        existing, _in_order(rows), LISTING_KEY, ("seen_at", "seq"), update=update,
+        existing, _in_order(rows), LISTING_KEY, ("batch", "seen_at", "seq"), update=update,
         insert_only=("listing_id", "first_seen_at"),
     )
 
@@ -127,6 +130,6 @@ def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[st
 def upsert_links(existing: DataFrame, links: DataFrame) -> DataFrame:
     """Unit-listing links; a known pair only gets the new score."""
     return keyed_upsert(
-        existing, _in_order(links), ("unit_id", "listing_id"), ("created_at", "seq"),
+        existing, _in_order(links), ("unit_id", "listing_id"), ("batch", "created_at", "seq"),
         update=("match_score",), insert_only=("created_at",),
     )

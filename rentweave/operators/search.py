@@ -78,9 +78,11 @@ def search_units(
     hits = stage(found.offset((page - 1) * limit).limit(limit), "page")
     ids = F.broadcast(hits.select("unit_id"))
     linked = postings.select("unit_id", "listing_id").join(ids, "unit_id", "left_semi")
-    details = posting_counts(linked).join(newest_image(linked, listings), "unit_id", "left")
+    # only the page's postings, and of their images the first, come to a join
+    shown = listings.join(linked.select("listing_id"), "listing_id", "left_semi").withColumn("images", F.slice("images", 1, 1))
+    details = posting_counts(linked).join(newest_image(linked, shown), "unit_id", "left")
     return (
-        details.join(F.broadcast(hits), "unit_id", "right")
+        hits.join(details, "unit_id", "left")
         .select(
             "unit_id",
             F.col("canonical_address").alias("address"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,10 +85,15 @@ def run_batch(registry: Registry, batches: list, as_of: Column, strict: bool = T
 
     Returns the new registry (each table written once) and the change records.
     """
+
+    def together(part: str) -> DataFrame:
+        """The batches' records as one, with their batch's place: one merge however many sources there are."""
+        parts = [getattr(b, part).withColumn("batch", F.lit(n)) for n, b in enumerate(batches)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
     raw, listings = registry.raw, registry.listings
-    for batch in batches:
-        raw = upsert_raw(raw, batch.raw)
-        listings = upsert_listings(listings, batch.listings)
+    if batches:
+        raw, listings = upsert_raw(raw, together("raw")), upsert_listings(listings, together("listings"))
     raw, listings = stage(raw, "raw"), stage(listings, "listings")
     run = link_new(listings, registry.units, registry.postings, as_of, strict)
     units = stage(update_freshness(run.units, as_of).drop("state_changed"), "units")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -11,6 +13,7 @@ from ..operators.ingest import ingest_batch
 from ..operators.merge import upsert_listings, upsert_raw
 from ..plans.run import link_arrivals
 from ..schemas import CHANGE_LOG, LISTINGS, PAGES, POSTINGS, RAW_LISTINGS, UNITS
+from ..session import stage
 from ..sources.adapters import SourceAdapter
 from ..sources.intake import accepted, check_pages, quarantined
 
@@ -54,7 +57,9 @@ def import_pages(
     """Writer that checks, parses, merges and links each micro-batch; start() it."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        checked = check_pages(batch)
+        # one reading of the batch and one time for all its tables
+        checked = stage(check_pages(batch), "checked")
+        now = F.lit(datetime.now(UTC).isoformat(sep=" ")[:26]).cast("timestamp_ntz")
         registry.write_batch("refused", epoch, quarantined(checked).select("url", "fetched_at", "reject_reason"))
         fetched = accepted(checked).select(
             F.col("url").alias("source_url"), F.lit(None).cast("string").alias("source_listing_id"),
@@ -67,7 +72,6 @@ def import_pages(
         arrived = listings.join(
             parsed.listings.select("source", "source_url").distinct(), ["source", "source_url"], "left_semi"
         )
-        now = F.current_timestamp().cast("timestamp_ntz")
         linked = link_arrivals(arrived, before["units"], before["postings"], now)
         registry.write("units", epoch, linked.units)
         registry.write("postings", epoch, linked.postings)
