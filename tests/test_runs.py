@@ -10,8 +10,9 @@ from test_linkage import CLASSIFIED, STRUCTURED
 
 from rentweave.operators.ingest import ingest_batch
 from rentweave.operators.registry import append_changes
+from rentweave.plans.rounds import registry_round, targeted_round
 from rentweave.plans.run import Registry, run_batch
-from rentweave.schemas import LISTINGS, POSTINGS, RAW_LISTINGS, UNITS
+from rentweave.schemas import CRAWL_JOBS, LISTINGS, POSTINGS, RAW_LISTINGS, SAVED_SEARCHES, UNITS
 from rentweave.sources.adapters import SourceRegistry
 
 T0 = datetime(2026, 2, 1)
@@ -72,3 +73,56 @@ def test_golden_run_and_rerun(spark, tmp_path):
         before, after = getattr(registry, name), getattr(again, name)
         assert sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def fetched_and_found(spark):
+    """The golden records as fetched content, and their urls as discovered."""
+    both = batches(spark)
+    rows = [
+        (b.stats.first().source, r.source_url, r.source_listing_id, r.http_status, r.raw_content, r.fetched_at, r.seq)
+        for b in both for r in b.raw.collect()
+    ]
+    fetched = spark.createDataFrame(
+        rows, "source string, source_url string, source_listing_id string, http_status int, raw_content string, seen_at timestamp_ntz, seq int"
+    )
+    return fetched, fetched.select("source", F.col("source_url").alias("url"), "seq")
+
+
+def test_registry_rounds(spark):
+    fetched, found = fetched_and_found(spark)
+    now = F.lit("2026-02-10 00:30:00").cast("timestamp_ntz")
+    jobs = spark.createDataFrame([], CRAWL_JOBS)
+    adapters = SourceRegistry().route("structured_json,classified_json")
+    one = registry_round(empty(spark), jobs, found, fetched, now, adapters, batch=3, target=8)
+    assert one.stats.first().asDict() == {
+        "starting_units": 0, "discovered": 11, "new_urls": 6, "ingested": 6, "errors": 0, "units_added": 5, "ending_units": 5
+    }
+    two = registry_round(one.registry, one.jobs, found, fetched, now, adapters, batch=3, target=8)
+    (job,) = two.jobs.collect()
+    assert (job.source, job.mode, job.status, job.discovered, job.ingested, job.units_added) == (
+        "all", "seed_registry", "paused", 11, 4, 4
+    )
+    assert two.registry.units.count() == 9
+    three = registry_round(two.registry, two.jobs, found, fetched, now, adapters, batch=3, target=8)
+    assert three.stats.first().new_urls == 0 and three.registry.units.count() == 9
+
+
+def test_targeted_round(spark):
+    fetched, found = fetched_and_found(spark)
+    now = F.lit("2026-02-10 00:30:00").cast("timestamp_ntz")
+    searches = spark.createDataFrame(
+        [("a", "A", None, 4000, None, None, None, True, True, T0), ("b", "B", None, None, 2.0, None, None, False, True, T0),
+         ("c", "C", None, None, None, None, None, False, False, T0)], SAVED_SEARCHES
+    )
+    discovered = found.withColumn("search_id", F.when(F.col("seq") < 2, "a").otherwise("b"))
+    adapters = SourceRegistry().route("structured_json,classified_json")
+    done = targeted_round(empty(spark), spark.createDataFrame([], CRAWL_JOBS), searches, discovered, fetched, now, adapters)
+    jobs = {(j.source, "no fee" in j.query): (j.discovered, j.ingested, j.units_added) for j in done.jobs.collect()}
+    assert jobs == {
+        ("structured_json", True): (2, 2, 2), ("classified_json", True): (2, 2, 2),
+        ("structured_json", False): (4, 3, 3), ("classified_json", False): (3, 3, 3),
+    }
+    again = targeted_round(done.registry, done.jobs, searches, discovered, fetched, now, adapters)
+    assert again.jobs.count() == 4
+    more = {(j.source, "no fee" in j.query): (j.discovered, j.ingested, j.units_added) for j in again.jobs.collect()}
+    assert more[("structured_json", True)][0] == 4 and more[("classified_json", False)] == (6, 3, 3)
