@@ -29,8 +29,8 @@ _LATE = 1 << 60
 #: White space as the splitting pattern's ``\s`` has it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: Encoded chunks that a Python worker keeps.
-KEEP_CHUNKS = 400_000
+#: Encoded chunks that a Python worker keeps, in two generations: those met again move on.
+KEEP_CHUNKS = 1_000_000
 #: Pairs of tokens whose seam a Python worker remembers.
 KEEP_SEAMS = 1_000_000
 
@@ -162,23 +162,26 @@ class DocumentCodec:
         self.bpe = PrefixBpe(read_ranks(ranks_path))
         self.pieces = regex.compile(pattern)
         self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.before: dict[str, tuple[int, str, bytes]] = {}
 
     def tokens(self, text: str) -> list[int]:
         return [t for piece in self.pieces.findall(text) for t in self.bpe.encode(piece.encode())]
 
     def _chunk(self, chunk: str) -> tuple[int, str, bytes]:
-        tokens = self.tokens(chunk)
-        out = (len(tokens), " ".join(map(str, tokens)), self.bpe.decode(tokens))
+        out = self.before.get(chunk)
+        if out is None:
+            tokens = self.tokens(chunk)
+            out = (len(tokens), " ".join(map(str, tokens)), self.bpe.decode(tokens))
         if len(chunk) < 64:
-            if len(self.known) >= KEEP_CHUNKS:
-                self.known.clear()
             self.known[chunk] = out
         return out
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, sha-256 of the ids in decimal and of the bytes decoded from them."""
+        if len(self.known) >= KEEP_CHUNKS // 2:
+            self.known, self.before = {}, self.known
         known, chunk_of = self.known.get, self._chunk
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        ids, decoded = hashlib.sha256(), hashlib.sha256()
         some = [known(c) or chunk_of(c) for c in _CHUNK.findall(text)]
         n = sum(x[0] for x in some)
         ids.update(" ".join([x[1] for x in some]).encode())
