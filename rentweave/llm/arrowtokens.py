@@ -15,9 +15,9 @@ the result.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,39 +25,69 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rentweave.llm.common import shared_folder, shuffle_partitions, slices, stage
+from rentweave.llm.common import shared_folder, shuffle_partitions, slices, stage, utf8
 
 LENGTH = 2048
 BATCH = 128
 #: Encoded words that a Python worker keeps.
-KEEP_WORDS = 300_000
-#: White space on which every step of the tokenizer splits anyway, so words are encoded by themselves.
-_WORD = re.compile(r"[^ \t\n\r\f\v]+")
+KEEP_WORDS = 1_200_000
+_CLOSING = ".,!?;:"
+_LAST_LATIN = "\u024f"
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each different word once."""
+    """Ids of whole texts by the tokenizers library, which sees each different word core once.
+
+    The tokenizer splits on white space, parts letters from closing punctuation and
+    lower-cases, so a word's ids are those of its lower-cased letters and of its closing
+    punctuation, one after the other. Words of any other form are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text in the smallest fitting type; null is empty."""
-        split = [_WORD.findall(t) if t else [] for t in texts]
-        if len(self.known) > KEEP_WORDS:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
+        wide = self.tokenizer.get_vocab_size() > 1 << 16
+        self.dtype, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}  # the generation before: words met again move on
+        self.cores: dict[str, bytes] = {}
+
+    def _parts(self, word: str) -> tuple[str, str]:
+        """Core and closing punctuation; letters from outside the Latin blocks are left alone."""
+        core = word.rstrip(_CLOSING)
+        if core.isalpha() and max(core) <= _LAST_LATIN and core.lower().isalpha():
+            return core.lower(), word[len(core) :]
+        return word, ""
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = [(w, *self._parts(w.decode())) for w in words]
+        cores, code = self.cores, self.code
+        if len(cores) > KEEP_WORDS // 2:
+            cores.clear()
+        new = list({part for _, *parts in split for part in parts if part not in cores})
         for lo in range(0, len(new), 10_000):
-            part = new[lo : lo + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+            some = new[lo : lo + 10_000]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                cores[part] = array(code, e.ids).tobytes()
+        known = self.known
+        for w, core, closing in split:
+            known[w] = cores[core] + cores[closing]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text in the smallest fitting type, little-endian as the machine's."""
+        # bytes.split() parts at ASCII white space, on which every step of the tokenizer parts anyway
+        split = [t.split() for t in texts]
+        if len(self.known) > KEEP_WORDS // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set().union(*split).difference(known)
+        again = new.intersection(before)
+        for w in again:
+            known[w] = before[w]
+        self._learn(list(new - again))
+        return [b"".join(map(known.__getitem__, ws)) for ws in split]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -178,7 +208,9 @@ def write_sequences(docs: DataFrame, tokenizer: str, end_id: int, length: int =
                 sink = files.open_output_stream(path)
                 writer = SequenceWriter(sink, coder.dtype, length)
             starts, sizes = [], []
-            for ids in coder.encode(batch.column("text").to_pylist()):
+            data, ends = utf8(batch.column("text"))
+            raw, ends = data.tobytes(), ends.tolist()
+            for ids in coder.encode([raw[a:b] for a, b in zip(ends, ends[1:])]):
                 starts.append(writer.total)
                 writer.append(ids + end)
                 sizes.append(writer.total - starts[-1])

@@ -15,7 +15,7 @@ from rentweave.llm import arrowtokens, bpe
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
-ALPHABET = ["a", "b", "the", " The", "'s", "'ll", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "é", "e\u0301", "ñ", "中", "😀", "0", "12", "!!", "<|endoftext|>", "Σ", "ΑΣ "]
+ALPHABET = ["a", "b", "the", " The", "'s", "'ll", " ", "  ", "\n", "\t", "\xa0", "\u3000", "\x1c", "\x85", "é", "e\u0301", "ñ", "中", "😀", "0", "12", "!!", "<|endoftext|>", "Σ", "ΑΣ ", ".", ",", ";", "!?", ":", "The", "É", "ß", "İ", "ŉ"]
 
 
 @pytest.fixture(scope="module")
@@ -76,8 +76,8 @@ def test_words_encode_by_themselves():
     from tokenizers import Tokenizer
 
     tokenizer, coder = Tokenizer.from_file(WORDS), arrowtokens.WordEncoder(WORDS)
-    some = texts(2000, 4)
-    for t, e, ids in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), coder.encode(some)):
+    some = texts(4000, 4) + ["The end. THE END!? the'S, it's. <|ENDOFTEXT|>. <|endoftext|>, Ñandú; İI. ǅ: e\u0301. naïve... O'Neil's", "ΟΔΟΣ. οδος!"]
+    for t, e, ids in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), coder.encode([t.encode() for t in some])):
         assert np.frombuffer(ids, coder.dtype).tolist() == e.ids, t
 
 
