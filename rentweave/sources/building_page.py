@@ -9,7 +9,7 @@ from ..functions.geo import geo_pair
 from ..functions.text import (
     BOROUGHS, WORD, WS, blank_to_null, extract, has, parse_money, parse_number, trim_ws,
 )
-from .html import ELS, attr, class_part, element_text, first, last, own_text, select, shred_pages, tagged
+from .html import attr, class_part, element_text, first, last, own_text, select, shred_pages, tagged
 
 # Class name parts, phrases and limits the page marks its fields with.
 ADDRESS_PART, SUMMARY_PART, EXPLORE_PART, PRICE_PART = (
