@@ -2,8 +2,7 @@
 
 Hashing works on whole Arrow batches: the words or bytes of a batch form one
 buffer, an n-gram's hash is a difference of prefix sums, and n-grams that cross
-a document's end are masked out. Document ids may be any bigint; where a document
-id and a place share one long (``PLACE_BITS``), the ids are checked first.
+a document's end are masked out. Document ids may be any bigint.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentweave.session import checkpoint_root, stage as write_stage
 
@@ -215,16 +214,6 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def sha256_hex(data: bytes) -> str:
-    import hashlib
-
-    return hashlib.sha256(data).hexdigest()
-
-
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only; others, whatever their names, never meet the operator's own."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))

@@ -15,7 +15,6 @@ knows, so that a text is scored by two array look-ups per byte.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 

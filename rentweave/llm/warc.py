@@ -76,17 +76,20 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def inflate(source) -> Iterator[bytes]:
     """Inflated chunks of a gzip stream of one or many members."""
-    engine = zlib.decompressobj(wbits=31)
+    engine, begun = zlib.decompressobj(wbits=31), False
     while chunk := source.read(_READ):
         while chunk:
+            begun = True
             yield engine.decompress(chunk, 4 * _READ)
             while engine.unconsumed_tail:
                 yield engine.decompress(engine.unconsumed_tail, 4 * _READ)
             chunk = engine.unused_data
             if engine.eof:
-                engine = zlib.decompressobj(wbits=31)
-    if engine.unused_data or (not engine.eof and engine.decompress(b"", 1)):
-        raise ValueError("the archive ends inside a record")
+                engine, begun = zlib.decompressobj(wbits=31), False
+    if begun:
+        yield engine.flush()
+        if not engine.eof:
+            raise ValueError("the archive ends inside a member")
 
 
 def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
