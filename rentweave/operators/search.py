@@ -141,7 +141,10 @@ def _blocks_up_to(limit: Column) -> Column:
 
 
 def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
-    """Every active saved search run over all units: total hits and the newest one.
+    """Every active saved search run over all units: total hits and the first one in search order.
+
+    The order is newest first, behind units without a broker fee where the search prefers
+    them; both firsts are kept per block, as minima.
 
     No search is compared with single units. Units are summed up per place, block of
     rents and bedroom count; a search reads the few blocks that make up its rent range
@@ -152,27 +155,31 @@ def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
     limits = active.select(
         F.coalesce(F.nullif("borough", F.lit("")), F.lit(_ANY)).alias("at_borough"),
         F.coalesce(F.nullif("neighborhood", F.lit("")), F.lit(_ANY)).alias("at_hood"),
-        "max_rent", "min_beds", "search_id",
+        "max_rent", "min_beds", "search_id", F.coalesce("no_fee_preferred", F.lit(False)).alias("no_fee"),
     )
     key = ["at_borough", "at_hood", "max_rent", "min_beds"]
     asked = limits.select(*key).distinct().withColumn("block", F.explode(_blocks_up_to(F.col("max_rent"))))
 
     places = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(_ANY)), F.lit(_ANY)))
+    by_age = [age("last_seen_at").alias("age"), F.col("unit_id"), F.col("last_seen_at")]
+    by_fee = F.coalesce(F.col("broker_fee").cast("int"), F.lit(2)).alias("fee")
     summed = (
         units.groupBy("borough", "neighborhood", "best_rent_gross", "bedrooms")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(age("last_seen_at").alias("age"), "unit_id", "last_seen_at")).alias("newest"))
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct(*by_age)).alias("newest"), F.min(F.struct(by_fee, *by_age)).alias("no_fee_first")
+        )
         .withColumn("at_borough", F.explode(places("borough")))
         .withColumn("at_hood", F.explode(places("neighborhood")))
         .withColumn("block", F.explode(_blocks_holding(F.col("best_rent_gross"))))
         .groupBy("at_borough", "at_hood", "block", "bedrooms")
-        .agg(F.sum("n").alias("n"), F.min("newest").alias("newest"))
+        .agg(F.sum("n").alias("n"), F.min("newest").alias("newest"), F.min("no_fee_first").alias("no_fee_first"))
     )
     hits = (
         asked.join(summed, ["at_borough", "at_hood", "block"])
         .filter(F.col("min_beds").isNull() | (F.col("bedrooms") >= F.col("min_beds")))
         .groupBy(*key)
-        .agg(F.sum("n").alias("total"), F.min("newest").alias("newest"))
-        .select(*[F.col(c).alias(f"k_{c}") for c in key], "total", "newest")
+        .agg(F.sum("n").alias("total"), F.min("newest").alias("newest"), F.min("no_fee_first").alias("no_fee_first"))
+        .select(*[F.col(c).alias(f"k_{c}") for c in key], "total", "newest", "no_fee_first")
     )
     same = F.lit(True)
     for c in key:
@@ -180,6 +187,8 @@ def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
     return limits.join(hits, same, "left").select(
         "search_id",
         F.coalesce("total", F.lit(0)).alias("total"),
-        F.col("newest.unit_id").alias("newest_unit_id"),
-        F.col("newest.last_seen_at").alias("newest_seen_at"),
+        *[
+            F.when(F.col("no_fee"), F.col(f"no_fee_first.{c}")).otherwise(F.col(f"newest.{c}")).alias(name)
+            for c, name in (("unit_id", "first_unit_id"), ("last_seen_at", "first_hit_seen_at"))
+        ],
     )

@@ -277,7 +277,8 @@ FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON
 
 _HITS_SQL = f"""
 WITH {REGISTRY_SQL}, s AS ({SEARCHES_SQL}),
-hits AS (SELECT s.search_id, u.unit_id, u.last_seen_at FROM s JOIN units u
+hits AS (SELECT s.search_id, u.unit_id, u.last_seen_at,
+                CASE WHEN s.no_fee_preferred THEN coalesce(CAST(u.broker_fee AS INT), 2) ELSE 0 END AS fee FROM s JOIN units u
          ON (s.max_rent IS NULL OR u.best_rent_gross <= s.max_rent) AND (s.min_beds IS NULL OR u.bedrooms >= s.min_beds)
          AND (s.borough IS NULL OR u.borough = s.borough) AND (s.neighborhood IS NULL OR u.neighborhood = s.neighborhood)
          WHERE s.is_active)"""
@@ -285,8 +286,8 @@ hits AS (SELECT s.search_id, u.unit_id, u.last_seen_at FROM s JOIN units u
 
 @query(f"""{_HITS_SQL},
 t AS (SELECT search_id, count(*) AS total FROM hits GROUP BY 1),
-n AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY last_seen_at DESC, unit_id) = 1)
-SELECT s.search_id, coalesce(t.total, 0) AS total, n.unit_id AS newest_unit_id, n.last_seen_at AS newest_seen_at
+n AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY fee, last_seen_at DESC, unit_id) = 1)
+SELECT s.search_id, coalesce(t.total, 0) AS total, n.unit_id AS first_unit_id, n.last_seen_at AS first_hit_seen_at
 FROM s LEFT JOIN t ON t.search_id = s.search_id LEFT JOIN n ON n.search_id = s.search_id WHERE s.is_active
 """)
 def saved_search_matches(spark, sf_dir):

@@ -117,16 +117,17 @@ def test_saved_searches_against_brute_force(spark):
     us = [
         dict(unit_id=f"u{i:03d}", best_rent_gross=pick(None, -5, 0, 15, 16, 17, 255, 256, 4095, 4096, 2147483647, rng.randrange(9000)),
              bedrooms=pick(None, 0.0, 1.0, 1.5, 3.0), borough=pick("A", "B", None), neighborhood=pick("x", "y", None),
-             last_seen_at=T0 + timedelta(hours=rng.randrange(50)))
+             last_seen_at=T0 + timedelta(hours=rng.randrange(50)), broker_fee=pick(True, False, None))
         for i in range(200)
     ]
     ss = [
         dict(search_id=f"s{i:03d}", max_rent=pick(None, -6, -5, 0, 15, 16, 255, 4096, 2147483647, rng.randrange(9000)),
-             min_beds=pick(None, 0.0, 1.2, 3.0), borough=pick("A", "B", None, ""), neighborhood=pick("x", "y", None), is_active=i % 5 != 0)
+             min_beds=pick(None, 0.0, 1.2, 3.0), borough=pick("A", "B", None, ""), neighborhood=pick("x", "y", None), is_active=i % 5 != 0,
+             no_fee_preferred=pick(True, False, None))
         for i in range(150)
     ]
-    searches = table(spark, "search_id string, max_rent int, min_beds double, borough string, neighborhood string, is_active boolean", ss)
-    got = {r.search_id: (r.total, r.newest_unit_id) for r in search.match_saved_searches(searches, units(spark, us)).collect()}
+    searches = table(spark, "search_id string, max_rent int, min_beds double, borough string, neighborhood string, is_active boolean, no_fee_preferred boolean", ss)
+    got = {r.search_id: (r.total, r.first_unit_id) for r in search.match_saved_searches(searches, units(spark, us)).collect()}
     want = {}
     for s in ss:
         if not s["is_active"]:
@@ -138,8 +139,9 @@ def test_saved_searches_against_brute_force(spark):
             and (not s["borough"] or u["borough"] == s["borough"])
             and (not s["neighborhood"] or u["neighborhood"] == s["neighborhood"])
         ]
-        newest = min(hits, key=lambda u: (-u["last_seen_at"].timestamp(), u["unit_id"]))["unit_id"] if hits else None
-        want[s["search_id"]] = (len(hits), newest)
+        fee = lambda u: (2 if u["broker_fee"] is None else int(u["broker_fee"])) if s["no_fee_preferred"] else 0
+        first = min(hits, key=lambda u: (fee(u), -u["last_seen_at"].timestamp(), u["unit_id"]))["unit_id"] if hits else None
+        want[s["search_id"]] = (len(hits), first)
     assert got == want
 
 
