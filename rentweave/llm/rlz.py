@@ -66,9 +66,13 @@ def block_index(docs: DataFrame, window: int) -> DataFrame:
 def _shared_blocks(docs: DataFrame, window: int) -> DataFrame:
     """Per document the blocks that a second document has too, with their founder."""
     index = block_index(docs, window)
-    founders = index.groupBy("block").agg(
-        F.min("doc_id").alias("ref_doc_id"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place")
-    ).where("ref_doc_id < last").drop("last")
+    # a table of its own, so that the join is of plain shuffles, which adaptive execution can split at a hot block
+    founders = stage(
+        index.groupBy("block").agg(
+            F.min("doc_id").alias("ref_doc_id"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("ref_place")
+        ).where("ref_doc_id < last").drop("last"),
+        "founders",
+    )
     return index.join(founders, "block").select("doc_id", "place", "ref_doc_id", "ref_place")
 
 
