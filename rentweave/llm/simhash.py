@@ -345,7 +345,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
         F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("node"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")
     )
     placed = stage(_meeting_points(texts, shingle), "points")
-    ends = placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    # a table of its own, so that adaptive execution can split the join at a hot point
+    ends = stage(
+        placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "ends"
+    )
     pairs = stage(
         placed.join(ends, "point").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
         .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),

@@ -242,8 +242,12 @@ def repeat_groups(docs: DataFrame, length: int = 400) -> DataFrame:
     whole = seen.join(classes.where("n > 1").select("anchor", "class"), ["anchor", "class"]).select(
         F.col("class").alias("group_id"), "doc_id", "key", F.col("first").alias("start"), (F.col("last") + length).alias("stop")
     )
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where(
-        "classes > 1 and least = 1"
+    # a table of its own, so that adaptive execution can split the join at a hot gram
+    shared = stage(
+        classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where(
+            "classes > 1 and least = 1"
+        ),
+        "grams",
     )
     reps = classes.join(shared, "anchor").select(
         "anchor", "class", "n", "rep.*", (F.col("classes") > MOST_CLASSES).alias("crowded")
