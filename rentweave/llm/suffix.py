@@ -187,13 +187,13 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
     """Spans for grams with very many contexts: windows that a second context of the gram has too.
 
     A context's windows are taken in pieces of up to ``PIECE`` neighbouring ones, which have a
-    core of ``length - PIECE + 1`` bytes in common. Only pieces whose core a second context
-    has are opened and counted window by window.
+    core of ``length - PIECE + 1`` bytes in common. Equal pieces are repeats as a whole. Only
+    of pieces that share a core and differ, one of each is opened and counted window by window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "after"):
-            rows, cores, starts, windows = [], [], [], []
+            rows, cores, wholes, starts, windows = [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("anchor", "at", "before", "after"))
             for i, (anchor, at, b, a) in enumerate(zip(*columns)):
                 hashes = RangeHash(byte_codes(np.frombuffer(b + a, np.uint8)))
@@ -202,6 +202,7 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
                 core = left - piece[first] * PIECE
                 found = hashes(core, core + length - PIECE + 1) + piece[first].astype(np.uint64)
+                wholes.append(hashes(first, np.r_[first[1:], len(own)] + (length - 1)))
                 cores.append(mix(found ^ np.uint64(anchor % (1 << 64))))
                 rows.append(np.full(len(first), i))
                 starts.append(at - left + first)
@@ -209,22 +210,39 @@ def _count_windows(contexts: DataFrame, length: int) -> DataFrame:
             owner = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(as_signed(np.concatenate(cores))), *[batch.column(c).take(owner) for c in ("n", "doc_id", "key")],
+                    pa.array(as_signed(np.concatenate(cores))), pa.array(as_signed(np.concatenate(wholes))), *[batch.column(c).take(owner) for c in ("n", "doc_id", "key")],
                     pa.array(np.concatenate(starts).astype(np.int32)), pa.array(windows, pa.list_(pa.int64())),
                 ],
-                ["core", "n", "doc_id", "key", "start", "windows"],
+                ["core", "whole", "n", "doc_id", "key", "start", "windows"],
             )
 
-    pieces = contexts.where("crowded").mapInArrow(
-        run, "core long, n long, doc_id long, key long, start int, windows array<long>"
+    pieces = stage(
+        contexts.where("crowded").mapInArrow(
+            run, "core long, whole long, n long, doc_id long, key long, start int, windows array<long>"
+        ),
+        "pieces",
+    )
+    kinds = stage(
+        pieces.groupBy("core", "whole").agg(
+            F.count("*").alias("places"), *[F.first(c).alias(c) for c in ("n", "doc_id", "key", "start", "windows")]
+        ),
+        "kinds",
+    )
+    equal = kinds.where("places > 1").select("core", "whole")
+    as_a_whole = pieces.where("n = 1").join(equal, ["core", "whole"]).select(
+        F.col("whole").alias("group_id"), "doc_id", "key", "start",
+        (F.col("start") + F.size("windows") + (length - 1)).alias("stop"),
+    )
+    shared = stage(kinds.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core"), "cores")
+    opened = kinds.join(shared, "core").select(
+        "places", "n", "doc_id", "key", "start", F.posexplode("windows").alias("at", "group_id")
     )
-    shared = pieces.groupBy("core").agg(F.count("*").alias("places")).where("places > 1").select("core")
-    opened = pieces.join(shared, "core").select("n", "doc_id", "key", "start", F.posexplode("windows").alias("at", "group_id"))
-    many = opened.groupBy("group_id").agg(F.count("*").alias("places")).where("places > 1").select("group_id")
+    many = opened.groupBy("group_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("group_id")
     start = F.col("start") + F.col("at")
-    return opened.where("n = 1").join(many, "group_id").select(
+    singly = opened.where("places = 1 and n = 1").join(many, "group_id").select(
         "group_id", "doc_id", "key", start.alias("start"), (start + length).alias("stop")
     )
+    return as_a_whole.union(singly)
 
 
 def repeat_groups(docs: DataFrame, length: int = 400) -> DataFrame:
