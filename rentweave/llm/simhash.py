@@ -333,24 +333,87 @@ def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _leads(placed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``point, leads``: the smallest and largest node of a point and, if crowded, the one whose points hold most texts.
+
+    The last is the text that the others were copied from rather than one of the copies.
+    """
+    weight = stage(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    heavy = crowded.join(weight, "node").groupBy("point").agg(F.max(F.struct("weight", "node"))["node"].alias("heavy"))
+    ends = placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    return ends.join(heavy, "point", "left").select(
+        "point", F.array_distinct(F.array_compact(F.array("low", "high", "heavy"))).alias("leads")
+    )
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``point, node, n``: every set of ``n`` shingles at those of its rarest shingles that a similar set must share.
+
+    Sets of that similarity have ``similarity * n`` shingles in common, so in one order of all
+    shingles they share one of the first ``n - ceil(similarity * n) + 1``. Shingles of one set only
+    come first in the order and are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "shingles"):
+            values = [np.frombuffer(x, np.uint32).astype(np.int64) for x in batch.column("shingles").to_pylist()]
+            n = np.array([len(v) for v in values])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(values)), batch.column("node").take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.repeat(n, n))],
+                ["point", "node", "n"],
+            )
+
+    every = stage(sets.mapInArrow(run, "point long, node long, n long"), "shingles")
+    # a table of its own, so that adaptive execution can split the join at a hot shingle
+    held = stage(every.groupBy("point").agg(F.count("*").alias("held")).where("held > 1"), "held")
+    met = every.join(held, "point").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "point"))).alias("met"))
+    wanted = F.col("n") - F.ceil(similarity * F.col("n") - F.lit(1e-6)) + 1
+    taken = F.greatest(wanted - (F.col("n") - F.size("met")), F.lit(0)).cast("int")
+    return met.select(F.explode(F.slice("met", F.lit(1), taken)).alias("m"), "node", "n").select("m.point", "node", "n")
+
+
+def _pairs_between(placed: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: pairs of ``placed(point, node, n, component)`` that share a point but no component.
+
+    At a point, whatever is outside the component with most nodes is paired with every other one.
+    """
+    parts = placed.groupBy("point", "component").agg(F.count("*").alias("size"))
+    mixed = stage(
+        parts.groupBy("point").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1").select("point", "main"),
+        "mixed",
+    )
+    there = stage(placed.join(mixed, "point"), "there")
+    outside = stage(there.where("component <> main").drop("main"), "outside")
+    x, y = there.alias("x"), outside.alias("y")
+    fits = (F.col("x.component") != F.col("y.component")) & (
+        F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - F.lit(1e-6)
+    )
+    return x.join(y, (F.col("x.point") == F.col("y.point")) & fits).select(
+        F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
+    ).distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``node, component``: texts (by ``xxhash64``) connected by shingle-set similarity of at least ``similarity``.
 
-    Equal texts are one node. At every meeting point each text is paired with the smallest
-    and the largest node there, so the number of pairs is linear in the texts; ``VIEWS``
-    points make it all but certain that similar texts are paired at one of them. Texts
-    without a partner are not listed. Null text is like the empty one.
+    Equal texts are one node. ``VIEWS`` points make it all but certain that similar texts meet.
+    What meets is connected as comparing all texts of a point would: first every text is
+    compared with two or three leads of the point, which is linear and joins most groups. Where
+    a point of more than three texts still holds several components, its texts meet again at
+    their rarest shingles, which loses no similar pair, and are compared across components.
+    Texts without a partner are not listed. Null text is like the empty one.
     """
     texts = docs.select(
         F.xxhash64(F.coalesce(F.col("`text`"), F.lit(""))).alias("node"), F.coalesce(F.col("`text`"), F.lit("")).alias("text")
     )
-    placed = stage(_meeting_points(texts, shingle), "points")
-    # a table of its own, so that adaptive execution can split the join at a hot point
-    ends = stage(
-        placed.groupBy("point").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"), "ends"
-    )
+    placed = stage(_meeting_points(texts, shingle).distinct(), "points")
+    # tables of their own, so that adaptive execution can split the joins at a hot point
+    sizes = stage(placed.groupBy("point").agg(F.count("*").alias("n")).where("n > 3"), "sizes")
+    crowded = stage(placed.join(sizes, "point"), "crowded")
+    leads = stage(_leads(placed, crowded), "leads")
     pairs = stage(
-        placed.join(ends, "point").select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+        placed.join(leads, "point").select(F.col("node").alias("a"), F.explode("leads").alias("b"))
         .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "pairs",
     )
@@ -358,12 +421,27 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
     sets = stage(
         _shingle_sets(texts.join(members, "node"), shingle).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"
     )
-    compared = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
-        .select("a", "b", "one", "two")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        compared = (
+            pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
+            .select("a", "b", "one", "two")
+        )
+        return stage(_similar(compared, similarity), "similar")
+
+    linked = links(pairs)
+    labels = components(linked)
+    there = crowded.join(labels, "node", "left").select("point", "node", F.coalesce("component", "node").alias("component"))
+    mixed = stage(
+        there.groupBy("point").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high"), "mixed"
     )
-    return components(_similar(compared, similarity))
+    open_nodes = stage(there.join(mixed, "point").select("node", "component").distinct(), "open")
+    if not open_nodes.limit(1).count():
+        return labels
+    again = _prefixes(sets.join(open_nodes, "node", "left_semi"), similarity).join(open_nodes, "node")
+    more = links(stage(_pairs_between(stage(again, "prefixes"), similarity), "pairs"))
+    return components(linked.union(more))
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

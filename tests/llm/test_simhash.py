@@ -90,3 +90,46 @@ def test_empty_tables(spark, no_documents):
     assert simhash.near_duplicates(no_documents).count() == 0
     assert simhash.keep_one_of_each(no_documents).count() == 0
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def similar_groups(texts: list[str], shingle: int = 5) -> dict:
+    """Brute force over whole shingle sets, connected at a similarity of 0.8."""
+    sets = [{tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, 1))} for w in (t.split() for t in texts)]
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return both >= 0.8 * (len(sets[a]) + len(sets[b]) - both)
+
+    return groups(list(range(len(texts))), linked)
+
+
+def star(n: int, size: int, changes: int, seed: int) -> list[str]:
+    """A text and ``n`` copies with single words changed, last of them the text itself."""
+    r = random.Random(seed)
+    base = passage(size, seed).split()
+    out = []
+    for k in range(n):
+        words = list(base)
+        for place in r.sample(range(size), changes):
+            words[place] = f"changed{k}x{place}"
+        out.append(" ".join(words))
+    return [*out, " ".join(base)]
+
+
+@pytest.mark.parametrize("size, changes", [(300, 5), (300, 6), (150, 3)])
+def test_copies_of_one_text_that_are_not_copies_of_each_other(spark, size, changes):
+    texts = star(300, size, changes, 30 + changes) + star(4, size, 1, 99) + [passage(size, 77)]
+    # crowds that share most of their text without being near copies
+    texts += [passage(size // 2, 50) + " " + passage(size // 2, 1000 + k) for k in range(60)]
+    want = similar_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one_of_each(docs).collect()}
+    assert kept == set(want.values())
+
+
+def test_crowds_without_a_common_text(spark):
+    # without the text itself what is left is connected by chance pairs, or not at all
+    texts = star(80, 300, 5, 31)[:-1] + star(40, 300, 3, 32)[:-1]
+    want = similar_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one_of_each(docs).collect()} == set(want.values())
