@@ -24,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every passage of 400 bytes that also stands elsewhere out of the texts."""
-    return suffix.cut_repeats(docs, 400)
+    """Cuts every passage of more than 50 words, or of 400 bytes, that also stands elsewhere out of the texts."""
+    return suffix.cut_repeats(docs, 400, passage=51)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

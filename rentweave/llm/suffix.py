@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rentweave.llm.common import (
-    RangeHash, as_signed, byte_codes, covered, keyed, mix, owners, slices, stage, utf8, window_min, within_documents,
+    RangeHash, as_signed, byte_codes, covered, keyed, mix, owners, slices, stage, utf8, window_min, within_documents, words,
 )
 
 GRAM = 64
@@ -40,6 +40,8 @@ GRAM = 64
 MOST_CLASSES = 512
 #: Neighbouring windows of a crowded gram's context that are first told apart by their common core.
 PIECE = 16
+#: Words of the grams that anchor windows of words.
+WORD_GRAM = 8
 _OCCURRENCE = "anchor long, class long, doc_id long, key long, at int, first int, last int"
 _SPAN = "group_id long, doc_id long, key long, start int, stop int"
 
@@ -274,6 +276,96 @@ def repeat_groups(docs: DataFrame, length: int = 400) -> DataFrame:
     return whole.union(_scan_groups(contexts, length)).union(_count_windows(contexts, length))
 
 
+def _word_windows(batch: pa.RecordBatch, count: int) -> tuple[RangeHash, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Range hashes over the words of a batch; their starts and ends in the text, their documents and the documents' first ones."""
+    data, offsets = utf8(batch.column("text"))
+    starts, ends, firsts = words(data, offsets)
+    hashes = RangeHash(RangeHash(byte_codes(data))(starts, ends))
+    doc = np.repeat(np.arange(batch.num_rows), np.diff(firsts))
+    return hashes, starts - offsets[doc], ends - offsets[doc], doc, firsts
+
+
+def word_repeats(docs: DataFrame, count: int) -> DataFrame:
+    """``doc_id, key, start, stop``: together the bytes of all passages of ``count`` words that start at a second place.
+
+    Passages are equal if their words are, whatever stands between the words. Windows of
+    ``count`` words meet by anchors and classes as windows of bytes do; where a gram has
+    several classes, the windows of one context per class are counted by hash, at most
+    ``count - WORD_GRAM + 1`` for a context. ``docs`` is ``common.keyed``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, starts, ends, doc, firsts = _word_windows(batch, count)
+            at = np.flatnonzero(within_documents(firsts[:-1], len(starts), count))
+            if not len(at):
+                continue
+            grams = hashes.grams(WORD_GRAM)
+            anchor = window_min(grams, count - WORD_GRAM + 1)[at]
+            turn = np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[at][1:] != doc[at][:-1]))
+            lo, hi = np.r_[0, turn + 1], np.r_[turn, len(at) - 1]
+            first, last = at[lo], at[hi]
+            rows = pa.array(doc[first])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_signed(grams[anchor[lo]])), pa.array(as_signed(hashes(first, last + count))),
+                    batch.column("doc_id").take(rows), batch.column("key").take(rows),
+                    *[pa.array((x - firsts[doc[first]]).astype(np.int32)) for x in (first, last)],
+                    *[pa.array(x.astype(np.int32)) for x in (starts[first], ends[last + count - 1])],
+                ],
+                ["anchor", "class", "doc_id", "key", "first", "last", "start", "stop"],
+            )
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes, starts, ends, _, firsts = _word_windows(batch, count)
+            cuts = batch.column("cuts")
+            flat = cuts.flatten()
+            row = np.repeat(np.arange(batch.num_rows), cuts.value_lengths().to_numpy(zero_copy_only=False))
+            first, last = (flat.field(c).to_numpy(zero_copy_only=False) + firsts[row] for c in ("first", "last"))
+            n = last - first + 1
+            cut = np.repeat(np.arange(len(n)), n)
+            at = first[cut] + np.arange(len(cut)) - np.repeat(np.cumsum(n) - n, n)
+            rows = pa.array(row[cut])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(as_signed(hashes(at, at + count))), flat.field("n").take(pa.array(cut)),
+                    batch.column("doc_id").take(rows), batch.column("key").take(rows),
+                    *[pa.array(x.astype(np.int32)) for x in (starts[at], ends[at + count - 1])],
+                ],
+                ["window", "n", "doc_id", "key", "start", "stop"],
+            )
+
+    place = "doc_id long, key long, start int, stop int"
+    seen = stage(
+        docs.mapInArrow(run, "anchor long, class long, doc_id long, key long, first int, last int, start int, stop int"), "word_anchors"
+    )
+    rep = F.min(F.struct("doc_id", "key", "first", "last"))
+    classes = stage(seen.groupBy("anchor", "class").agg(F.count("*").alias("n"), rep.alias("rep")), "word_classes")
+    # tables of their own, so that adaptive execution can split the joins at a hot gram, class or window
+    several = stage(classes.where("n > 1").select("anchor", "class"), "word_several")
+    whole = seen.join(several, ["anchor", "class"]).select("doc_id", "key", "start", "stop")
+    shared = stage(
+        classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("n").alias("least")).where(
+            "classes > 1 and least = 1"
+        ).select("anchor"),
+        "word_grams",
+    )
+    wanted = classes.join(shared, "anchor").select("n", "rep.*").groupBy("doc_id", "key").agg(
+        F.collect_list(F.struct("n", "first", "last")).alias("cuts")
+    )
+    d, w = docs.alias("d"), wanted.alias("w")
+    same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & F.col("d.key").eqNullSafe(F.col("w.key"))
+    windows = stage(
+        d.join(w, same).select("d.doc_id", "d.key", "d.text", "w.cuts").mapInArrow(
+            open_windows, "window long, n long, " + place
+        ),
+        "word_windows",
+    )
+    many = stage(windows.groupBy("window").agg(F.count("*").alias("places")).where("places > 1").select("window"), "word_many")
+    return whole.union(windows.where("n = 1").join(many, "window").select("doc_id", "key", "start", "stop"))
+
+
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     spans = stage(repeat_groups(keyed(docs), length).select("doc_id", "key", "start", "stop").distinct(), "spans")
     per_document = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -325,12 +417,16 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     )
 
 
-def cut_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, passage: int | None = None) -> DataFrame:
     """``docs`` with the repeats cut out of ``text``, whole characters only; ``n_chars`` is counted anew.
 
-    Other columns and the number of rows stay; null text stays null.
+    Repeats have ``length`` bytes or, if given, ``passage`` words. Other columns and the number
+    of rows stay; null text stays null.
     """
-    spans = stage(repeat_groups(keyed(docs), length).select("doc_id", "key", "start", "stop").distinct(), "spans")
+    found = repeat_groups(keyed(docs), length).select("doc_id", "key", "start", "stop")
+    if passage is not None:
+        found = found.union(word_repeats(keyed(docs), passage))
+    spans = stage(found.distinct(), "spans")
     per_document = spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).alias("p")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest"), F.col("`text`").alias("text"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from brute import without_copies, without_repeats
 
+import corpus_pipeline
 from rentweave.llm import rlz, suffix
 from rentweave.llm.common import keyed
 
@@ -116,3 +118,43 @@ def test_cut_keeps_characters_and_columns(awkward):
 def test_empty_tables(no_documents):
     assert not copies_of(no_documents) and not repeats_of(no_documents, 400)
     assert suffix.cut_repeats(no_documents, 400).count() == 0
+
+
+def without_passages(rows, count, length):
+    """(doc_id, kept) with all windows of ``count`` words and of ``length`` bytes that occur twice cut out."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    words = [[(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for _, b in texts]
+    seen = Counter(tuple(x[2] for x in w[s : s + count]) for w in words for s in range(len(w) - count + 1))
+    strings = Counter(b[s : s + length] for _, b in texts for s in range(len(b) - length + 1))
+    out = Counter()
+    for (i, b), w in zip(texts, words):
+        gone = bytearray(len(b))
+        for s in range(len(w) - count + 1):
+            if seen[tuple(x[2] for x in w[s : s + count])] > 1:
+                a, z = w[s][0], w[s + count - 1][1]
+                gone[a:z] = b"\1" * (z - a)
+        for s in range(len(b) - length + 1):
+            if strings[b[s : s + length]] > 1:
+                gone[s : s + length] = b"\1" * length
+        out[(i, bytes(x for x, g in zip(b, gone) if not g).decode())] += 1
+    return out
+
+
+def test_cut_passages_by_words(spark):
+    r = random.Random(7)
+    rows = patchwork(50, 8)
+    short = [" ".join(r.choice("abcdefgh") for _ in range(n)) for n in (50, 51, 52, 75)]  # 51 words in 101 bytes
+    for k, p in enumerate(short):
+        rows += [(k, f"before{k} {p} after{k}"), (10 + k, f"{p}\nend{k}"), (20 + k, p.replace(" ", "  "))]
+    rows += [(30, "aa bb " * 60), (31, ""), (32, None), (33, short[1]), (33, short[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for count in (20, 51):
+        got = Counter((x.doc_id, x.text or "") for x in suffix.cut_repeats(docs, 400, passage=count).collect())
+        assert got == without_passages(rows, count, 400)
+
+
+def test_pipeline_cuts_passages_of_51_words(spark, no_documents):
+    passage = " ".join(f"w{k}" for k in range(51))  # about 200 bytes
+    rows = [(1, f"one {passage} two", "en", "s", 1, "k", 7, 1), (2, f"three {passage} four", "en", "s", 1, "k", 7, 1)]
+    got = dict(corpus_pipeline.STAGES)["repeats"](spark, spark.createDataFrame(rows, no_documents.schema), "").collect()
+    assert sorted(r.text.split() for r in got) == [["one", "two"], ["three", "four"]]
