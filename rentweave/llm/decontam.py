@@ -1,14 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their outer punctuation and case; then numbers, units after a number, and names
-(capitalised words inside a sentence) are slots that become typed placeholders. Windows
-of ``WINDOW`` words are hashed at the most general of three levels that leaves enough
-literal words to be telling: all slots as placeholders, names kept, or everything kept.
-The level follows from the window alone, so both sides choose the same one. Document
-windows are joined to benchmark windows by hash; slot values travel along, and a window
-counts only if the same benchmark value always became the same document value (on the
-whole alignment, or else if its slots are unchanged). That catches a question with new
-numbers and names, not two texts of the same shape.
+(capitalised words other than function words, wherever they stand) are slots that become
+typed placeholders. Windows of ``WINDOW`` words are hashed in up to three forms: all slots as
+placeholders and names kept, where that leaves enough literal words to be telling, and
+everything kept. A hash follows from a form's words alone, so a window written in another
+case meets in a form that keeps its names. Document windows are joined to benchmark windows
+by hash; slot values travel along, and a window counts only if the same benchmark value
+always became the same document value (on the whole alignment, or else if its slots are
+unchanged). That catches a question with new numbers and names, not two texts of the same shape.
 
 A document holds an item if half of the item's windows are found in it, or a run of
 aligned windows spans ``RUN`` words.
@@ -38,6 +38,17 @@ UNITS = (
     "gallon gallons second seconds sec minute minutes min hour hours h day days week weeks month months year years "
     "degree degrees celsius fahrenheit mph kmh watt watts volt volts joule joules meter meters metre metres"
 ).split()
+#: Capitalised where they open a sentence or stand in a title, but no names.
+FUNCTION_WORDS = (
+    "a an the this that these those some any each every all both most many much few several no none one another other "
+    "i you he she it we they me him us them my your his her its our their who whom whose what which when where why how "
+    "is are was were be been am do does did has have had can could will would shall should may might must "
+    "and or but nor so yet if then than because since while although though unless until after before once whether "
+    "in on at by for from with without of to into onto over under between among during through about against as per "
+    "there here now today not only also just even still again however therefore thus hence given let suppose assume "
+    "consider find name give list write solve show prove explain describe choose select state identify compute "
+    "calculate evaluate determine simplify complete answer question"
+).split()
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (1, 2, 3))
 _WINDOWS = "hash long, doc_id long, key long, at int, slots array<string>, n_windows int"
 
@@ -48,7 +59,6 @@ _IS_LETTER = _IS_UPPER | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
 _INNER = _IS_DIGIT | _IS_LETTER
 _INNER[[36, 37]] = True  # $ and %
 _LOWER = np.where(_IS_UPPER, _BYTES + 32, _BYTES).astype(np.uint8)
-_STOPS = np.isin(_BYTES, [ord(c) for c in ".!?:;"])
 
 
 class Tokens:
@@ -60,15 +70,10 @@ class Tokens:
         after = np.r_[0, np.cumsum(inner)]
         places = np.flatnonzero(inner)
         some = after[ends] > after[starts]  # words of punctuation alone are dropped
-        closes = _STOPS[data[ends - 1]] if len(ends) else np.zeros(0, bool)
-        first_of_document = np.zeros(len(starts) + 1, bool)
-        first_of_document[firsts[:-1]] = True
-        opens = np.r_[True, closes[:-1]][: len(starts)] | first_of_document[: len(starts)]
         kept = np.r_[0, np.cumsum(some)]
         self.firsts = kept[firsts]
         self.starts = places[after[starts[some]]]
         self.ends = places[after[ends[some]] - 1] + 1
-        opens = opens[some]
         s, e = self.starts, self.ends
         plain = RangeHash(byte_codes(_LOWER[data]))(s, e)
         digits = np.r_[0, np.cumsum(_IS_DIGIT[data])]
@@ -77,43 +82,42 @@ class Tokens:
         second = data[np.minimum(s + 1, max(len(data) - 1, 0))] if len(s) else head
         number = (digits[e] > digits[s]) & (letters[e] == letters[s])
         unit = np.zeros(len(s), bool)
-        unit[1:] = number[:-1] & np.isin(plain[1:], unit_codes())
+        unit[1:] = number[:-1] & np.isin(plain[1:], codes_of(UNITS))
         accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
-        name = (_IS_UPPER[head] & (e - s > 1) & ~_IS_UPPER[second] | accented) & ~opens & ~number & ~unit
+        name = _IS_UPPER[head] & (e - s > 1) & ~_IS_UPPER[second] | accented
+        name &= ~number & ~unit & ~np.isin(plain, codes_of(FUNCTION_WORDS))
         measured = np.where(number, _NUMBER, np.where(unit, _UNIT, plain))
-        self.codes = (np.where(name, _NAME, measured), measured, plain)
-        #: Words that are slots, and words that are not, at each level.
+        self.forms = [RangeHash(codes) for codes in (np.where(name, _NAME, measured), measured, plain)]
+        #: Words that are slots in each form.
         self.slot = (number | unit | name, number | unit, np.zeros(len(s), bool))
-        self.literal = (~self.slot[0], ~self.slot[1])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts inside one document, hashes and levels of the windows of ``size`` words."""
+        """Starts inside one document, hashes and forms of the windows of ``size`` words; equal forms of a window once."""
         n = len(self.starts)
         at = np.flatnonzero(within_documents(self.firsts[:-1], n, size))
-        hashes = np.zeros(len(at), np.uint64)
         need = LITERALS if size == WINDOW else max(2, size - 2)  # an item shorter than a window
-        done, chosen = np.zeros(len(at), bool), np.zeros(len(at), np.int8)
-        for level in range(3):
-            fits = ~done
-            if level < 2:
-                literals = np.r_[0, np.cumsum(self.literal[level])]
-                fits &= literals[at + size] - literals[at] >= need
-            grams = RangeHash(self.codes[level]).grams(size)[at[fits]]
-            hashes[fits] = mix(grams + np.uint64(level + 1))
-            chosen[fits] = level
-            done |= fits
-        return at, hashes, chosen
+        hashes, fits = [], []
+        for form, slot in zip(self.forms, self.slot):
+            slots = np.r_[0, np.cumsum(slot)]
+            own = mix(form.grams(size)[at])
+            fit = (size - (slots[at + size] - slots[at]) >= need) | (len(fits) == 2)
+            for earlier, there in zip(hashes, fits):
+                fit &= ~(there & (earlier == own))
+            hashes.append(own)
+            fits.append(fit)
+        form = np.repeat(np.arange(3, dtype=np.int8), [f.sum() for f in fits])
+        return np.concatenate([at[f] for f in fits]), np.concatenate([h[f] for h, f in zip(hashes, fits)]), form
 
 
-_UNIT_CODES: list[np.ndarray] = []
+_CODES: dict[str, np.ndarray] = {}
 
 
-def unit_codes() -> np.ndarray:
-    if not _UNIT_CODES:
-        data = np.frombuffer("".join(UNITS).encode(), np.uint8)
-        ends = np.cumsum([len(u) for u in UNITS])
-        _UNIT_CODES.append(RangeHash(byte_codes(data))(np.r_[0, ends[:-1]], ends))
-    return _UNIT_CODES[0]
+def codes_of(listed: list[str]) -> np.ndarray:
+    text = "".join(listed)
+    if text not in _CODES:
+        ends = np.cumsum([len(u) for u in listed])
+        _CODES[text] = RangeHash(byte_codes(np.frombuffer(text.encode(), np.uint8)))(np.r_[0, ends[:-1]], ends)
+    return _CODES[text]
 
 
 class _Known:
@@ -148,18 +152,18 @@ def template_windows(texts: DataFrame, sizes: list[int], known: np.ndarray | Non
             sizes_of = np.diff(tokens.firsts)
             raw = data.tobytes()
             for size in sizes:
-                at, hashes, level = tokens.windows(size)
+                at, hashes, form = tokens.windows(size)
                 doc = owners(tokens.firsts[:-1], at)
                 pick = np.arange(len(at)) if wanted is None else wanted.found(hashes)
                 if short and size < WINDOW:
                     pick = pick[sizes_of[doc[pick]] == size]
                 if not len(pick):
                     continue
-                at, hashes, level, doc = at[pick], hashes[pick], level[pick], doc[pick]
+                at, hashes, form, doc = at[pick], hashes[pick], form[pick], doc[pick]
                 slots = [
                     [raw[tokens.starts[w] : tokens.ends[w]].decode("utf-8", "replace").lower()
                      for w in range(a, a + size) if tokens.slot[v][w]]
-                    for a, v in zip(at.tolist(), level.tolist())
+                    for a, v in zip(at.tolist(), form.tolist())
                 ]
                 rows = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(

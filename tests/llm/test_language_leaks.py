@@ -98,6 +98,25 @@ def test_slots_must_be_consistent(spark):
     assert leaks(spark, [straight, twisted], ((1, bare),)) == {(0, 1): True}
 
 
+APPLES = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+NAMES = "Tom Reed met Ann Lee and Bob Hill near Oak Park while Sue Gray saw Max Ford with Eve Stone"
+
+
+def test_names_that_open_sentences(spark):
+    changed = APPLES.replace("Tom", "Ann").replace("5", "7").replace("3", "4")
+    mixed = changed.replace("Ann buys", "Eve buys")
+    texts = [changed, passage(20, 1) + "\n" + changed, APPLES, mixed.replace("does Ann", "does Max")]
+    assert leaks(spark, texts, ((1, APPLES),)) == {(0, 1): True, (1, 1): True, (2, 1): False}
+
+
+def test_copies_in_another_case(spark):
+    other = APPLES.replace("5", "7").replace("3", "4")
+    texts = [NAMES.lower(), NAMES.upper(), NAMES, APPLES.lower(), APPLES.upper(), other.upper(), APPLES.title()]
+    assert leaks(spark, texts, ((1, NAMES), (2, APPLES))) == {
+        (0, 1): False, (1, 1): False, (2, 1): False, (3, 2): False, (4, 2): False, (5, 2): True, (6, 2): False
+    }
+
+
 def test_many_templates_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MOST_SENT", 1)
     assert leaks(spark, [ITEM, OTHER, passage(70, 6)]) == {(0, 1): False, (1, 1): True}
