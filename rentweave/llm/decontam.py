@@ -4,9 +4,9 @@ Words lose their outer punctuation and case; then numbers, units after a number,
 (capitalised words other than function words, wherever they stand) are slots that become
 typed placeholders. Windows of ``WINDOW`` words are hashed in up to three forms: all slots as
 placeholders and names kept, where that leaves enough literal words to be telling, and
-everything kept. A hash follows from a form's words alone, so a window written in another
-case meets in a form that keeps its names. Document windows are joined to benchmark windows
-by hash; slot values travel along, and a window counts only if the same benchmark value
+everything kept. A hash follows from a window's words alone, whatever stands before it, so
+one written in another case meets in a form that keeps its names. Document windows are
+joined to benchmark windows by hash; slot values travel along, and a window counts only if the same benchmark value
 always became the same document value (on the whole alignment, or else if its slots are
 unchanged). That catches a question with new numbers and names, not two texts of the same shape.
 
@@ -85,11 +85,16 @@ class Tokens:
         unit[1:] = number[:-1] & np.isin(plain[1:], codes_of(UNITS))
         accented = (head == 0xC3) & (second >= 0x80) & (second <= 0x9E)
         name = _IS_UPPER[head] & (e - s > 1) & ~_IS_UPPER[second] | accented
-        name &= ~number & ~unit & ~np.isin(plain, codes_of(FUNCTION_WORDS))
-        measured = np.where(number, _NUMBER, np.where(unit, _UNIT, plain))
-        self.forms = [RangeHash(codes) for codes in (np.where(name, _NAME, measured), measured, plain)]
+        name &= ~number & ~np.isin(plain, codes_of(FUNCTION_WORDS))
+        none = np.zeros(len(s), bool)
+        counted = np.where(number, _NUMBER, plain)
+        measured = np.where(unit, _UNIT, counted)
+        self.forms = [RangeHash(codes) for codes in (np.where(name & ~unit, _NAME, measured), measured, plain)]
         #: Words that are slots in each form.
-        self.slot = (number | unit | name, number | unit, np.zeros(len(s), bool))
+        self.slot = (number | unit | name, number | unit, none)
+        #: The same for the first word of a window, which is no unit whatever stands before it.
+        self.head = (np.where(name, _NAME, counted), counted, plain)
+        self.head_slot = (number | name, number, none)
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts inside one document, hashes and forms of the windows of ``size`` words; equal forms of a window once."""
@@ -97,10 +102,10 @@ class Tokens:
         at = np.flatnonzero(within_documents(self.firsts[:-1], n, size))
         need = LITERALS if size == WINDOW else max(2, size - 2)  # an item shorter than a window
         hashes, fits = [], []
-        for form, slot in zip(self.forms, self.slot):
+        for form, slot, head, head_slot in zip(self.forms, self.slot, self.head, self.head_slot):
             slots = np.r_[0, np.cumsum(slot)]
-            own = mix(form.grams(size)[at])
-            fit = (size - (slots[at + size] - slots[at]) >= need) | (len(fits) == 2)
+            own = mix(form.grams(size - 1)[at + 1] + mix(head[at]))
+            fit = (size - head_slot[at] - (slots[at + size] - slots[at + 1]) >= need) | (len(fits) == 2)
             for earlier, there in zip(hashes, fits):
                 fit &= ~(there & (earlier == own))
             hashes.append(own)
@@ -162,7 +167,7 @@ def template_windows(texts: DataFrame, sizes: list[int], known: np.ndarray | Non
                 at, hashes, form, doc = at[pick], hashes[pick], form[pick], doc[pick]
                 slots = [
                     [raw[tokens.starts[w] : tokens.ends[w]].decode("utf-8", "replace").lower()
-                     for w in range(a, a + size) if tokens.slot[v][w]]
+                     for w in range(a, a + size) if (tokens.slot if w > a else tokens.head_slot)[v][w]]
                     for a, v in zip(at.tolist(), form.tolist())
                 ]
                 rows = pa.array(doc)

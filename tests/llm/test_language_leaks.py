@@ -117,6 +117,16 @@ def test_copies_in_another_case(spark):
     }
 
 
+def test_short_items_after_any_word(spark):
+    items = ((1, "What is the tallest mountain in Africa?"), (2, "Seconds matter when boats leave"), (3, "Rivers in Peru flow north"))
+    texts = [
+        "Pub quiz\nWhat is the tallest mountain in Africa?\nWrite it down", 'he said "hm ." What is the tallest mountain in Africa',
+        "in round 5 seconds matter when boats leave", "of all the Rivers in Peru flow north", "10\nSeconds matter when boats leave",
+        "The rivers in Peru flow north", "seconds matter when boats",
+    ]
+    assert set(leaks(spark, texts, items)) == {(0, 1), (1, 1), (2, 2), (3, 3), (4, 2), (5, 3)}
+
+
 def test_many_templates_take_the_other_way(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MOST_SENT", 1)
     assert leaks(spark, [ITEM, OTHER, passage(70, 6)]) == {(0, 1): False, (1, 1): True}
