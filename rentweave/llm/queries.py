@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rentweave.llm import ann, arrowtokens, bpe, decontam, langid, oracles, rlz, simhash, suffix, urlfilter, warc
+from rentweave.llm import (
+    ann, arrowtokens, bpe, decontam, langid, negatives, oracles, rlz, simhash, suffix, urlfilter, warc,
+)
 from rentweave.llm.common import keyed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +115,10 @@ def op10_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
+@register(oracles.HARD_NEGATIVES)
+def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
