@@ -1,5 +1,7 @@
 """DuckDB counterparts of the corpus queries that SQL can express."""
 
+from __future__ import annotations
+
 #: Windows of 13 words, judged by the smallest doc_id that has them.
 RLZ_COPIES = r"""
 WITH texts AS (
@@ -79,3 +81,47 @@ FROM positives JOIN pairs USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+def _crc_step(n: int) -> int:
+    for _ in range(8):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+def importance_draw() -> str:
+    """n-grams as strings; their crc-32 a byte at a time with the usual table of 256 steps."""
+    steps = ", ".join(str(_crc_step(n)) for n in range(256))
+    return rf"""
+WITH texts AS (
+    SELECT target, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT false AS target, doc_id, text FROM documents UNION ALL SELECT true, item_id, text FROM benchmark)),
+grams AS (
+    SELECT target, doc_id, array_to_string(w[s:s + n - 1], ' ') AS f, count(*) AS c
+    FROM (SELECT target, doc_id, w, n, unnest(range(1, len(w) + 2 - n)) AS s FROM texts, (VALUES (1), (2), (3)) AS t(n) WHERE len(w) >= n)
+    GROUP BY ALL),
+coded AS (
+    SELECT f, xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+        lambda c, b: xor(c >> 8, CAST([{steps}][xor(c & 255, b) + 1] AS BIGINT))), 4294967295) % 10000 AS bucket
+    FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM grams))),
+found AS (SELECT target, doc_id, bucket, c FROM grams JOIN coded USING (f)),
+counts AS (
+    SELECT bucket, CAST(coalesce(sum(c) FILTER (NOT target), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (target), 0) AS DOUBLE) AS t
+    FROM found GROUP BY bucket),
+gains AS (
+    SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM counts) + 10000) / ((s + 1) * ((SELECT sum(t) FROM counts) + 10000)))) AS BIGINT) AS gain
+    FROM counts),
+weights AS (
+    SELECT doc_id, CAST(sum(c) AS BIGINT) AS n_features, CAST(sum(c * gain) AS BIGINT) AS weight
+    FROM found JOIN gains USING (bucket) WHERE NOT target GROUP BY doc_id),
+scored AS (
+    SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM texts LEFT JOIN weights USING (doc_id) WHERE NOT target),
+ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""

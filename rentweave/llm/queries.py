@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rentweave.llm import (
-    ann, arrowtokens, bpe, decontam, langid, negatives, oracles, rlz, simhash, suffix, urlfilter, warc,
+    ann, arrowtokens, bpe, decontam, importance, langid, lzprint, negatives, oracles, rlz, simhash, suffix, urlfilter, warc,
 )
 from rentweave.llm.common import keyed, table
 
@@ -122,3 +122,14 @@ def op11_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@register()
+def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@register(oracles.importance_draw())
+def op13_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark", "text"))
