@@ -30,8 +30,8 @@ from rentweave.llm.common import mix, shuffle_partitions, slices, utf8
 SIGNATURE = 128
 #: Text of a block and of a shuffle partition, about.
 BLOCK_BYTES, PARTITION_BYTES = 4 << 20, 32 << 20
-#: Blocks whose bounds all tasks hold (24 bytes each); a larger corpus has larger blocks.
-MOST_BLOCKS = 1 << 16
+#: Blocks whose bounds all tasks hold and which Spark draws by a sample of 100 ids each; a larger corpus has larger blocks.
+MOST_BLOCKS = 1 << 14
 #: Results handed over at once.
 RESULTS = 512
 _SEED, _PRIME, _BITS = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1  # FNV-1a
