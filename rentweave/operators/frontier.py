@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import stable_id
 from ..functions.urls import url_host, url_id
 from .merge import keyed_upsert
-from .ranking import chunk_bucket, number_rows, top_rows
+from .ranking import number_rows, top_rows
 
 # Caps of a run, and milliseconds between two visits of a host.
 TARGET_UNITS, MAX_URLS, BATCH, PER_SEARCH = 200, 200, 30, 20
@@ -61,10 +61,7 @@ def host_delay() -> Column:
 
 def host_schedule(urls: DataFrame, delay: Column | None = None) -> DataFrame:
     """Earliest start of each visit, keeping visits of one host apart by ``delay``."""
-    placed = number_rows(
-        urls.withColumn("host", url_host(F.col("url"))),
-        ["host"], [F.col("seq"), F.col("url")], chunk_bucket("seq"), "visit",
-    )
+    placed = number_rows(urls.withColumn("host", url_host(F.col("url"))), ["host"], [F.col("seq"), F.col("url")], "visit")
     return placed.withColumn("start_ms", (F.col("visit") - 1) * (host_delay() if delay is None else delay))
 
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import day_bucket, previous_value
+from .ranking import previous_value
 
 
 def price_history(observations: DataFrame, keys: list[str], ts: str, tie: str, price: str) -> DataFrame:
     """Observations whose price differs from the one before of the same posting."""
     known = observations.filter(F.col(price).isNotNull())
-    seen = previous_value(known, keys, [ts, tie], day_bucket(ts), price, "old_price")
+    seen = previous_value(known, keys, [ts, tie], price, "old_price")
     return seen.filter(F.col("old_price") != F.col(price)).select(
         *keys, ts, tie, "old_price", F.col(price).alias("new_price")
     )

@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell_index, rooms_close
+from ..functions.geo import ROOM_TOLERANCE, cell_index, rooms_close
 from ..functions.text import blank_to_null, normalize_address, stable_id
 from ..session import stage
 from .ranking import sorted_position
@@ -264,6 +265,11 @@ def founded_unit_id(listing_id: Column) -> Column:
     return stable_id(F.lit("unit"), listing_id)
 
 
+def refounded_unit_id(listing_id: Column, arrival: Column) -> Column:
+    """Unit that a posting founds which has one already: another one per arrival."""
+    return stable_id(F.lit("unit"), listing_id, F.date_format(arrival, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def newest_first() -> list[Column]:
     """Order in which a full run visits postings: newest first, then by id."""
     return [F.col("last_seen_at").desc(), F.col("listing_id")]
@@ -280,6 +286,7 @@ def link_postings(
     order: list[Column] | None = None,
     linked: DataFrame | None = None,
     strict: bool = True,
+    refound: bool = False,
 ) -> LinkResult:
     """Attach each posting to a unit, or let it found one, as if visited one by one.
 
@@ -294,7 +301,9 @@ def link_postings(
     only needs the first node of each rung, not the pairs; its cost is linear.
 
     ``linked`` (unit_id, listing_id) marks postings that already have a unit: they
-    found none, and without a match they keep that unit.
+    found none, and without a match they keep that unit. With ``refound`` they found
+    a second unit instead, one per arrival (``last_seen_at``), as the first pass does
+    for postings it does not know.
     """
     rows = posting_identity(listings, strict)
     if linked is not None:
@@ -306,7 +315,12 @@ def link_postings(
     # rule should not run twice over the source.
     rows = stage(
         rows.select(
-            "listing_id", "last_seen_at", "kept_unit", *IDENTITY,
+            "listing_id", "last_seen_at",
+            F.when(F.col("kept_unit").isNull(), founded_unit_id(F.col("listing_id")))
+            .otherwise(refounded_unit_id(F.col("listing_id"), F.col("last_seen_at")))
+            .alias("own_unit"),
+            (F.lit(None).cast("string") if refound else F.col("kept_unit")).alias("kept_unit"),
+            *IDENTITY,
             F.concat_ws(
                 "\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in IDENTITY]
             ).alias("vector"),
@@ -343,10 +357,10 @@ def link_postings(
         .groupBy("node", "ord")
         .agg(F.max("score").alias("score"))
         .join(
-            rows.select("ord", F.col("listing_id").alias("founder_id")), "ord"
+            rows.select("ord", F.col("own_unit").alias("founded_unit")), "ord"
         )
         .groupBy("node")
-        .agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "founder_id")).alias("founders"))
+        .agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "founded_unit")).alias("founders"))
     )
     options = (
         nodes.select("vector", "node", "self_score")
@@ -355,7 +369,7 @@ def link_postings(
         .drop("node")
     )
     founder_ords = founders.select(F.col("ord").alias("founder_ord"))
-    joined = rows.select("listing_id", "ord", "vector", "kept_unit").join(options, "vector").join(
+    joined = rows.select("listing_id", "ord", "vector", "kept_unit", "own_unit").join(options, "vector").join(
         founder_ords, F.col("ord") == F.col("founder_ord"), "left"
     )
     near = F.array_min(F.filter("founders", lambda f: f["ord"] < F.col("ord")))
@@ -368,8 +382,8 @@ def link_postings(
         .withColumn("founds_unit", founds)
         .select(
             "listing_id",
-            F.when(founds, founded_unit_id(F.col("listing_id")))
-            .when(by_founder, founded_unit_id(F.col("near.founder_id")))
+            F.when(founds, F.col("own_unit"))
+            .when(by_founder, F.col("near.founded_unit"))
             .otherwise(F.col("unit_ord.unit_id"))
             .alias("unit_id"),
             F.when(founds, F.lit(FOUNDER_SCORE))
@@ -385,13 +399,34 @@ def link_postings(
     return LinkResult(stage(links, "links"), rounds)
 
 
+#: Undecided nodes that one narrow step may hold (their compared fields, about 200 bytes each).
+SOLVED_AT_ONCE = 100_000
+
+
 def _found_units(undecided: DataFrame) -> tuple[DataFrame, int]:
-    """Nodes that found a unit (node, ord, identity)."""
+    """Nodes that found a unit (node, ord, identity), and the rounds that took.
+
+    The first round decides most nodes. What it leaves is solved in visiting order by one narrow step if
+    it is small. Else it is split into components of nodes that share rungs, and the small components are
+    solved side by side, however long the chains in them are; only components too large for a task go on in rounds.
+    """
     undecided = stage(undecided, "undecided")
-    founders = None
-    rounds = 0
-    while not undecided.isEmpty():
+    founders = undecided.limit(0)
+    rounds, left = 0, undecided.count()
+    while left:
         rounds += 1
+        if left <= SOLVED_AT_ONCE:
+            return founders.unionByName(_solve(undecided.withColumn("part", F.lit(0).cast("bigint")))), rounds
+        if rounds == 2:
+            parts = stage(undecided.join(_components(undecided), "node"), "parts")
+            sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+            giants = stage(sizes.where(F.col("size") > SOLVED_AT_ONCE).select("part"), "giants")
+            # a giant has more than SOLVED_AT_ONCE nodes, so giants are few
+            small = parts.join(F.broadcast(giants), "part", "left_anti")
+            founders = founders.unionByName(stage(_solve(small), "solved"))
+            undecided = stage(parts.join(F.broadcast(giants), "part", "left_semi").drop("part"), "undecided")
+            left = undecided.count()
+            continue
         first = (
             _meet(undecided.drop("ord"), undecided, ["node"], "ord", neighbours_only=True)
             .groupBy("node")
@@ -405,5 +440,68 @@ def _found_units(undecided: DataFrame) -> tuple[DataFrame, int]:
         rest = marked.filter("not founds").drop("founds")
         taken = _meet(rest.drop("ord"), chosen, ["node"], "ord", neighbours_only=True).select("node")
         undecided = stage(rest.join(taken, "node", "left_anti"), "undecided")
-        founders = chosen if founders is None else founders.unionByName(chosen)
-    return (founders if founders is not None else undecided), rounds
+        left = undecided.count()
+        founders = founders.unionByName(chosen)
+    return founders, rounds
+
+
+def _solve(nodes: DataFrame) -> DataFrame:
+    """Founders among the nodes of each ``part``, visited one by one; a part fits a task."""
+    columns = [c for c in nodes.columns if c != "part"]
+    schema = ", ".join(f"{c} {t}" for c, t in nodes.select(*columns).dtypes)
+    return nodes.groupBy("part").applyInPandas(lambda part: first_founders(part)[columns], schema)
+
+
+def first_founders(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The nodes that found a unit when visited by ``ord``: those no earlier founder accepts.
+
+    Sharing address and unit, or address and cell, is enough to be accepted; unit and cell also need close rooms.
+    """
+    nodes = nodes.sort_values("ord")
+    taken: set[tuple] = set()
+    rooms: dict[tuple, list[tuple]] = {}
+    chosen = []
+
+    def known(x) -> bool:
+        return x is not None and x == x
+
+    for at, (addr, unit, lat, lng, beds, baths) in enumerate(nodes[list(IDENTITY)].itertuples(index=False, name=None)):
+        cell = (lat, lng) if known(lat) else None
+        rungs = [("unit", addr, unit)] if known(addr) and known(unit) else []
+        if known(addr) and cell:
+            rungs.append(("cell", addr, cell))
+        near = rooms.setdefault((unit, cell), []) if known(unit) and cell and known(beds) else None
+        if any(r in taken for r in rungs):
+            continue
+        if near is not None and any(
+            abs(b - beds) <= ROOM_TOLERANCE and not (known(c) and known(baths) and abs(c - baths) > ROOM_TOLERANCE) for b, c in near
+        ):
+            continue
+        taken.update(rungs)
+        if near is not None:
+            near.append((beds, baths))
+        chosen.append(at)
+    return nodes.iloc[chosen]
+
+
+def _components(nodes: DataFrame) -> DataFrame:
+    """``node, part``: nodes connected by shared rung keys have the smallest node of them as part.
+
+    A rung with close rooms connects all of its bedroom bin and the bins beside it, so a part may be larger than
+    need be, but no two nodes that accept each other are parted. Labels sink along rungs and then jump to their label's
+    label, so a chain of n nodes takes about log n steps.
+    """
+    member = stage(_with_rungs(nodes, ["node"], True, True).select("node", "key").distinct(), "members")
+    labels = stage(nodes.select("node", F.col("node").alias("part")), "labels")
+    while True:
+        lowest = member.join(labels, "node").groupBy("key").agg(F.min("part").alias("low"))
+        lower = member.join(lowest, "key").groupBy("node").agg(F.min("low").alias("low"))
+        sunk = stage(
+            labels.join(lower, "node", "left").select("node", F.col("part").alias("was"), F.least("part", "low").alias("part")), "sunk"
+        )
+        up = sunk.select(F.col("node").alias("part"), F.col("part").alias("above"))
+        labels = stage(sunk.join(up, "part").select("node", "was", F.col("above").alias("part")), "labels")
+        moved = labels.where(F.col("was") != F.col("part")).limit(1).count()
+        labels = labels.select("node", "part")
+        if not moved:
+            return labels

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
 from ..schemas import PARSED_FIELDS
-from ..session import stage
 
-#: Keys of a batch up to which they are sent to all tasks.
-MOST_KEYS = 500_000
+#: Bits of a batch's key filter. Its rows hold 64 bits each, so at most 2**20 of them, 16 MiB, go to all tasks.
+FILTER_BITS = 1 << 26
 
 
 def keyed_upsert(
@@ -29,20 +28,35 @@ def keyed_upsert(
     takes ``insert_only`` columns from its first record, ``update`` columns always
     come from its last one (nulls included), all other columns keep the old value.
 
-    Rows whose key the batch does not hold pass through without a shuffle, as long as
-    the batch has at most ``MOST_KEYS`` keys; a larger batch is merged as a whole. Only the
-    rest is aggregated, with map-side combine: a key repeated in a third of the batch
-    shrinks to one row per map task before the shuffle.
+    Stored rows are tested against a Bloom filter of the batch's keys (``key_filter``), whose size
+    does not grow with the batch. Rows that miss it pass through without a shuffle; a row that hits
+    it by chance is merged with nothing and stays as it is. The rest is aggregated, with map-side
+    combine: a key repeated in a third of the batch shrinks to one row per map task before the shuffle.
     """
-    touched = stage(incoming.select(*keys).distinct(), "keys")
-    if touched.limit(MOST_KEYS + 1).count() > MOST_KEYS:
-        return _merge(existing, incoming, keys, order, update, insert_only)
-    hit = F.lit(True)
-    for c in keys:
-        hit = hit & F.col(f"e.{c}").eqNullSafe(F.col(f"k.{c}"))
-    old, few = existing.alias("e"), F.broadcast(touched).alias("k")
-    merged = _merge(old.join(few, hit, "left_semi"), incoming, keys, order, update, insert_only)
-    return old.join(few, hit, "left_anti").unionByName(merged)
+    columns = existing.columns
+    marked = mark_touched(existing, key_filter(incoming, keys, dict(existing.dtypes)), keys)
+    touched = marked.filter("_touched").select(*columns)
+    untouched = marked.filter("not _touched").select(*columns)
+    return untouched.unionByName(_merge(touched, incoming, keys, order, update, insert_only))
+
+
+def _slot(keys: Sequence[str], types: dict[str, str]) -> dict[str, Column]:
+    """Word and bit of a key in the filter; equal keys, nulls included, have equal slots."""
+    place = F.xxhash64(*[F.col(k).cast(types[k]) for k in keys]).bitwiseAND(F.lit(FILTER_BITS - 1))
+    return {"_word": F.shiftright(place, 6), "_bit": place.bitwiseAND(F.lit(63)).cast("int")}
+
+
+def key_filter(incoming: DataFrame, keys: Sequence[str], types: dict[str, str]) -> DataFrame:
+    """Bloom filter of one hash function: ``_word, _bits``, at most ``FILTER_BITS / 64`` rows; one aggregate."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))
+    return incoming.select(*[c.alias(n) for n, c in _slot(keys, types).items()]).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+
+
+def mark_touched(existing: DataFrame, batch_filter: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``existing`` with ``_touched``: false only where the batch certainly does not hold the key."""
+    placed = existing.withColumns(_slot(keys, dict(existing.dtypes)))
+    hit = F.coalesce(F.getbit("_bits", F.col("_bit")) == 1, F.lit(False))
+    return placed.join(F.broadcast(batch_filter), "_word", "left").withColumn("_touched", hit).drop("_word", "_bit", "_bits")
 
 
 def _merge(existing, incoming, keys, order, update, insert_only) -> DataFrame:

@@ -20,70 +20,81 @@ def age(ts: str | Column) -> Column:
     return F.lit("2100-01-01").cast("timestamp_ntz") - (F.col(ts) if isinstance(ts, str) else ts)
 
 
-def day_bucket(ts: str | Column, newest_first: bool = False) -> Column:
-    """Bucket of a time column: its day, counted in the direction of the order."""
-    day = F.datediff(F.col(ts) if isinstance(ts, str) else ts, F.lit("1970-01-01"))
-    return -day if newest_first else day
-
-
-def chunk_bucket(seq: str | Column, size: int = 100_000) -> Column:
-    """Bucket of a dense position column: at most ``size`` rows each."""
-    return F.floor((F.col(seq) if isinstance(seq, str) else seq) / size)
-
-
-def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str
-) -> DataFrame:
-    """1-based position within ``keys`` by ``order``; ``bucket`` must rise with the order."""
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per key and bucket, so this window stays small also for a hot key.
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *keys, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
+#: Sizes up to which a top-k is cut in every task before the shuffle: a key's task then gets at most this many rows per task.
+SMALL_K = 100
+
+
+def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows sorted by keys and order in sort partitions, and what each partition takes over from those before it.
+
+    The sort is range-partitioned on keys and order together, so a key with very many rows spreads over
+    partitions, whatever its order values are. Only a partition's first key can have begun in an earlier one: the second
+    table has at most one row per partition, with that key's rows so far and its last ``value``.
+    """
+    placed = sorted_position(df, [*[F.col(c) for c in keys], *order], "_at").withColumn("_part", F.shiftright("_at", 33))
+    last = F.lit(None) if value is None else value
+    pieces = placed.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"), F.max("_at").alias("_end"),
+        F.max_by(F.struct(last.alias("v")), "_at").alias("_last"),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return (
-        _join_null_safe(rows.withColumn("_inside", F.row_number().over(inside)), starts, [*keys, "_bucket"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_before", "_inside")
+    # of a partition's keys only the first and the last can reach beyond it
+    ends = pieces.groupBy("_part").agg(F.max("_end").alias("_end"))
+    edge = pieces.join(F.broadcast(ends.withColumnRenamed("_end", "_part_end")), "_part")
+    edge = edge.where((F.col("_first").bitwiseAND(F.lit((1 << 33) - 1)) == 0) | (F.col("_end") == F.col("_part_end")))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edge.select(
+        *keys, "_part",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.last("_last").over(before).alias("_carried"),
     )
+    return placed, carried.where(F.col("_before") > 0)
 
 
-def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, name: str
-) -> DataFrame:
-    """``value`` of the row before within ``keys`` by ``order``; null for the first row."""
-    rows = df.withColumn("_bucket", bucket)
-    last = rows.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(value), F.struct(*order))[value].alias("_last")
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """1-based position within ``keys`` by ``order``, which must be unique per row of a key.
+
+    A scan over sort partitions: no task holds a whole key, also where all its rows share the leading order value.
+    """
+    placed, carried = _segments(df, keys, order)
+    inside = Window.partitionBy("_part", *keys).orderBy("_at")
+    numbered = placed.withColumn("_inside", F.row_number().over(inside))
+    return (
+        _join_null_safe(numbered, F.broadcast(carried.drop("_carried")), [*keys, "_part"], "left")
+        .withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+        .drop("_at", "_part", "_before", "_inside")
     )
-    across = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = last.select(*keys, "_bucket", F.lag("_last").over(across).alias("_carried"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    first = F.row_number().over(inside) == 1
-    numbered = rows.withColumns({"_first": first, "_lag": F.lag(value).over(inside)})
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``value`` of the row before within ``keys`` by ``order``; null for the first row. A scan like ``number_rows``."""
+    placed, carried = _segments(df, keys, [F.col(c) for c in order], F.col(value))
+    inside = Window.partitionBy("_part", *keys).orderBy("_at")
+    lagged = placed.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})
     return (
-        _join_null_safe(numbered, carried, [*keys, "_bucket"])
-        .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
-        .drop("_bucket", "_carried", "_first", "_lag")
+        _join_null_safe(lagged, F.broadcast(carried.drop("_before")), [*keys, "_part"], "left")
+        .withColumn(name, F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col("_lag")))
+        .drop("_at", "_part", "_carried", "_first", "_lag")
     )
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str) -> DataFrame:
-    """First ``k`` rows of each key by ``order``, with their place; one plan for every ``k``.
+    """First ``k`` rows of each key by ``order``, with their place.
 
-    The rows are range-sorted by key and order, so a key with very many rows spreads over
-    sort partitions, whose row counts per key place it; no task holds a whole key.
+    A small ``k`` is cut in every task before the shuffle. A large one is a range sort by key and order: a
+    key with very many rows spreads over sort partitions, whose row counts per key place it. Neither way
+    brings a whole key into one task, and both give the same rows.
     """
+    if k <= SMALL_K:
+        ranked = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(ranked)).filter(F.col(name) <= k)
     placed = sorted_position(df, [*[F.col(c) for c in keys], *order], "_at")
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     parts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first"))

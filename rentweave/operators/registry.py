@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_address
-from .linkage import founded_unit_id
 from .ranking import age
 
 # Days until a unit is no longer active / is stale; its states.
@@ -21,9 +20,9 @@ def unlinked(listings: DataFrame, postings: DataFrame) -> DataFrame:
 
 def found_units(listings: DataFrame, links: DataFrame, as_of: Column, strict: bool = True) -> DataFrame:
     """One unit per founding posting, with that posting's fields."""
-    founders = links.filter("founds_unit").select("listing_id")
+    founders = links.filter("founds_unit").select("listing_id", "unit_id")
     return listings.join(founders, "listing_id").select(
-        founded_unit_id(F.col("listing_id")).alias("unit_id"),
+        "unit_id",
         normalize_address(F.nullif("address", F.lit("")), strict).alias("canonical_address"),
         F.col("unit").alias("canonical_unit"),
         "neighborhood", "borough", "lat", "lng", "bedrooms", "bathrooms",
@@ -82,9 +81,14 @@ def attach_changes(attached: DataFrame, units: DataFrame, listings: DataFrame, a
     ).select("unit_id", "listing_id", "c.*", as_of.alias("created_at"))
 
 
-def append_changes(changes: DataFrame, path: str) -> None:
-    """Add change records to the log, one folder per run date."""
-    changes.withColumn("run_date", F.to_date("created_at")).write.mode("append").partitionBy("run_date").parquet(path)
+def append_changes(changes: DataFrame, path: str, run_id: str) -> None:
+    """Add a run's change records to the log, in a folder per run date and run.
+
+    Writing the same run again replaces its folders and no others, so a repeated run leaves one copy.
+    """
+    dated = changes.withColumns({"run_date": F.to_date("created_at"), "run_id": F.lit(run_id)})
+    log = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    log.partitionBy("run_date", "run_id").parquet(path)
 
 
 # Unit column -> posting column it is refreshed from.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ranking import age
+from .ranking import age, top_rows
 from .registry import newest_posting
 
 # Page size when none is asked for, and the largest one.
@@ -192,3 +192,57 @@ def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
             for c, name in (("unit_id", "first_unit_id"), ("last_seen_at", "first_hit_seen_at"))
         ],
     )
+
+
+def saved_search_pages(searches: DataFrame, units: DataFrame, first: int = DEFAULT_LIMIT) -> DataFrame:
+    """The first ``first`` hits of every active saved search, in its own order, with its total.
+
+    ``search_id, total, place, unit_id, last_seen_at, broker_fee``; a search without hits has one row with
+    place null. Like ``match_saved_searches``, but the summary of a block holds its newest units instead of
+    one: ``first`` of each fee (none, charged, unknown), which is all that either order can show of it. The
+    summary is cut in every task before it is shuffled, and a search reads ``first`` units per block of its
+    range and bedroom count, however many match.
+    """
+    first = min(MAX_LIMIT, max(1, first))
+    fee = F.coalesce(F.col("broker_fee").cast("int"), F.lit(2))
+    rows = units.select(
+        "borough", "neighborhood", "best_rent_gross", "bedrooms", fee.alias("fee"), age("last_seen_at").alias("age"),
+        "unit_id", "last_seen_at", "broker_fee",
+    )
+    newest = ["age", "unit_id"]
+    # rows of equal limits come first: they enter all blocks alike
+    alike = ["borough", "neighborhood", "best_rent_gross", "bedrooms", "fee"]
+    few = stage(top_rows(rows, alike, [F.col(c) for c in newest], first, "_place").drop("_place"), "newest")
+    places = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(_ANY)), F.lit(_ANY)))
+    entered = (
+        few.withColumn("at_borough", F.explode(places(F.col("borough"))))
+        .withColumn("at_hood", F.explode(places(F.col("neighborhood"))))
+        .withColumn("block", F.explode(_blocks_holding(F.col("best_rent_gross"))))
+    )
+    block = ["at_borough", "at_hood", "block", "bedrooms", "fee"]
+    summary = top_rows(entered, block, [F.col(c) for c in newest], first, "_place").select(
+        *block, *newest, "last_seen_at", "broker_fee"
+    )
+
+    active = searches.filter("is_active").select(
+        "search_id", F.coalesce(F.nullif("borough", F.lit("")), F.lit(_ANY)).alias("at_borough"),
+        F.coalesce(F.nullif("neighborhood", F.lit("")), F.lit(_ANY)).alias("at_hood"),
+        "max_rent", "min_beds", F.coalesce("no_fee_preferred", F.lit(False)).alias("no_fee"),
+    )
+    # searches of equal limits and order are answered once
+    limits = ["at_borough", "at_hood", "max_rent", "min_beds", "no_fee"]
+    number = F.xxhash64(*limits)
+    asked = active.select(*limits).distinct().withColumn("ask", number)
+    found = (
+        asked.withColumn("block", F.explode(_blocks_up_to(F.col("max_rent"))))
+        .join(summary, ["at_borough", "at_hood", "block"])
+        .filter(F.col("min_beds").isNull() | (F.col("bedrooms") >= F.col("min_beds")))
+        .withColumn("shown_fee", F.when(F.col("no_fee"), F.col("fee")).otherwise(F.lit(0)))
+    )
+    order = [F.col("shown_fee"), F.col("age"), F.col("unit_id")]
+    page = top_rows(found, ["ask"], order, first, "place").select("ask", "place", "unit_id", "last_seen_at", "broker_fee")
+    totals = match_saved_searches(searches, units).select("search_id", "total")
+    return (
+        active.withColumn("ask", number).select("search_id", "ask")
+        .join(totals, "search_id").join(page, "ask", "left").drop("ask")
+    )

@@ -8,7 +8,7 @@ from ..operators import linkage
 from ..operators.ranking import dense_position, top_rows
 from ..operators.registry import append_changes, attach_changes, unlinked, update_freshness
 from ..operators.search import filter_units
-from ..session import checkpoint_root
+from ..session import checkpoint_root, stage
 from ..schemas import POSTINGS, UNITS
 from .catalog import query, sql_cell, sql_normalize
 from .run import link_arrivals, link_new
@@ -153,13 +153,13 @@ WITH {IDENTITY_SQL}, {PAIRS_SQL}, {BEST_SQL}, {_CHANGES_SQL}
 SELECT kind, unit_id, listing_id, CAST(2 AS BIGINT) AS records FROM changes
 """)
 def change_append(spark, sf_dir):
-    """Two runs appended to one log; the log keeps both."""
+    """Two runs appended to one log, the second one twice; the log keeps one copy of each."""
     from uuid import uuid4
 
     path = f"{checkpoint_root(spark)}/change-log-{uuid4().hex}"
-    changes = _changes(spark, sf_dir)
-    for _ in range(2):
-        append_changes(changes, path)
+    changes = stage(_changes(spark, sf_dir), "changes")
+    for run in ("first", "second", "second"):
+        append_changes(changes, path, run)
     log = spark.read.parquet(path)
     return log.groupBy("kind", "unit_id", "listing_id").agg(F.count(F.lit(1)).alias("records"))
 
@@ -275,6 +275,15 @@ options AS (
 attached AS (SELECT * FROM options QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, place) = 1)"""
 
 
+def _known_again(new):
+    """Units that the postings with a fee have from before."""
+    again = new.filter("broker_fee").select(
+        F.concat(F.lit("kept-"), F.col("custkey").cast("string")).alias("unit_id"), "listing_id",
+        F.lit(100.0).alias("match_score"), F.col("last_seen_at").alias("created_at"),
+    )
+    return again.select(*[c.split()[0] for c in POSTINGS.split(", ")])
+
+
 @query(f"""
 WITH RECURSIVE {_RELINK_SQL}
 SELECT 'kept-' || custkey AS unit_id, listing_id, CAST(100 AS DOUBLE) AS match_score FROM new WHERE broker_fee
@@ -287,9 +296,30 @@ JOIN final f ON f.pos = v.pos AND f.mark <> 1
 def relink_batch(spark, sf_dir):
     """Newer postings arrive one by one at the units of the older ones; those with a fee are linked already."""
     new, old = split_view(spark, sf_dir)
-    again = new.filter("broker_fee").select(
-        F.concat(F.lit("kept-"), F.col("custkey").cast("string")).alias("unit_id"), "listing_id",
-        F.lit(100.0).alias("match_score"), F.col("last_seen_at").alias("created_at"),
-    )
-    run = link_arrivals(new, known_units(old), again.select(*[c.split()[0] for c in POSTINGS.split(", ")]), ntz(AS_OF))
+    run = link_arrivals(new, known_units(old), _known_again(new), ntz(AS_OF))
+    return run.postings.select("unit_id", "listing_id", "match_score")
+
+
+# No posting is spared from founding; one that has a unit founds another, named by its arrival.
+_REFOUND_SQL = _RELINK_SQL.replace("coalesce(broker_fee, false) AS kept", "false AS kept")
+_REFOUNDED = """CASE WHEN k.broker_fee THEN sha256('unit' || chr(1) || k.listing_id || chr(1) || strftime(k.last_seen_at, '%Y-%m-%d %H:%M:%S.%f'))
+     ELSE sha256('unit' || chr(1) || k.listing_id) END"""
+_REFOUND_SQL = _REFOUND_SQL.replace(
+    "SELECT v.listing_id, sha256('unit' || chr(1) || w.listing_id), e.score, e.earlier", f"SELECT v.listing_id, {_REFOUNDED}, e.score, e.earlier"
+).replace("JOIN v w ON w.pos = e.earlier)", "JOIN v w ON w.pos = e.earlier JOIN new k ON k.listing_id = w.listing_id)")
+
+
+@query(f"""
+WITH RECURSIVE {_REFOUND_SQL}
+SELECT 'kept-' || custkey AS unit_id, listing_id, CAST(100 AS DOUBLE) AS match_score FROM new WHERE broker_fee
+UNION ALL
+SELECT {_REFOUNDED}, v.listing_id, 100 FROM v JOIN final f ON f.pos = v.pos AND f.mark = 1 JOIN new k ON k.listing_id = v.listing_id
+UNION ALL
+SELECT a.unit_id, a.listing_id, a.score FROM attached a JOIN v ON v.listing_id = a.listing_id
+JOIN final f ON f.pos = v.pos AND f.mark <> 1
+""")
+def relink_strict(spark, sf_dir):
+    """The same arrivals; those that have a unit but match none found a second one."""
+    new, old = split_view(spark, sf_dir)
+    run = link_arrivals(new, known_units(old), _known_again(new), ntz(AS_OF), refound=True)
     return run.postings.select("unit_id", "listing_id", "match_score")

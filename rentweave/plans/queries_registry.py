@@ -11,6 +11,7 @@ from ..operators.merge import FOLDER_IMPORT_COLUMNS
 from ..operators.registry import freshness_counts as count_states
 from ..operators.registry import refresh_units, update_freshness
 from ..schemas import LISTINGS, UNITS, column_types
+from ..session import stage
 from ..sources.intake import create_searches, list_searches
 from .catalog import query, sql_normalize
 from .views import AS_OF, POSTINGS_SQL, SPLIT_DAY, ntz, postings_view, table
@@ -291,7 +292,22 @@ SELECT s.search_id, coalesce(t.total, 0) AS total, n.unit_id AS first_unit_id, n
 FROM s LEFT JOIN t ON t.search_id = s.search_id LEFT JOIN n ON n.search_id = s.search_id WHERE s.is_active
 """)
 def saved_search_matches(spark, sf_dir):
-    return search.match_saved_searches(searches_view(spark, sf_dir), refreshed(spark, sf_dir)[0])
+    units = stage(refreshed(spark, sf_dir)[0], "units")
+    return search.match_saved_searches(searches_view(spark, sf_dir), units)
+
+
+@query(f"""{_HITS_SQL.replace("u.last_seen_at,", "u.last_seen_at, u.broker_fee,")},
+t AS (SELECT search_id, count(*) AS total FROM hits GROUP BY 1),
+n AS (SELECT search_id, unit_id, last_seen_at, broker_fee,
+             CAST(row_number() OVER (PARTITION BY search_id ORDER BY fee, last_seen_at DESC, unit_id) AS BIGINT) AS place FROM hits)
+SELECT s.search_id, coalesce(t.total, 0) AS total, n.place, n.unit_id, n.last_seen_at, n.broker_fee
+FROM s LEFT JOIN t ON t.search_id = s.search_id LEFT JOIN n ON n.search_id = s.search_id AND n.place <= 20 WHERE s.is_active
+""")
+def saved_search_pages(spark, sf_dir):
+    """The first page of every active saved search."""
+    units = stage(refreshed(spark, sf_dir)[0], "units")
+    pages = search.saved_search_pages(searches_view(spark, sf_dir), units)
+    return pages.withColumn("place", F.col("place").cast("bigint"))
 
 
 @query(f"""

@@ -1,8 +1,9 @@
 """Crawl rounds as one call: plan, ingest what was fetched, link, count.
 
 What a crawler fetched is a table here (source, source_url, source_listing_id, http_status,
-raw_content, seen_at, seq); a round takes from it the urls it planned. The caller may
-repeat rounds, each on the registry and jobs that the last one returned.
+raw_content, seen_at, seq); a round takes from it the urls it planned. ``fill_registry``
+repeats rounds until the target and can be stopped and started again; the caller may also
+repeat rounds by hand, each on the registry and jobs that the last one returned.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frontier
 from ..operators.ingest import IngestBatch, ingest_batch
+from ..schemas import CHANGE_LOG, CRAWL_JOBS, LISTINGS, POSTINGS, RAW_LISTINGS, ROUND_STATS, UNITS
 from ..session import stage
 from ..sources.adapters import BUILT_IN, SourceAdapter
 from .run import Registry, run_batch
@@ -79,10 +81,95 @@ def registry_round(
     task = stats.select(F.lit("all").alias("source"), F.lit("registry").alias("query"))
     given = stage(frontier.assign_jobs(task, jobs, frontier.MODE_REGISTRY), "jobs")
     opened = frontier.open_jobs(given, jobs, as_of, frontier.MODE_REGISTRY, target)
-    totals = given.select("job_id").crossJoin(stats).withColumn("updated_at", as_of)  # one row with one row
+    totals = stats.withColumns({"job_id": F.lit(given.first().job_id), "updated_at": as_of})
     return Round(after, frontier.set_job_counts(opened, totals), changes, stats)
 
 
+#: Rounds of one fill at most.
+MAX_ROUNDS = 10
+
+
+class RoundLedger:
+    """Finished rounds of one fill, below a folder.
+
+    ``round=n`` holds the tables a round left, ``done/round=n`` its row of counts, written last: a round
+    without that row never happened, and running it again overwrites what it had begun.
+    """
+
+    TABLES = {"raw": RAW_LISTINGS, "listings": LISTINGS, "units": UNITS, "postings": POSTINGS, "jobs": CRAWL_JOBS, "changes": CHANGE_LOG}
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root
+        spark.createDataFrame([], ROUND_STATS).write.mode("ignore").parquet(f"{root}/done/round=0")
+
+    def finished(self) -> list[Row]:
+        """Counts of the rounds so far, in order; at most ``MAX_ROUNDS`` rows."""
+        return self.spark.read.schema(f"{ROUND_STATS}, round int").parquet(f"{self.root}/done").orderBy("round").collect()
+
+    def read(self, number: int, table: str) -> DataFrame:
+        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/round={number}/{table}")
+
+    def registry(self, number: int) -> Registry:
+        return Registry(*[self.read(number, t) for t in ("raw", "listings", "units", "postings")])
+
+    def changes(self) -> DataFrame:
+        """Change records of all finished rounds."""
+        parts = [self.read(r.round, "changes") for r in self.finished()]
+        return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], CHANGE_LOG))
+
+    def save(self, number: int, done: Round) -> None:
+        tables = {**vars(done.registry), "jobs": done.jobs, "changes": done.changes}
+        for name, schema in self.TABLES.items():
+            columns = [c.split()[0] for c in schema.split(",")]
+            tables[name].select(*columns).write.mode("overwrite").parquet(f"{self.root}/round={number}/{name}")
+        done.stats.write.mode("overwrite").parquet(f"{self.root}/done/round={number}")
+
+
+def fill_registry(
+    ledger: RoundLedger,
+    registry: Registry,
+    jobs: DataFrame,
+    discovered: DataFrame,
+    fetched: DataFrame,
+    as_of: Column,
+    adapters: Sequence[SourceAdapter] = BUILT_IN,
+    batch: int = frontier.BATCH,
+    max_urls: int = frontier.MAX_URLS,
+    target: int = frontier.TARGET_UNITS,
+    max_rounds: int = MAX_ROUNDS,
+) -> Round:
+    """Repeat registry rounds until the target, the url cap or ``max_rounds``, or until nothing is left to visit.
+
+    ``registry`` and ``jobs`` are those before the first round; a fill whose ledger holds finished rounds
+    goes on after the last of them. The counts, and the job's counters, are those of all rounds. Urls that could not
+    be read stay unseen and are planned again, so they use up the cap.
+    """
+    task = discovered.sparkSession.createDataFrame([("all", "registry")], "source string, query string")
+    job = frontier.assign_jobs(task, jobs, frontier.MODE_REGISTRY).first().job_id
+    before = registry.units.count()
+    while True:
+        rounds = ledger.finished()
+        if rounds:
+            registry, jobs = ledger.registry(rounds[-1].round), ledger.read(rounds[-1].round, "jobs")
+        attempted = sum(r.new_urls for r in rounds)
+        units = rounds[-1].ending_units if rounds else before
+        over = bool(rounds) and not rounds[-1].new_urls
+        if over or len(rounds) >= max_rounds or attempted >= max_urls or units >= target:
+            break
+        done = registry_round(
+            registry, jobs, discovered, fetched, as_of, adapters, attempted=attempted, batch=batch, max_urls=max_urls, target=target
+        )
+        ledger.save(len(rounds) + 1, done)
+    names = ("discovered", "new_urls", "ingested", "errors", "units_added")
+    total = {n: sum(r[n] for r in rounds) for n in names}
+    stats = discovered.sparkSession.createDataFrame(
+        [(before, *[total[n] for n in names], before + total["units_added"])], ROUND_STATS
+    )
+    if rounds:
+        jobs = frontier.set_job_counts(jobs, stats.withColumns({"job_id": F.lit(job), "updated_at": as_of}))
+    return Round(registry, jobs, ledger.changes(), stats)
+
+
 def targeted_round(
     registry: Registry,
     jobs: DataFrame,

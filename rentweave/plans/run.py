@@ -51,7 +51,7 @@ def link_new(
     listings: DataFrame, units: DataFrame, postings: DataFrame, as_of: Column, strict: bool = True
 ) -> LinkRun:
     """Link every posting without a unit, newest first, then refresh all posted units."""
-    todo = unlinked(listings, postings)
+    todo = stage(unlinked(listings, postings), "todo")
     run = apply_links(
         todo, units, postings, link_postings(todo, units, strict=strict), as_of, strict
     )
@@ -59,25 +59,40 @@ def link_new(
     return run
 
 
-def link_arrivals(
-    arrived: DataFrame, units: DataFrame, postings: DataFrame, as_of: Column, strict: bool = True
+def arrival_changes(
+    arrived: DataFrame, units: DataFrame, postings: DataFrame, as_of: Column, strict: bool = True, refound: bool = False
 ) -> LinkRun:
-    """Link arriving postings in order of arrival; some may have a unit already.
+    """What linking arriving postings in order of arrival adds or changes.
 
-    Units take the time of the posting attached last, other fields wait for a full run.
+    ``units`` of the result are the founded ones and those that got a posting, ``postings`` the
+    links to write; nothing else in the registry is touched. ``postings`` given need only hold
+    those of the arrivals. Units take the time of the posting attached last, other fields wait
+    for a full run. ``refound``: a posting that has a unit, but matches none now, founds a second one.
     """
     known = postings.select("unit_id", "listing_id").join(arrived.select("listing_id"), "listing_id", "left_semi")
-    result = link_postings(arrived, units, order=oldest_first(), linked=known, strict=strict)
-    run = apply_links(arrived, units, postings, result, as_of, strict)
+    result = link_postings(arrived, units, order=oldest_first(), linked=known, strict=strict, refound=refound)
     seen = (
         result.links.join(arrived.select("listing_id", "last_seen_at"), "listing_id")
         .groupBy("unit_id")
         .agg(F.max("last_seen_at").alias("attached_at"))
     )
-    run.units = run.units.join(seen, "unit_id", "left").withColumn(
-        "last_seen_at", F.coalesce("attached_at", "last_seen_at")
-    ).select(*units.columns)
-    return run
+    founded = found_units(arrived, result.links, as_of, strict)
+    # A posting linked again founds the same id it founded before.
+    fresh = founded.join(units.select("unit_id"), "unit_id", "left_anti").select(*units.columns)
+    before = stage(units.join(seen.select("unit_id"), "unit_id", "left_semi").unionByName(fresh), "attached")
+    after = before.join(seen, "unit_id", "left").withColumn("last_seen_at", F.coalesce("attached_at", "last_seen_at"))
+    links = result.links.select("unit_id", "listing_id", "match_score", as_of.alias("created_at"))
+    changes = attach_changes(result.links.filter("not founds_unit"), before, arrived, as_of)
+    return LinkRun(after.select(*units.columns), links, changes, result)
+
+
+def link_arrivals(
+    arrived: DataFrame, units: DataFrame, postings: DataFrame, as_of: Column, strict: bool = True, refound: bool = False
+) -> LinkRun:
+    """Whole tables after ``arrival_changes``; some of the arrivals may have a unit already."""
+    run = arrival_changes(arrived, units, postings, as_of, strict, refound)
+    rest = units.join(run.units.select("unit_id"), "unit_id", "left_anti")
+    return LinkRun(rest.unionByName(run.units), upsert_links(postings, run.postings), run.changes, run.result)
 
 
 def run_batch(registry: Registry, batches: list, as_of: Column, strict: bool = True) -> tuple[Registry, DataFrame]:

@@ -32,6 +32,10 @@ CRAWL_JOBS = """
     discovered bigint, ingested bigint, units_added bigint,
     created_at timestamp_ntz, updated_at timestamp_ntz"""
 
+ROUND_STATS = """
+    starting_units bigint, discovered bigint, new_urls bigint, ingested bigint, errors bigint,
+    units_added bigint, ending_units bigint"""
+
 SAVED_SEARCHES = """
     search_id string, name string, prompt string, max_rent int, min_beds double, borough string,
     neighborhood string, no_fee_preferred boolean, is_active boolean, created_at timestamp_ntz"""

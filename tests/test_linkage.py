@@ -173,3 +173,58 @@ def test_relink_keeps_unit_without_match(spark):
     listings, units = random_case(rng, 120, 10)
     kept = {r["id"]: "u000" for r in listings[::4]}
     assert run_spark(spark, listings, units, kept) == sequential(listings, units, kept)
+
+
+def test_relink_founds_a_second_unit_where_told(spark):
+    """A known posting whose fields cannot match founds a unit per arrival; its later arrivals do not meet it."""
+    ddl = LISTING
+    row = listing("l1", None, None, None, None, 1.0, 1.0, seen=T0)
+    known = spark.createDataFrame([("u-old", "l1")], "unit_id string, listing_id string")
+    none = spark.createDataFrame([], UNITS)
+    ids = set()
+    for hours in (0, 5, 5):
+        at = listing("l1", None, None, None, None, 1.0, 1.0, seen=T0 + timedelta(hours=hours))
+        (link,) = linkage.link_postings(spark.createDataFrame([at], ddl), none, linked=known, refound=True).links.collect()
+        assert link.founds_unit
+        ids.add(link.unit_id)
+    assert len(ids) == 2
+    assert linkage.link_postings(spark.createDataFrame([row], ddl), none, linked=known).links.count() == 0
+
+
+def chain(n):
+    """Each posting would link with the next one only: by address and unit, then by unit and cell."""
+    out = []
+    for i in range(n):
+        place, door = i // 2, (i + 1) // 2
+        out.append(
+            dict(id=f"l{i:04d}", address=f"{door} Main Street", unit="1A", lat=40.0 + place * 0.01, lng=-73.0, beds=1.0, baths=1.0,
+                 seen=T0 - timedelta(minutes=i))
+        )
+    return [{**r, "addr": normal(r["address"])} for r in out]
+
+
+@pytest.mark.parametrize("n, at_once", [(64, None), (64, 70), (16, 5)])
+def test_long_chains(spark, monkeypatch, n, at_once):
+    """Chains of 64 in one narrow step, in one per component, and (components too large for a task) in rounds."""
+    rows = chain(n)
+    for k in range(1, 4):  # further chains elsewhere
+        rows += [{**r, "id": f"{k}{r['id']}", "lat": r["lat"] + k, "address": r["address"].replace("Main", f"Oak{k}")} for r in chain(n)]
+    rows = [{**r, "addr": normal(r["address"])} for r in rows]
+    if at_once:
+        monkeypatch.setattr(linkage, "SOLVED_AT_ONCE", at_once)
+    want = sequential(rows, [])
+    assert len({u for u, _ in want.values()}) == 2 * n
+    assert run_spark(spark, rows, []) == want
+    df = linkage.posting_identity(spark.createDataFrame(
+        [listing(r["id"], r["address"], r["unit"], r["lat"], r["lng"], r["beds"], r["baths"], seen=r["seen"]) for r in rows], LISTING
+    ))
+    nodes = linkage.sorted_position(df, linkage.newest_first(), "ord").withColumn("node", F.col("ord")).select("node", "ord", *linkage.IDENTITY)
+    founders, rounds = linkage._found_units(nodes)
+    assert founders.count() == 2 * n and (rounds <= 3 or at_once == 5)
+
+
+@pytest.mark.parametrize("seed", [11])
+def test_components_match_sequential_loop(spark, monkeypatch, seed):
+    monkeypatch.setattr(linkage, "SOLVED_AT_ONCE", 30)
+    listings, units = random_case(random.Random(seed), 250, 10)
+    assert run_spark(spark, listings, units) == sequential(listings, units)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 from test_linkage import CLASSIFIED, STRUCTURED
 
 from rentweave.operators.ingest import ingest_batch
 from rentweave.operators.registry import append_changes
-from rentweave.plans.rounds import registry_round, targeted_round
+from rentweave.plans.rounds import RoundLedger, fill_registry, registry_round, targeted_round
 from rentweave.plans.run import Registry, run_batch
 from rentweave.schemas import CRAWL_JOBS, LISTINGS, POSTINGS, RAW_LISTINGS, SAVED_SEARCHES, UNITS
 from rentweave.sources.adapters import SourceRegistry
@@ -66,7 +67,8 @@ def test_golden_run_and_rerun(spark, tmp_path):
     assert units["156 n 4th st"].best_rent_gross == 4600
     assert {u.active_state for u in units.values()} == {"unknown"}
 
-    append_changes(changes, str(tmp_path / "log"))
+    for run in ("one", "one"):
+        append_changes(changes, str(tmp_path / "log"), run)
     again, more = run_batch(registry, both, now)
     assert more.count() == 0
     for name in ("listings", "units", "postings"):
@@ -107,6 +109,59 @@ def test_registry_rounds(spark):
     assert three.stats.first().new_urls == 0 and three.registry.units.count() == 9
 
 
+def test_fill_goes_on_where_it_was_lost(spark, tmp_path, monkeypatch):
+    """A fill that is lost while it writes its second round ends like one that was not."""
+    fetched, found = fetched_and_found(spark)
+    now = F.lit("2026-02-10 00:30:00").cast("timestamp_ntz")
+    jobs = spark.createDataFrame([], CRAWL_JOBS)
+    adapters = SourceRegistry().route("structured_json,classified_json")
+
+    def fill(name):
+        ledger = RoundLedger(spark, str(tmp_path / name))
+        return ledger, fill_registry(ledger, empty(spark), jobs, found, fetched, now, adapters, batch=3, max_urls=20, target=8)
+
+    def state(done):
+        tables = {**vars(done.registry), "jobs": done.jobs, "changes": done.changes, "stats": done.stats}
+        return {n: sorted(map(str, t.collect())) for n, t in tables.items()}
+
+    ledger, whole = fill("whole")
+    want = state(whole)
+    assert [r.new_urls for r in ledger.finished()] == [6, 5] and whole.registry.units.count() == 9
+    stats = whole.stats.first().asDict()
+    assert stats.pop("errors") + stats.pop("ingested") == 11
+    assert stats == {"starting_units": 0, "discovered": 22, "new_urls": 11, "units_added": 9, "ending_units": 9}
+    (job,) = whole.jobs.collect()
+    assert (job.status, job.discovered, job.units_added) == ("paused", 22, 9)
+
+    save = RoundLedger.save
+
+    def lost(self, number, done):
+        if number == 2:
+            done.registry.units.limit(1).write.parquet(f"{self.root}/round=2/units")
+            raise OSError("lost")
+        save(self, number, done)
+
+    monkeypatch.setattr(RoundLedger, "save", lost)
+    with pytest.raises(OSError, match="lost"):
+        fill("lost")
+    monkeypatch.undo()
+    ledger, again = fill("lost")
+    assert state(again) == want and len(ledger.finished()) == 2
+    assert state(fill("lost")[1]) == want  # a finished fill does nothing
+
+
+def test_fill_stops_at_its_cap(spark, tmp_path):
+    """The broken record stays unseen and is planned again, which uses up the cap."""
+    fetched, found = fetched_and_found(spark)
+    now = F.lit("2026-02-10 00:30:00").cast("timestamp_ntz")
+    ledger = RoundLedger(spark, str(tmp_path / "fill"))
+    done = fill_registry(
+        ledger, empty(spark), spark.createDataFrame([], CRAWL_JOBS), found, fetched, now,
+        SourceRegistry().route("structured_json,classified_json"), batch=30, target=99, max_urls=12,
+    )
+    assert [r.new_urls for r in ledger.finished()] == [11, 1] and done.stats.first().errors == 2
+
+
 def test_targeted_round(spark):
     fetched, found = fetched_and_found(spark)
     now = F.lit("2026-02-10 00:30:00").cast("timestamp_ntz")

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pytest
+
+from rentweave.operators.merge import keyed_upsert
 from rentweave.schemas import PAGES
 from rentweave.sources.adapters import SourceRegistry
+from rentweave.streaming.keyed_table import KeyedTable
 from rentweave.streaming.page_import import RegistryFolder, import_pages, read_landing, stream_first_last_seen
 
 T0 = datetime(2026, 1, 1)
@@ -61,6 +65,51 @@ def test_import_stream(spark, tmp_path):
     assert registry.read("postings", 1).count() == 3
 
 
+def test_batch_touches_few_folders_and_repeats(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ("k",), buckets=32)
+    apply = lambda old, new: keyed_upsert(old, new, ("k",), ("seq",), ("v",))
+    rows = lambda ids, v: spark.createDataFrame([(i, v, 0) for i in ids], "k int, v string, seq int")
+    assert len(table.merge(0, rows(range(1000), "a"), apply)) == 32
+    hit = table.merge(1, rows([3, 5000], "b"), apply)
+    assert 1 <= len(hit) <= 2
+    folders = lambda b: sorted(p.name for p in (tmp_path / "t" / "data" / f"batch={b}").glob("bucket=*"))
+    assert folders(1) == sorted(f"bucket={n}" for n in hit)
+    want = {**{i: "a" for i in range(1000)}, 3: "b", 5000: "b"}
+    assert {r.k: r.v for r in table.read(1).collect()} == want
+    assert table.merge(1, rows([3, 5000], "b"), apply) == hit  # the batch again
+    assert {r.k: r.v for r in table.read(1).collect()} == want and table.read(1).count() == 1001
+    assert {r.k: r.v for r in table.read(0).collect()} == {i: "a" for i in range(1000)}  # readers of the batch before
+    assert table.merge(2, rows([], "c"), apply) == [] and table.read(2).count() == 1001
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    """The stream fails after the tables are written, starts again and runs the batch anew."""
+    landing, registry = tmp_path / "landing", RegistryFolder(spark, str(tmp_path / "registry"), buckets=16)
+    (adapter,) = SourceRegistry().route("building_pages")
+    start = lambda: import_pages(read_landing(spark, str(landing)), registry, adapter, str(tmp_path / "checkpoint")).start()
+    land(spark, landing, [(f"https://h/{i}", 200, page(f"{i}A", 1000 + i, f"-73.{i:02}"), T0 + timedelta(hours=i)) for i in range(10, 60)])
+    drain(start())
+    land(spark, landing, [("https://h/10", 200, page("10A", 1500, "-73.10"), T0 + timedelta(days=9)), ("https://h/99", 200, page("99A", 1, "-73.99"), T0 + timedelta(days=9))])
+    state = lambda: {t: sorted(map(str, registry.read(t, 1).collect())) for t in registry.tables}
+    write, kept = RegistryFolder.write_batch, []
+
+    def fails(self, name, batch, df):
+        write(self, name, batch, df)
+        if name == "changes":
+            kept.append(state())
+            raise OSError("lost")
+
+    monkeypatch.setattr(RegistryFolder, "write_batch", fails)
+    query = start()
+    with pytest.raises(Exception, match="lost"):
+        query.processAllAvailable()
+    monkeypatch.undo()
+    drain(start())
+    assert kept == [state()] and len(kept[0]["units"]) == 51 and registry.changes().count() == 1
+    rewritten = {t: {n for n, b in registry.tables[t].live(1).items() if b == 1} for t in registry.tables}
+    assert all(1 <= len(n) <= 2 for n in rewritten.values())
+
+
 def test_first_last_seen_stream_equals_batch(spark, tmp_path):
     from rentweave.operators.history import first_last_seen
 

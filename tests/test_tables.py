@@ -8,8 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from rentweave.operators import detail, history, ranking, search
-from rentweave.operators.frontier import plan_frontier, run_stats
+from rentweave.operators import detail, history, merge, ranking, search
+from rentweave.operators.frontier import host_schedule, plan_frontier, run_stats
 from rentweave.operators.merge import FOLDER_IMPORT_COLUMNS, keyed_upsert, upsert_listings
 from rentweave.operators.registry import refresh_units
 from rentweave.schemas import LISTINGS, PARSED_FIELDS, POSTINGS, UNITS, column_types
@@ -29,10 +29,10 @@ def test_upsert_semantics(spark):
         [("k1", 1, "b", "x"), ("k1", 2, None, "y"), ("k2", 5, "late", "p"), ("k2", 3, "early", "q")],
         "k string, seq int, v string, ins string",
     )
-    merge = lambda t: keyed_upsert(t, batch, ("k",), ("seq",), ("v",), ("ins",))
-    once = {tuple(r) for r in merge(old).collect()}
+    both = lambda t: keyed_upsert(t, batch, ("k",), ("seq",), ("v",), ("ins",))
+    once = {tuple(r) for r in both(old).collect()}
     assert once == {("k1", None, "first", "kept"), ("k2", "late", "q", None)}
-    assert {tuple(r) for r in merge(merge(old)).collect()} == once
+    assert {tuple(r) for r in both(both(old)).collect()} == once
 
 
 def parsed(spark, rows):
@@ -60,7 +60,7 @@ def test_positions_with_a_hot_key(spark):
         by_key.setdefault(r[0], []).append(r[1])
     want = {i: n for ids in by_key.values() for n, i in enumerate(ids, 1)}
     order = [F.col("ts"), F.col("i")]
-    got = ranking.number_rows(df, ["k"], order, ranking.day_bucket("ts"), "n").collect()
+    got = ranking.number_rows(df, ["k"], order, "n").collect()
     assert {r.i: r.n for r in got} == want
     dense = ranking.dense_position(df, order, "n").collect()
     assert {r.i: r.n for r in dense} == {r[1]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])), 1)}
@@ -81,6 +81,69 @@ def test_price_history_crosses_buckets(spark):
     assert sorted((r.i, r.old_price, r.new_price) for r in got) == want
 
 
+@pytest.fixture
+def many_sort_partitions(spark):
+    """Small sort partitions stay apart, as large ones would."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_scans_cross_sort_partitions(spark, many_sort_partitions):
+    """One key has almost all rows, all on one day or with one place in the order; null keys are a key."""
+    rng = random.Random(5)
+    rows = [("hot" if i % 50 else rng.choice(["a", None]), i, T0, rng.choice([1, 2, 3])) for i in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i int, ts timestamp_ntz, price int")
+    want, last, n, seen = [], {}, {}, {}
+    for k, i, _, p in sorted(rows, key=lambda r: r[1]):
+        n[k] = seen[i] = n.get(k, 0) + 1
+        if k in last and last[k] != p:
+            want.append((i, last[k], p))
+        last[k] = p
+    assert {r.i: r.n for r in ranking.number_rows(df, ["k"], [F.col("ts"), F.col("i")], "n").collect()} == seen
+    got = history.price_history(df, ["k"], "ts", "i", "price").collect()
+    assert sorted((r.i, r.old_price, r.new_price) for r in got) == sorted(want)
+    placed, carried = ranking._segments(df, ["k"], [F.col("ts"), F.col("i")])
+    sizes = sorted(r["count"] for r in placed.groupBy("_part").count().collect())
+    assert len(sizes) >= 6 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    assert carried.count() <= len(sizes)
+
+
+def test_visits_of_one_host_at_one_place(spark, many_sort_partitions):
+    urls = spark.createDataFrame([(f"https://h.example.com/{i:04}", 7) for i in range(3000)], "url string, seq long")
+    starts = sorted((r.url, r.start_ms) for r in host_schedule(urls).collect())
+    assert [s for _, s in starts] == [1000 * i for i in range(3000)]
+
+
+@pytest.mark.parametrize("k", [3, ranking.SMALL_K, ranking.SMALL_K + 1, 250])
+def test_top_rows_either_way(spark, many_sort_partitions, k):
+    rows = [(None if i % 7 == 0 else "hot" if i % 5 else "few", (i * 37) % 1000) for i in range(1000)]
+    got = ranking.top_rows(spark.createDataFrame(rows, "k string, v int"), ["k"], [F.col("v")], k, "n").collect()
+    want = {(key, v, n) for key in (None, "hot", "few") for n, v in enumerate(sorted(v for x, v in rows if x == key)[:k], 1)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_merge_passes_other_keys_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Also with a filter so small that most stored keys hit it by chance; null keys are keys."""
+    rows = [(i, f"s{i % 3}" if i % 10 else None, f"v{i}") for i in range(2000)]
+    spark.createDataFrame(rows, "k int, s string, v string").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    # keys of another width than the table's
+    batch = spark.createDataFrame([(i, f"s{i % 3}" if i % 10 else None, "new", i) for i in range(1990, 2010)], "k long, s string, v string, seq int")
+    merged = keyed_upsert(stored, batch, ("k", "s"), ("seq",), ("v",))
+    want = {(k, s, v) for k, s, v in rows if k < 1990} | {(i, f"s{i % 3}" if i % 10 else None, "new") for i in range(1990, 2010)}
+    assert {tuple(r) for r in merged.collect()} == want
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    marked = merge.mark_touched(stored, merge.key_filter(batch, ("k", "s"), dict(stored.dtypes)), ("k", "s")).filter("not _touched")
+    assert "hashpartitioning(k" not in marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.count() > 1900
+    monkeypatch.setattr(merge, "FILTER_BITS", 64)
+    assert {tuple(r) for r in keyed_upsert(stored, batch, ("k", "s"), ("seq",), ("v",)).collect()} == want
+
+
 def units(spark, rows):
     return table(spark, UNITS, [{"last_seen_at": T0, "created_at": T0, "active_state": "active", **r} for r in rows])
 
@@ -140,9 +203,17 @@ def test_saved_searches_against_brute_force(spark):
             and (not s["neighborhood"] or u["neighborhood"] == s["neighborhood"])
         ]
         fee = lambda u: (2 if u["broker_fee"] is None else int(u["broker_fee"])) if s["no_fee_preferred"] else 0
-        first = min(hits, key=lambda u: (fee(u), -u["last_seen_at"].timestamp(), u["unit_id"]))["unit_id"] if hits else None
-        want[s["search_id"]] = (len(hits), first)
-    assert got == want
+        hits.sort(key=lambda u: (fee(u), -u["last_seen_at"].timestamp(), u["unit_id"]))
+        want[s["search_id"]] = (len(hits), [u["unit_id"] for u in hits])
+    assert got == {i: (n, ids[0] if ids else None) for i, (n, ids) in want.items()}
+    for first in (1, 7, 20):
+        shown: dict = {}
+        for r in sorted(search.saved_search_pages(searches, units(spark, us), first).collect(), key=lambda r: r.place or 0):
+            total, ids = shown.setdefault(r.search_id, (r.total, []))
+            if r.place is not None:
+                ids.append(r.unit_id)
+                assert (r.place, r.total) == (len(ids), total)
+        assert shown == {i: (n, ids[:first]) for i, (n, ids) in want.items()}
 
 
 def test_refresh_overwrites_with_null_unless_told(spark):
@@ -219,18 +290,6 @@ def test_equal_times_apply_in_order_of_arrival(spark):
         }
 
 
-def test_known_rows_of_other_keys_are_not_shuffled(spark):
-    from rentweave.operators.merge import keyed_upsert
-
-    known = spark.range(1000).select("id", F.lit("page").alias("content"), F.lit(0).alias("at"))
-    batch = spark.createDataFrame([(5, "new", 1)], "id long, content string, at int")
-    merged = keyed_upsert(known, batch, ("id",), ("at",), update=("content", "at"))
-    assert merged.count() == 1000 and merged.where("content = 'new'").count() == 1
-    plan = merged._jdf.queryExecution().executedPlan().toString()
-    untouched = plan[: plan.index("LeftSemi")]
-    assert "LeftAnti" in untouched and "hashpartitioning" not in untouched[: untouched.index("LeftAnti")]
-
-
 @pytest.mark.parametrize("k", [3, 5000])
 def test_top_rows_at_any_k(spark, k):
     from rentweave.operators.ranking import top_rows
