@@ -161,26 +161,20 @@ def set_job_counts(jobs: DataFrame, totals: DataFrame) -> DataFrame:
 def run_stats(
     discovered: DataFrame, fresh: DataFrame, ingested: DataFrame, units_before: DataFrame, links: DataFrame
 ) -> DataFrame:
-    """One row about a registry run, from counts of its stages.
+    """One row about a registry run; each of its stages is read once, for all its counts.
 
     ``ingested`` carries ``error``; ``links`` carries ``founds_unit``.
     """
-
-    def tally(df: DataFrame, name: str, hit: Column | None = None) -> DataFrame:
-        n = F.count(F.lit(1)) if hit is None else F.count_if(hit)
-        return df.agg(n.alias("n")).select(F.lit(name).alias("name"), "n")
-
+    every, failed = F.count(F.lit(1)), F.count_if(F.col("error").isNotNull())
     parts = [
-        tally(units_before, "starting_units"),
-        tally(discovered, "discovered"),
-        tally(fresh, "new_urls"),
-        tally(ingested, "ingested", F.col("error").isNull()),
-        tally(ingested, "errors", F.col("error").isNotNull()),
-        tally(links, "units_added", F.col("founds_unit")),
+        units_before.agg(every.alias("starting_units")),
+        discovered.agg(every.alias("discovered")),
+        fresh.agg(every.alias("new_urls")),
+        ingested.agg((every - failed).alias("ingested"), failed.alias("errors")),
+        links.agg(F.count_if("founds_unit").alias("units_added")),
     ]
     rows = parts[0]
     for part in parts[1:]:
-        rows = rows.unionByName(part)
-    names = ("starting_units", "discovered", "new_urls", "ingested", "errors", "units_added")
-    counts = rows.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
+        rows = rows.unionByName(part, allowMissingColumns=True)  # one row of each, nulls in the columns of others
+    counts = rows.agg(*[F.max(c).alias(c) for c in rows.columns])
     return counts.withColumn("ending_units", F.col("starting_units") + F.col("units_added"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_address
@@ -11,7 +13,7 @@ from ..operators.merge import FOLDER_IMPORT_COLUMNS
 from ..operators.registry import freshness_counts as count_states
 from ..operators.registry import refresh_units, update_freshness
 from ..schemas import LISTINGS, UNITS, column_types
-from ..session import stage
+from ..session import checkpoint_root, stage
 from ..sources.intake import create_searches, list_searches
 from .catalog import query, sql_normalize
 from .views import AS_OF, POSTINGS_SQL, SPLIT_DAY, ntz, postings_view, table
@@ -193,7 +195,9 @@ SELECT {_FIELDS} FROM units u JOIN c ON c.unit_id = u.unit_id WHERE {_WHERE}
 ORDER BY last_seen_at DESC, u.unit_id LIMIT 20 OFFSET 20
 """)
 def unit_search(spark, sf_dir):
-    return search.search_units(*refreshed(spark, sf_dir), page=2, **_SEARCH).drop("active_state")
+    units, postings, listings = refreshed(spark, sf_dir)
+    stored = search.write_search_table(units, f"{checkpoint_root(spark)}/search-{uuid4().hex}")
+    return search.search_units(stored, postings, listings, page=2, **_SEARCH).drop("active_state")
 
 
 @query(f"""

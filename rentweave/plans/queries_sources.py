@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators.ingest import cap_per_source, ingest_batch, parse_batch
@@ -9,8 +11,10 @@ from ..operators.ingest import ingest_stats as count_ingest
 from ..operators.merge import upsert_raw as merge_raw
 from ..schemas import RAW_LISTINGS, column_types
 from ..sources import html, links
+from ..session import checkpoint_root, stage
 from ..sources.adapters import SourceRegistry
-from ..sources.building_page import parse_building_pages, with_page_meta
+from ..sources.adapters import discovered_by_source as discover_by_source
+from ..sources.building_page import parse_building_pages, parse_with_page_meta
 from ..sources.files import attach_sidecar_urls
 from ..sources.intake import check_pages
 from ..sources.json_postings import extracted_json as to_extracted_json
@@ -276,7 +280,7 @@ def page_meta_overlay(spark, sf_dir):
         F.concat_ws(";", (40 + key * F.lit(0.001)).cast("string"), (-73 - key * F.lit(0.001)).cast("string")).alias("geo_position"),
         F.lit(None).cast("string").alias("icbm"),
     )
-    parsed = parse_building_pages(with_page_meta(pages.select("url", "html"), meta))
+    parsed = parse_with_page_meta(pages.select("url", "html"), meta)
     return parsed.select(
         "url", "neighborhood", "borough", "lat", "lng", F.try_element_at("images", F.lit(1)).alias("image")
     )
@@ -450,3 +454,46 @@ SELECT url, batch, seq FROM s QUALIFY row_number() OVER (PARTITION BY url ORDER
 def seed_union(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("url", F.col("page_id").alias("seq"))
     return links.union_urls(pages.filter(F.col("url").startswith("http://")), pages)
+
+
+# Half of the pages are building pages, listed as seeds, every fourth one in a link dump too; the others are sublets in dumps.
+_DETAIL_SQL = """
+d AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'building_pages' ELSE 'sublet_pages' END AS source,
+             CASE WHEN page_id % 2 = 0 THEN 'https://h.example.com/building/b' || page_id || '/2g'
+                  ELSE 'https://h.example.com/short-term-rental-details/' || page_id || '/a' END AS url FROM pages)"""
+
+
+@query(f"""
+WITH {_DETAIL_SQL}
+SELECT source, url, CASE WHEN page_id % 2 = 0 THEN 'b' || page_id || '/2g' ELSE CAST(page_id AS VARCHAR) END AS source_listing_id,
+       page_id % 3 <> 0 AS ingested
+FROM d
+""")
+def discovered_by_source(spark, sf_dir):
+    """Seeds and link dumps in one folder, discovered by both page sources; ingest takes the discovered urls that were fetched."""
+    folder = f"{checkpoint_root(spark)}/discover-{uuid4().hex}"
+    key = F.col("page_id")
+    number = key.cast("string")
+    building = F.concat(F.lit("https://h.example.com/building/b"), number, F.lit("/2g"))
+    sublet = F.concat(F.lit("https://h.example.com/short-term-rental-details/"), number, F.lit("/a"))
+    pages = table(spark, sf_dir, "pages").select(
+        key, "html", F.col("url").alias("other"), F.when(key % 2 == 0, building).otherwise(sublet).alias("url")
+    )
+    # other pages' urls lie among the seeds too
+    seeds = pages.select(F.explode(F.array(F.concat(F.lit(" "), "other"), F.when(key % 2 == 0, F.col("url")).otherwise(F.lit("")))).alias("value"))
+    seeds.write.mode("append").text(folder)
+    dumped = pages.where((key % 2 == 1) | (key % 4 == 0)).groupBy(F.floor(key / 25).alias("dump"))
+    dumped.agg(F.collect_list("url").alias("links")).select("links").write.mode("append").json(folder)
+    adapters = SourceRegistry().route("building_pages,sublet_pages")
+    found = stage(discover_by_source(spark, {a.name: folder for a in adapters}, adapters), "discovered")
+    fetched = pages.where(key % 3 != 0).select(
+        F.col("url").alias("source_url"), F.lit(200).alias("http_status"), F.col("html").alias("raw_content"), ntz("2001-01-01 00:00:00").alias("seen_at")
+    )
+    known = []
+    for adapter in adapters:
+        mine = found.where(F.col("source") == adapter.name).select(F.col("url").alias("source_url"), "source_listing_id", "seq")
+        known.append(ingest_batch(fetched.join(mine, "source_url"), adapter).raw.select("source", F.col("source_url").alias("url")))
+    done = known[0].unionByName(known[1]).withColumn("ingested", F.lit(True))
+    return found.join(done, ["source", "url"], "left").select(
+        "source", "url", "source_listing_id", F.coalesce("ingested", F.lit(False)).alias("ingested")
+    )

@@ -4,22 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.urls import DETAIL_PATTERNS
 from .building_page import parse_building_pages
+from .files import discover_records, discover_seeds
 from .json_postings import parse_classified, parse_structured
+from .links import first_urls
 from .sublet_page import parse_sublet_pages
 
-Reader = Callable[[SparkSession], DataFrame]
+#: Takes a session, a folder and whether to follow it as a stream.
+Reader = Callable[[SparkSession, str, bool], DataFrame]
 Parser = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
 class SourceAdapter:
-    """``discover`` yields (url, seq, source_listing_id); ``parse`` takes raw rows
-    (source_url, raw_content, ...) to posting fields plus ``error``."""
+    """``discover`` yields (url, seq, source_listing_id) of what lies in a folder, as a table or as a
+    stream; ``parse`` takes raw rows (source_url, raw_content, ...) to posting fields plus ``error``."""
 
     name: str
     parse: Parser
@@ -36,13 +41,31 @@ def _page_parser(parse: Parser) -> Parser:
 
 
 BUILT_IN = (
-    SourceAdapter("structured_json", parse_structured),
-    SourceAdapter("classified_json", parse_classified),
-    SourceAdapter("sublet_pages", _page_parser(parse_sublet_pages)),
-    SourceAdapter("building_pages", _page_parser(parse_building_pages)),
+    SourceAdapter("structured_json", parse_structured, discover_records),
+    SourceAdapter("classified_json", parse_classified, discover_records),
+    SourceAdapter("sublet_pages", _page_parser(parse_sublet_pages), discover_seeds(DETAIL_PATTERNS["sublet_pages"])),
+    SourceAdapter("building_pages", _page_parser(parse_building_pages), discover_seeds(DETAIL_PATTERNS["building_pages"])),
 )
 
 
+def discovered_by_source(
+    spark: SparkSession, folders: dict[str, str], adapters: Iterable[SourceAdapter] = BUILT_IN, stream: bool = False
+) -> DataFrame:
+    """``source, url, seq, source_listing_id`` of all sources that have a folder, each url of a source once.
+
+    As a stream, urls come as their files do and may come again; ``unseen_urls`` of a batch drops those that are known.
+    """
+    found = [
+        a.discover(spark, folders[a.name], stream).select(F.lit(a.name).alias("source"), "url", "seq", "source_listing_id")
+        for a in adapters
+        if a.discover and a.name in folders
+    ]
+    rows = reduce(DataFrame.unionByName, found)
+    if stream:
+        return rows
+    return first_urls(rows, ["source", "url"], ["seq", "source_listing_id"])
+
+
 class SourceRegistry:
     """Adapters by name."""
 

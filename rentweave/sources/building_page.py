@@ -40,13 +40,33 @@ def _place(title: Column) -> tuple[Column, Column]:
     return blank_to_null(trim_ws(extract(title, pattern, 1))), extract(title, pattern, 2)
 
 
+META = "struct<title:string,og_title:string,og_images:array<string>,geo_position:string,icbm:string>"
+
+
+def captured_meta(page_meta: DataFrame) -> DataFrame:
+    """``url, meta`` of captured page metadata.
+
+    ``og_images`` may be an array or one text, which counts as an array of one (none, if it is empty).
+    """
+    images = F.col("og_images")
+    if dict(page_meta.dtypes)["og_images"] == "string":
+        images = F.when(F.col("og_images") != "", F.array("og_images"))
+    fields = F.struct("title", "og_title", images.alias("og_images"), "geo_position", "icbm")
+    return page_meta.select("url", fields.cast(META).alias("meta"))
+
+
 def with_page_meta(pages: DataFrame, page_meta: DataFrame) -> DataFrame:
-    """Pages with the metadata captured for the same url, null where there is none."""
-    meta = page_meta.select(
-        "url",
-        F.struct("title", "og_title", "og_images", "geo_position", "icbm").alias("meta"),
-    )
-    return pages.join(meta, "url", "left")
+    """Pages with the metadata captured for the same url, null where there is none.
+
+    The pages' markup crosses this join; ``parse_with_page_meta`` joins what was parsed instead.
+    """
+    return pages.join(captured_meta(page_meta), "url", "left")
+
+
+def parse_with_page_meta(pages: DataFrame, page_meta: DataFrame) -> DataFrame:
+    """Parsed posting fields of pages, overlaid with the metadata captured for their urls; only parsed fields are shuffled."""
+    carried = [c for c in pages.columns if c != "html"]
+    return _overlay(_page_fields(pages).join(captured_meta(page_meta), "url", "left"), carried)
 
 
 def parse_building_pages(pages: DataFrame) -> DataFrame:
@@ -56,12 +76,13 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
     """
     carried = [c for c in pages.columns if c not in ("html", "meta")]
     if "meta" not in pages.columns:
-        pages = pages.withColumn(
-            "meta",
-            F.lit(None).cast(
-                "struct<title:string,og_title:string,og_images:array<string>,geo_position:string,icbm:string>"
-            ),
-        )
+        pages = pages.withColumn("meta", F.lit(None).cast(META))
+    return _overlay(_page_fields(pages), carried)
+
+
+def _page_fields(pages: DataFrame) -> DataFrame:
+    """What a page itself says, in columns that start with ``p_``; other columns but the markup are kept."""
+    kept = [c for c in pages.columns if c != "html"]
     page = shred_pages(pages).withColumn("page_text", F.array_join("text_runs", ""))
 
     def texts(where) -> Column:
@@ -75,8 +96,6 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
             "low_text": F.lower("page_text"),
             "paragraphs": texts(tagged("p")),
             "head_title": trim_ws(F.array_join(F.transform(select(tagged("title")), own_text), "")),
-            "meta_title": F.coalesce(blank_to_null(F.col("meta.title")), blank_to_null(F.col("meta.og_title"))),
-            "place_title": F.coalesce(blank_to_null(F.col("meta.og_title")), blank_to_null(F.col("meta.title"))),
             "h1": blank_to_null(element_text(first(select(tagged("h1"))))),
             "building": element_text(first(select(class_part(ADDRESS_PART)))),
             "summary": element_text(first(select(class_part(SUMMARY_PART)))),
@@ -84,18 +103,7 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
     )
     bar = rf"{WS}*\|.*\z"
     cut_title = F.regexp_replace(F.regexp_replace("head_title", bar, ""), rf"{WS}*in{WS}+.*\z", "")
-    cut_meta = F.regexp_replace(F.regexp_replace("meta_title", bar, ""), rf"{WS}*in{WS}+{WORD}.*\z", "")
-    title = F.coalesce("h1", blank_to_null(cut_title), blank_to_null(cut_meta), F.lit("Unknown"))
-    unit_tail = rf"{WS}*#({WORD}+){WS}*\z"
-    unit = extract(title, unit_tail)
     street = blank_to_null(trim_ws(F.try_element_at(F.split("building", ","), F.lit(1))))
-    address = F.coalesce(
-        F.when(F.length("building") > 5, street),
-        F.when(unit.isNotNull(), trim_ws(F.regexp_replace(title, unit_tail, ""))),
-        title,
-    )
-
-    meta_hood, meta_borough = _place(F.col("place_title"))
     page_hood, page_borough = _place(F.col("head_title"))
     explore = F.filter(
         F.transform(
@@ -105,15 +113,11 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
         lambda t: t.isNotNull(),
     )
     hood = F.coalesce(
-        meta_hood,
         page_hood,
         F.when(F.length("summary") < 40, blank_to_null(F.col("summary"))),
         first(explore),
     )
     named = F.coalesce(*[F.when(has(F.col("low_text"), f"{b.lower()} rental"), F.lit(b)) for b in BOROUGHS])
-    borough = F.coalesce(
-        F.when(meta_hood.isNotNull(), meta_borough).otherwise(F.coalesce(page_borough, meta_borough)), named
-    )
 
     shown_price = parse_money(element_text(first(select(class_part(PRICE_PART)))))
     heading_prices = F.transform(
@@ -160,14 +164,11 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
         *[
             blank_to_null(c)
             for c in (
-                F.col("meta.geo_position"),
-                F.col("meta.icbm"),
                 attr(first(meta_tag("name", "geo.position")), "content"),
                 attr(first(meta_tag("name", "ICBM")), "content"),
             )
         ]
     )
-    lat, lng = geo_pair(geo)
     head_images = F.filter(
         F.transform(meta_tag("property", "og:image"), lambda e: attr(e, "content")),
         lambda s: s.isNotNull() & (s != ""),
@@ -175,35 +176,72 @@ def parse_building_pages(pages: DataFrame) -> DataFrame:
     page_images = F.filter(
         F.transform(select(tagged("img")), lambda e: F.coalesce(attr(e, "src"), F.lit(""))), is_photo
     )
-    images = (
-        F.when(F.size("meta.og_images") > 0, F.col("meta.og_images"))
-        .when(F.size(head_images) > 0, head_images)
-        .otherwise(page_images)
-    )
+    images = F.when(F.size(head_images) > 0, head_images).otherwise(page_images)
     laundry = (
         F.when(says("washer/dryer in unit") | says("in-unit laundry"), "in_unit")
         .when(says("laundry in building") | says("on-site laundry"), "in_building")
     )
+    fields = {
+        "title": F.coalesce("h1", blank_to_null(cut_title)),
+        "street": F.when(F.length("building") > 5, street),
+        "hood": hood,
+        "place_borough": page_borough,
+        "named_borough": named,
+        "geo": geo,
+        "images": images,
+        "description": longest,
+        "rent_gross": F.coalesce(shown_price, first(F.filter(heading_prices, plausible_rent))),
+        "rent_net": parse_money(last(net_texts)),
+        "bedrooms": F.coalesce(beds, text_beds),
+        "bathrooms": F.coalesce(baths, text_baths),
+        "broker_fee": fee,
+        "laundry": laundry,
+        "elevator": F.when(says("elevator"), F.lit(True)),
+        "doorman": F.when(says("doorman"), F.lit(True)),
+    }
+    return page.select(*kept, *[c.alias(f"p_{name}") for name, c in fields.items()])
+
+
+def _overlay(page: DataFrame, carried: list[str]) -> DataFrame:
+    """Posting fields from ``meta`` where it has them, else from the page."""
+    page = page.withColumns(
+        {
+            "meta_title": F.coalesce(blank_to_null(F.col("meta.title")), blank_to_null(F.col("meta.og_title"))),
+            "place_title": F.coalesce(blank_to_null(F.col("meta.og_title")), blank_to_null(F.col("meta.title"))),
+        }
+    )
+    bar = rf"{WS}*\|.*\z"
+    cut_meta = F.regexp_replace(F.regexp_replace("meta_title", bar, ""), rf"{WS}*in{WS}+{WORD}.*\z", "")
+    title = F.coalesce("p_title", blank_to_null(cut_meta), F.lit("Unknown"))
+    unit_tail = rf"{WS}*#({WORD}+){WS}*\z"
+    unit = extract(title, unit_tail)
+    address = F.coalesce("p_street", F.when(unit.isNotNull(), trim_ws(F.regexp_replace(title, unit_tail, ""))), title)
+    meta_hood, meta_borough = _place(F.col("place_title"))
+    borough = F.coalesce(
+        F.when(meta_hood.isNotNull(), meta_borough).otherwise(F.coalesce("p_place_borough", meta_borough)), "p_named_borough"
+    )
+    geo = F.coalesce(blank_to_null(F.col("meta.geo_position")), blank_to_null(F.col("meta.icbm")), "p_geo")
+    lat, lng = geo_pair(geo)
     return page.select(
         *carried,
         title.alias("title"),
-        longest.alias("description"),
+        F.col("p_description").alias("description"),
         address.alias("address"),
         unit.alias("unit"),
-        hood.alias("neighborhood"),
+        F.coalesce(meta_hood, "p_hood").alias("neighborhood"),
         borough.alias("borough"),
         lat.alias("lat"),
         lng.alias("lng"),
-        F.coalesce(shown_price, first(F.filter(heading_prices, plausible_rent))).alias("rent_gross"),
-        parse_money(last(net_texts)).alias("rent_net"),
-        F.coalesce(beds, text_beds).alias("bedrooms"),
-        F.coalesce(baths, text_baths).alias("bathrooms"),
-        fee.alias("broker_fee"),
+        F.col("p_rent_gross").alias("rent_gross"),
+        F.col("p_rent_net").alias("rent_net"),
+        F.col("p_bedrooms").alias("bedrooms"),
+        F.col("p_bathrooms").alias("bathrooms"),
+        F.col("p_broker_fee").alias("broker_fee"),
         F.lit(None).cast("int").alias("lease_term_months"),
         F.lit(None).cast("string").alias("move_in_notes"),
         F.lit(None).cast("string").alias("pet_policy"),
-        laundry.alias("laundry"),
-        F.when(says("elevator"), F.lit(True)).alias("elevator"),
-        F.when(says("doorman"), F.lit(True)).alias("doorman"),
-        images.alias("images"),
+        F.col("p_laundry").alias("laundry"),
+        F.col("p_elevator").alias("elevator"),
+        F.col("p_doorman").alias("doorman"),
+        F.when(F.size("meta.og_images") > 0, F.col("meta.og_images")).otherwise(F.col("p_images")).alias("images"),
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_ws
+from ..functions.urls import url_id
 
 
 def _stem(suffix: str) -> Column:
@@ -26,6 +29,36 @@ def read_json_folder(spark: SparkSession, folder: str, source: str) -> DataFrame
     )
 
 
+def _reader(spark: SparkSession, stream: bool):
+    return spark.readStream if stream else spark.read
+
+
+def discover_records(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """``url, seq, source_listing_id`` of the ``.json`` records in a folder, oldest file first; no content is read."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    files = _reader(spark, stream).schema(schema).format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
+    return files.select(
+        F.col("path").alias("url"), F.unix_micros("modificationTime").alias("seq"),
+        F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("source_listing_id"),
+    )
+
+
+def discover_seeds(pattern: str) -> Callable[[SparkSession, str, bool], DataFrame]:
+    """Reader of the urls that match ``pattern``, as seeds (a url per line of ``.txt`` files) and link dumps (JSON
+    objects with ``links``, one per line of ``.json`` files) list them; a url may come more than once."""
+
+    def discover(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+        lines = _reader(spark, stream).schema("value string").option("pathGlobFilter", "*.{txt,json}").text(folder).select(
+            "value", F.unix_micros(F.col("_metadata.file_modification_time")).alias("seq"),
+            F.col("_metadata.file_name").endswith(".json").alias("dump"),
+        )
+        listed = F.when(F.col("dump"), F.from_json("value", "links array<string>")["links"]).otherwise(F.array("value"))
+        urls = lines.select("seq", F.explode(listed).alias("url")).select("seq", trim_ws(F.col("url")).alias("url"))
+        return urls.where(F.rlike("url", F.lit(pattern))).select("url", "seq", url_id(F.col("url")).alias("source_listing_id"))
+
+    return discover
+
+
 def attach_sidecar_urls(pages: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Url of each saved page: its sidecar's text, else its own path.
 
@@ -39,8 +72,8 @@ def attach_sidecar_urls(pages: DataFrame, sidecars: DataFrame) -> DataFrame:
     )
 
 
-def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """Saved ``.html`` pages (url, html), urls from ``.url`` sidecar files where present."""
+def _saved_pages(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """``stem, path, html`` of saved pages, ``stem, text`` of their sidecars."""
     pages = (
         spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True)
         .select(
@@ -53,4 +86,18 @@ def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
         spark.read.option("pathGlobFilter", "*.url").text(folder, wholetext=True)
         .select(_stem("url").alias("stem"), F.col("value").alias("text"))
     )
-    return attach_sidecar_urls(pages, sidecars).select("url", "html")
+    return pages, sidecars
+
+
+def read_html_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved ``.html`` pages (url, html), urls from ``.url`` sidecar files where present."""
+    return attach_sidecar_urls(*_saved_pages(spark, folder)).select("url", "html")
+
+
+def parse_html_folder(spark: SparkSession, folder: str, parse: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``url`` and posting fields of saved pages; ``parse`` takes (stem, path, html).
+
+    Pages are parsed where they are read; only their fields meet the sidecars.
+    """
+    pages, sidecars = _saved_pages(spark, folder)
+    return attach_sidecar_urls(parse(pages), sidecars).drop("stem", "path")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 import pytest
 
 from rentweave.sources.adapters import SourceAdapter, SourceRegistry
-from rentweave.sources.building_page import parse_building_pages, with_page_meta
-from rentweave.sources.files import read_html_folder, read_json_folder
+from rentweave.sources.adapters import discovered_by_source
+from rentweave.sources.building_page import parse_building_pages, parse_with_page_meta, with_page_meta
+from rentweave.sources.files import parse_html_folder, read_html_folder, read_json_folder
 from rentweave.sources.html import all_attrs, all_text, first_attr, first_text, shred, shred_pages, tagged
 from rentweave.sources.links import discover_links
 from rentweave.sources.sublet_page import parse_sublet_pages
@@ -92,6 +94,39 @@ def test_building_page_fallbacks_and_meta(spark):
     assert (row["neighborhood"], row["borough"], row["lat"], row["lng"], row["images"]) == ("Harlem", "manhattan", 40.8, None, ["m1"])
 
 
+def exchanged(df):
+    """Columns that cross an exchange of a plan."""
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    parts = re.findall(r"\(\d+\) (?:Broadcast)?Exchange\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert parts
+    return {c.strip().split("#")[0] for p in parts for c in p.split(",")}
+
+
+@pytest.mark.parametrize("kind", ["array<string>", "string"])
+def test_page_meta_joins_parsed_fields(spark, kind):
+    """The same as with the metadata beside the markup, but no markup is shuffled; an image may be one text."""
+    urls = ["u1", "u2", "u3", "u4"]
+    html = [BUILDING, "<title></title><h2>Now $2,500</h2>", "", None]
+    rows = spark.createDataFrame(list(zip(urls, html)), "url string, html string")
+    image = (lambda x: x) if kind == "string" else (lambda x: [x] if x else [])
+    meta = spark.createDataFrame(
+        [("u1", "T in Harlem, Bronx", None, image(""), None, "1,2"), ("u2", None, "9 Elm #4 in Harlem, manhattan | Site", image("m1"), "40.8;0", "1,2")],
+        f"url string, title string, og_title string, og_images {kind}, geo_position string, icbm string",
+    )
+    got = parse_with_page_meta(rows, meta)
+    want = parse_building_pages(with_page_meta(rows, meta))
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    images = {r.url: r.images for r in got.collect()}
+    assert images["u1"] == ["https://p.zillowstatic.com/a.jpg"] and images["u2"] == ["m1"]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not exchanged(got) & {"html", "elements", "text_runs", "page_text"}
+        assert "html" in exchanged(want) or "elements" in exchanged(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_shredder_details(spark):
     text, elements = shred('<p a="1>2" B=x>one<p>two<br>three</p></div><!-- <i> --><textarea><b>&lt;</textarea><script>&lt;</script>')
     assert [e[0] for e in elements] == ["p", "p", "br", "textarea", "script"]
@@ -118,6 +153,32 @@ def test_folders(spark, tmp_path):
     assert [r.source_listing_id for r in raw.collect()] == ["r-1"]
     adapter = SourceRegistry().route("structured_json")[0]
     assert one(adapter.parse(raw))["title"] == "T"
+    parsed = parse_html_folder(spark, str(tmp_path), parse_building_pages)
+    assert {(r.url, r.title) for r in parsed.collect()} == {("https://h/a", "Unknown"), (f"file://{tmp_path}/b.html", "Unknown")}
+    assert "html" not in exchanged(parsed.repartition(2))
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_sources_discover_what_lies_in_folders(spark, tmp_path, stream):
+    records, lists = tmp_path / "records", tmp_path / "lists"
+    for folder in (records, lists):
+        folder.mkdir()
+    (records / "r-1.json").write_text("{}")
+    (records / "notes.txt").write_text("x")
+    (lists / "seeds.txt").write_text("https://h/building/b1/2g\n https://h/short-term-rental-details/7/a\nhttps://h/other\n\n")
+    (lists / "dump.json").write_text('{"links": ["https://h/building/b1/2g", "https://h/building/b2/3h", null]}\n{"cut\n')
+    folders = {"structured_json": str(records), "building_pages": str(lists), "sublet_pages": str(lists)}
+    found = discovered_by_source(spark, folders, stream=stream)
+    if stream:
+        run = found.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp"))
+        run.trigger(availableNow=True).start().awaitTermination()
+        found = spark.table("found")
+    rows = sorted((r.source, r.url.rsplit("/", 3)[-3:] if "/h/" in r.url else r.url.rsplit("/", 1)[1], r.source_listing_id) for r in found.collect())
+    copies = [("building_pages", ["building", "b1", "2g"], "b1/2g")] * (2 if stream else 1)
+    assert rows == [
+        *copies, ("building_pages", ["building", "b2", "3h"], "b2/3h"), ("structured_json", "r-1.json", "r-1"),
+        ("sublet_pages", ["short-term-rental-details", "7", "a"], "7"),
+    ]
 
 
 def test_registry_of_sources():

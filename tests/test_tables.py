@@ -174,6 +174,22 @@ def test_search_order_limits_and_images(spark):
     assert search.search_units(u, postings, listings, page=4, limit=2).collect() == []
 
 
+def test_searches_skip_row_groups(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [
+        dict(unit_id=f"u{i:05}", borough=rng.choice("ABCD"), neighborhood=rng.choice("wxyz"), best_rent_gross=rng.randrange(9000), bedrooms=1.0,
+             canonical_address="a" * 200 + str(i))
+        for i in range(8000)
+    ]
+    stored = search.write_search_table(units(spark, rows), str(tmp_path / "t"), row_group_bytes=4096)
+    hits = search.filter_units(stored, borough="B", neighborhood="x", max_rent=2000)
+    want = {r["unit_id"] for r in rows if (r["borough"], r["neighborhood"]) == ("B", "x") and r["best_rent_gross"] <= 2000}
+    assert {r.unit_id for r in hits.collect()} == want
+    scans = hits._jdf.queryExecution().executedPlan().collectLeaves()
+    read = scans.apply(0).metrics().apply("numOutputRows").value()
+    assert len(want) <= read < 8000 / 4
+
+
 def test_saved_searches_against_brute_force(spark):
     rng = random.Random(9)
     pick = lambda *xs: rng.choice(xs)
