@@ -26,6 +26,9 @@ STREET_WORDS = {
 # Fixed value: the word that strict mode shortens to "e" instead of "east".
 STRICT_EAST = "last"
 
+# Words, and the sign, that name a unit behind an address.
+UNIT_WORDS, UNIT_SIGN = ("apt", "apartment", "unit", "suite", "ste"), "#"
+
 # Borough names.
 BOROUGHS = ("Manhattan", "Brooklyn", "Queens", "Bronx", "Staten Island")
 
@@ -51,6 +54,11 @@ def has(c: Column, text: str) -> Column:
     return F.contains(c, F.lit(text))
 
 
+def street_words(strict: bool = True) -> dict[str, str]:
+    """Street words and their short forms, in order."""
+    return {STRICT_EAST if strict and k == "east" else k: v for k, v in STREET_WORDS.items()}
+
+
 def normalize_address(c: Column, strict: bool = True) -> Column:
     """Comparable form of a street address.
 
@@ -61,19 +69,18 @@ def normalize_address(c: Column, strict: bool = True) -> Column:
     # One kind of blank from here on, so that the patterns stay cheap.
     plain = F.btrim(F.translate(F.lower(c), WS_CHARS, " " * len(WS_CHARS)))
     # The word is matched before the look-behind, which only runs where a word was found.
-    words = "|".join(rf"{w}(?<!{WORD}{w})" for w in ("apt", "apartment", "unit", "suite", "ste"))
-    out = F.regexp_replace(plain, rf"(?:{words}|#(?<={WORD}#)) *\.? *\w*\z", "")
+    words = "|".join(rf"{w}(?<!{WORD}{w})" for w in UNIT_WORDS)
+    out = F.regexp_replace(plain, rf"(?:{words}|{UNIT_SIGN}(?<={WORD}{UNIT_SIGN})) *\.? *\w*\z", "")
     # Whole words and the text between them, so one pass replaces every street word.
     pieces = F.regexp_extract_all(out, F.lit(r"\w+|\W+"), F.lit(0))
-    short = {STRICT_EAST if strict and k == "east" else k: v for k, v in STREET_WORDS.items()}
-    lookup = F.create_map(*[F.lit(x) for pair in short.items() for x in pair])
+    lookup = F.create_map(*[F.lit(x) for pair in street_words(strict).items() for x in pair])
     out = F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(lookup, w), w)), "")
     out = F.btrim(F.regexp_replace(out, " {2,}", " "))
     return F.btrim(F.rtrim(out, F.lit(".,")))
 
 
 _UNIT_SUFFIX = (
-    rf"(?i)(?:,|{WS})+(?:apt|apartment|unit|suite|ste|#){WS}*\.?{WS}*({WORD}+){WS}*\z"
+    rf"(?i)(?:,|{WS})+(?:{'|'.join(UNIT_WORDS)}|{UNIT_SIGN}){WS}*\.?{WS}*({WORD}+){WS}*\z"
 )
 
 

@@ -17,6 +17,8 @@ HOST_DELAY_MS = {"www.leasebreak.com": 1200, "leasebreak.com": 1200}
 # Longest prompt that enters a query text, opening words of every query.
 PROMPT_BELOW = 200
 QUERY_START = "NYC apartment for rent"
+# How a query text gives the limits of a search.
+RENT_BELOW, BEDROOMS, WITHOUT_FEE = "under $", " bedroom", "no fee"
 
 
 def unseen_urls(discovered: DataFrame, listings: DataFrame) -> DataFrame:
@@ -75,9 +77,9 @@ def discovery_query(
         F.lit(QUERY_START),
         F.nullif(borough, F.lit("")),
         F.nullif(neighborhood, F.lit("")),
-        F.when(max_rent != 0, F.concat(F.lit("under $"), max_rent.cast("string"))),
-        F.when(min_beds != 0, F.concat(beds, F.lit(" bedroom"))),
-        F.when(no_fee, F.lit("no fee")),
+        F.when(max_rent != 0, F.concat(F.lit(RENT_BELOW), max_rent.cast("string"))),
+        F.when(min_beds != 0, F.concat(beds, F.lit(BEDROOMS))),
+        F.when(no_fee, F.lit(WITHOUT_FEE)),
         F.when((F.length(prompt) > 0) & (F.length(prompt) < PROMPT_BELOW), prompt),
     )
 

@@ -51,6 +51,7 @@ def write_search_table(units: DataFrame, path: str, row_group_bytes: int | None
     reach the scan, skip those that hold no hit.
     """
     order = [F.col(c) for c in CLUSTERED]
+    units = stage(units, "units")  # range partitioning reads its input twice
     written = units.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
     if row_group_bytes:
         written = written.option("parquet.block.size", row_group_bytes)

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import UNIT_SIGN, UNIT_WORDS, street_words
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
@@ -26,12 +28,9 @@ def query(sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 
 def sql_normalize(expr: str, strict: bool = True) -> str:
     """DuckDB text of the address rule."""
-    words = [
-        ("street", "st"), ("avenue", "ave"), ("boulevard", "blvd"), ("drive", "dr"), ("road", "rd"), ("place", "pl"),
-        ("last" if strict else "east", "e"), ("west", "w"), ("north", "n"), ("south", "s"),
-    ]
-    out = rf"regexp_replace(trim(lower({expr})), '\b(apt|apartment|unit|suite|ste|#)\s*\.?\s*\w*$', '')"
-    for word, short in words:
+    units = "|".join((*UNIT_WORDS, UNIT_SIGN))
+    out = rf"regexp_replace(trim(lower({expr})), '\b({units})\s*\.?\s*\w*$', '')"
+    for word, short in street_words(strict).items():
         out = rf"regexp_replace({out}, '\b{word}\b', '{short}', 'g')"
     out = rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
     return f"trim(rtrim({out}, '.,'))"
