@@ -8,7 +8,10 @@ A tree's node splits at the median of the projections of a sample on the line be
 vectors. The sample is bounded (``SAMPLE``); every vector of the table is then put into
 its leaf of every tree. A query walks all trees through one priority queue of branches
 not taken, ordered by the distance to the split passed last or farther up, until the
-leaves reached held ``REACH`` of the sample. Leaves are met by an equi-join, candidates
+leaves reached held enough different vectors of the sample. How many are enough is measured,
+not set: vectors of the sample are searched for in the sample, and the walk is as long as
+they need to find ``RECALL`` of their true neighbours. Clustered vectors need few leaves, vectors
+without any clusters most of them. Leaves are met by an equi-join, candidates
 are reranked by the exact inner product of the original vectors in double precision.
 
 Equal vectors are one candidate with their ``k + 1`` smallest ids, which is all that a
@@ -28,38 +31,42 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rentweave.llm.common import stage
 
-TREES = 12
+TREES = 8
 #: Vectors the trees are fitted on, in order of a hash of the vector.
 SAMPLE = 20_000
-LEAF = 128
-#: Sample vectors in the leaves that a query visits, over all trees, as a share of the sample. Data without any
-#: clusters needs this much for a recall of 0.9 and more; clustered data far less.
-REACH = 0.9
+#: Leaves of a tree if they are coarse, and sample vectors of a leaf if they are fine.
+COARSE_LEAVES, FINE_LEAF = 64, 16
+#: Share of the true neighbours that the walk must find for the vectors it is measured with, and how many those are.
+RECALL, MEASURED = 0.95, 64
+#: A visit of a leaf costs about as much as this many scored vectors.
+VISIT = 50
+#: Samples up to this size are searched whole.
+SMALL = 256
 #: Candidates, and queries, of one leaf that are scored in one block.
 BLOCK = 2_048
 
 
 @dataclass
 class Tree:
-    """``normal[i]``, ``bias[i]`` of inner node ``i``; ``child[i]``: inner node, or ``-1 - leaf``; ``held``: sample per leaf."""
+    """``normal[i]``, ``bias[i]`` of inner node ``i``; ``child[i]``: inner node, or ``-1 - leaf``; ``held``: sample rows per leaf."""
 
     normal: np.ndarray
     bias: np.ndarray
-    child: np.ndarray
-    held: np.ndarray
+    child: list[list[int]]
+    held: list[np.ndarray]
 
 
-def fit_tree(sample: np.ndarray, seed: int) -> Tree:
-    """Split at medians until at most ``LEAF`` vectors are left; equal projections end a branch."""
+def fit_tree(sample: np.ndarray, seed: int, most: int) -> Tree:
+    """Split at medians until at most ``most`` vectors are left; equal projections end a branch."""
     rng = np.random.default_rng(seed)
     normals, biases, children, held = [], [], [], []
 
     def leaf(rows: np.ndarray) -> int:
-        held.append(len(rows))
+        held.append(rows)
         return -len(held)
 
     def grow(rows: np.ndarray) -> int:
-        if len(rows) <= LEAF:
+        if len(rows) <= most:
             return leaf(rows)
         for _ in range(4):
             a, b = sample[rng.choice(rows, 2, replace=False)]
@@ -81,37 +88,110 @@ def fit_tree(sample: np.ndarray, seed: int) -> Tree:
 
     root = grow(np.arange(len(sample)))
     if root < 0:  # a single leaf
-        return Tree(np.zeros((1, sample.shape[1])), np.zeros(1), np.array([[-1, -1]]), np.array([max(held[0], 1)]))
-    return Tree(np.array(normals), np.array(biases), np.array(children), np.array(held))
+        return Tree(np.zeros((1, sample.shape[1])), np.zeros(1), [[-1, -1]], held)
+    return Tree(np.array(normals), np.array(biases), children, held)
 
 
 def leaves_of(tree: Tree, points: np.ndarray) -> np.ndarray:
     """Leaf number of every point."""
+    child = np.array(tree.child)
     node, going = np.zeros(len(points), np.int64), np.arange(len(points))
     while len(going):
         n = node[going]
         right = (points[going] * tree.normal[n]).sum(1) >= tree.bias[n]
-        node[going] = tree.child[n, right.astype(np.int64)]
+        node[going] = child[n, right.astype(np.int64)]
         going = going[node[going] >= 0]
     return -1 - node
 
 
-def search_leaves(trees: list[Tree], query: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """``(tree, leaf)`` in the order of one priority queue over all trees, until ``reach`` sample vectors are held."""
+def walk(trees: list[Tree], sides: list[list[float]]) -> Iterator[tuple[int, int]]:
+    """``(tree, leaf)`` in the order of one priority queue; ``sides[t][node]``: how far the query is beyond a split."""
     queue = [(0.0, t, 0) for t in range(len(trees))]
     heapq.heapify(queue)
-    out, seen = [], 0
-    while queue and seen < reach:
+    while queue:
         margin, t, node = heapq.heappop(queue)
-        tree = trees[t]
+        side, child = sides[t], trees[t].child
         while node >= 0:
-            side = float(query @ tree.normal[node] - tree.bias[node])
-            near = int(side >= 0)
-            heapq.heappush(queue, (max(margin, abs(side)), t, int(tree.child[node, 1 - near])))
-            node = int(tree.child[node, near])
-        out.append((t, -1 - node))
-        seen += int(tree.held[-1 - node])
-    return out
+            far = side[node]
+            near = far >= 0
+            heapq.heappush(queue, (max(margin, abs(far)), t, child[node][1 - near]))
+            node = child[node][near]
+        yield t, -1 - node
+
+
+@dataclass
+class Forest:
+    """Trees over ``size`` sample vectors; a query goes on until its leaves held ``reach`` different ones of them."""
+
+    trees: list[Tree]
+    size: int
+    reach: int
+
+    def sides(self, queries: np.ndarray) -> list[list[list[float]]]:
+        """Of each query (a unit vector), by tree and node."""
+        per_tree = [(queries @ tree.normal[:, :-1].T - tree.bias).tolist() for tree in self.trees]
+        return [list(rows) for rows in zip(*per_tree)]
+
+    def leaves(self, sides: list[list[float]]) -> list[tuple[int, int]]:
+        seen, left, out = np.zeros(self.size, bool), self.reach, []
+        for t, leaf in walk(self.trees, sides):
+            out.append((t, leaf))
+            held = self.trees[t].held[leaf]
+            left -= len(held) - int(np.count_nonzero(seen[held]))
+            if left <= 0:
+                break
+            seen[held] = True
+        return out
+
+
+def _measure(forest: Forest, sample: np.ndarray, k: int, most: int = MEASURED) -> tuple[int, float, float]:
+    """Different sample vectors that a walk must have held for ``RECALL``; then leaves, and share of rows scored, per query."""
+    size = len(sample)
+    asked = np.linspace(0, size - 1, min(most, size)).astype(np.int64)
+    plain = sample[:, :-1]
+    queries = plain[asked] / np.linalg.norm(plain[asked], axis=1, keepdims=True)
+    scores = queries @ plain.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    wanted = np.argpartition(-scores, k, axis=1)[:, :k]
+    # by the number of different vectors asked for: true neighbours held, leaves visited and vectors scored when the walk ends
+    found, visits, scored = (np.zeros((len(asked), size + 1)) for _ in range(3))
+    for i, sides in enumerate(forest.sides(queries)):
+        seen, near = np.zeros(size, bool), np.zeros(size, bool)
+        near[wanted[i]] = True
+        distinct = hits = n = total = 0
+        for t, leaf in walk(forest.trees, sides):
+            held = forest.trees[t].held[leaf]
+            new = held[~seen[held]]
+            seen[new] = True
+            hits, n, total = hits + int(near[new].sum()), n + 1, total + len(held)
+            ends = slice(distinct + 1, distinct + len(new) + 1)
+            found[i, ends], visits[i, ends], scored[i, ends] = hits, n, total
+            distinct += len(new)
+            if distinct == size:
+                break
+    enough = found.mean(0) >= RECALL * k
+    reach = int(np.argmax(enough)) if enough.any() else size
+    return reach, float(visits[:, reach].mean()), float(scored[:, reach].mean()) / size
+
+
+def fit_forest(sample: np.ndarray, rows: int, k: int) -> Forest:
+    """Trees with coarse or fine leaves, whichever let a query of ``rows`` vectors end sooner, and the reach they need."""
+    size = len(sample)
+    best: tuple[float, Forest] | None = None
+    for most in sorted({max(FINE_LEAF, size // COARSE_LEAVES), FINE_LEAF}, reverse=True):
+        forest = Forest([fit_tree(sample, seed, most) for seed in range(TREES)], size, size)
+        if size <= max(SMALL, 4 * k):
+            return forest
+        # fine leaves take long to measure: a few queries tell whether they are worth it
+        for asked in (MEASURED // 4, MEASURED):
+            reach, visits, share = _measure(forest, sample, k, asked)
+            cost = share * rows + VISIT * visits
+            if best is not None and cost >= best[0]:
+                break
+        else:
+            forest.reach = max(reach, min(size, k + 1))
+            best = cost, forest
+    return best[1]
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -156,11 +236,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     longest = float(distinct.agg(F.max(F.sqrt(square))).first()[0])
     drawn = distinct.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(SAMPLE)
     sample = _lengthened(np.array([r[0] for r in drawn.collect()], np.float64), longest)
-    reach = int(np.ceil(REACH * len(sample)))
-    sent = spark.sparkContext.broadcast([fit_tree(sample, seed) for seed in range(TREES)])
+    sent = spark.sparkContext.broadcast(fit_forest(sample, distinct.count(), k))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = sent.value
+        trees = sent.value.trees
         for batch in batches:
             points = _lengthened(_vectors(batch.column("embedding"), dims), longest)
             for t, tree in enumerate(trees):
@@ -173,11 +252,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     placed = distinct.mapInArrow(place, f"leaf long, embedding array<{element}>, ids array<long>")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = sent.value
+        forest = sent.value
         for batch in batches:
             v = _vectors(batch.column("embedding"), dims)
-            points = np.c_[v / np.linalg.norm(v, axis=1, keepdims=True), np.zeros(len(v))]
-            found = [search_leaves(trees, p, reach) for p in points]
+            # the component that lengthens the others is 0 here
+            found = [forest.leaves(sides) for sides in forest.sides(v / np.linalg.norm(v, axis=1, keepdims=True))]
             rows = pa.array(np.repeat(np.arange(len(v)), [len(f) for f in found]))
             leaf = np.array([l * TREES + t for f in found for t, l in f], np.int64)
             yield pa.RecordBatch.from_arrays(

@@ -7,12 +7,14 @@ import gzip
 import hashlib
 import io
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rentweave.llm import ann, urlfilter, warc
+from rentweave.llm.queries import op4_projection_forest
 
 PAGES = [
     (1, "http://a.com/x", "<p>one"), (2, "http://b.com/", "<p>one"), (3, None, None), (4, "u\r\nX: y", ""), (0, "http://c/", "<p>é中"),
@@ -134,6 +136,31 @@ def test_few_vectors_are_exact(spark):
     assert found_nearest(table.limit(0), 20) == {}
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_of_the_query(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    if not Path(folder).exists():
+        pytest.skip("driver tables are not here")
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got, want = {}, exact_nearest(rows, 20)
+    for r in op4_projection_forest(spark, folder).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got.keys() == want.keys()
+    found = [len(got[q] & set(want[q])) / 20 for q in want]
+    assert np.mean(found) >= 0.9 and min(found) >= 0.5
+
+
+def test_clustered_vectors_need_few_leaves():
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(60, 32))
+    v = centres[r.integers(0, 60, 6000)] + 0.2 * r.normal(size=(6000, 32))
+    sample = ann._lengthened(v, np.linalg.norm(v, axis=1).max())
+    forest = ann.fit_forest(sample, 6000, 20)
+    assert forest.reach < 0.25 * len(sample)
+    every = ann.fit_forest(ann._lengthened(r.normal(size=(2000, 32)), 12.0), 2000, 20)
+    assert every.reach > 0.4 * 2000
+
+
 def test_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(4000, 32)) * rng.uniform(0.5, 2, size=(4000, 1))
