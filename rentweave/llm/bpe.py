@@ -156,9 +156,10 @@ class PrefixBpe:
 
 
 class DocumentCodec:
-    """Encodes whole texts chunk by chunk, keeping a bounded table of encoded chunks."""
+    """Encodes whole texts chunk by chunk, keeping a bounded table of up to ``keep`` encoded chunks."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = KEEP_CHUNKS):
+        self.keep = keep
         self.bpe = PrefixBpe(read_ranks(ranks_path))
         self.pieces = regex.compile(pattern)
         self.known: dict[str, tuple[int, str, bytes]] = {}
@@ -178,7 +179,7 @@ class DocumentCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, sha-256 of the ids in decimal and of the bytes decoded from them."""
-        if len(self.known) >= KEEP_CHUNKS // 2:
+        if len(self.known) >= self.keep // 2:
             self.known, self.before = {}, self.known
         known, chunk_of = self.known.get, self._chunk
         ids, decoded = hashlib.sha256(), hashlib.sha256()
@@ -192,11 +193,12 @@ class DocumentCodec:
 _CODECS: dict[tuple[str, str], DocumentCodec] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> DocumentCodec:
+def codec(ranks_path: str, pattern: str, keep: int = KEEP_CHUNKS) -> DocumentCodec:
     """One codec per Python worker: its tables serve all tasks of that worker."""
     key = (ranks_path, pattern)
     if key not in _CODECS:
-        _CODECS[key] = DocumentCodec(ranks_path, pattern)
+        _CODECS[key] = DocumentCodec(ranks_path, pattern, keep)
+    _CODECS[key].keep = keep
     return _CODECS[key]
 
 
@@ -212,14 +214,15 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: int = KEEP_CHUNKS) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode every whole text, decode the ids.
 
-    One row per input row, repeated ids included; a null doc_id stays null. No shuffle.
+    One row per input row, repeated ids included; a null doc_id stays null. No shuffle. ``keep``: encoded
+    chunks that a worker holds, about 250 bytes each; it costs memory for time and changes no result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(ranks_path, pattern)
+        coder = codec(ranks_path, pattern, keep)
         for batch in slices(batches):
             rows = [coder.digest(t or "") for t in batch.column("text").to_pylist()]
             n, ids, decoded = zip(*rows)

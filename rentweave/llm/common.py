@@ -45,6 +45,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         return write_stage(df, name)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Arrow batches of about ``size`` from here on, of which the JVM and the Python worker of a task each hold a few."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for files that executors write, below ``spark.checkpoint.dir``."""
     import uuid
