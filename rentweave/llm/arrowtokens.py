@@ -14,7 +14,9 @@ the result.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import uuid
 import zlib
 from array import array
@@ -31,8 +33,28 @@ LENGTH = 2048
 BATCH = 128
 #: Encoded words that a Python worker keeps.
 KEEP_WORDS = 1_200_000
-_CLOSING = ".,!?;:"
+#: Cores that are encoded as one text.
+TOGETHER = 500
+#: ASCII punctuation: behind letters, with no letter or digit after it, it is a piece of its own.
+_CLOSING = string.punctuation
 _LAST_LATIN = "\u024f"
+# The steps of a tokenizer whose words can be encoded one by one.
+_NORMALISERS = [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+]
+_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def parts_words(tokenizer: str) -> bool:
+    """The tokenizer (as JSON) lower-cases, parts at white space and parts letters from all else."""
+    spec = json.loads(tokenizer)
+    first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+    pieces = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
+    return bool(
+        (spec.get("normalizer") or {}).get("normalizers") == _NORMALISERS
+        and pieces and first.get("pattern") == {"Regex": _PIECES}
+        and spec.get("model", {}).get("end_of_word_suffix")
+    )
 
 
 class WordEncoder:
@@ -41,6 +63,8 @@ class WordEncoder:
     The tokenizer splits on white space, parts letters from closing punctuation and
     lower-cases, so a word's ids are those of its lower-cased letters and of its closing
     punctuation, one after the other. Words of any other form are encoded as they are.
+    Cores of letters are encoded many at a time; each ends with the only one of its ids that ends a word.
+    A tokenizer that works in another way (``parts_words``) is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -50,40 +74,67 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.dtype, self.code = (np.dtype("<u4"), "I") if wide else (np.dtype("<u2"), "H")
+        self.by_word = parts_words(self.tokenizer.to_str())
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if self.by_word:
+            suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}  # the generation before: words met again move on
         self.cores: dict[str, bytes] = {}
 
-    def _parts(self, word: str) -> tuple[str, str]:
-        """Core and closing punctuation; letters from outside the Latin blocks are left alone."""
+    def _parts(self, word: str) -> tuple[str, str, bool]:
+        """Core, closing punctuation, and whether the core is letters; letters from outside the Latin blocks are left alone."""
         core = word.rstrip(_CLOSING)
-        if core.isalpha() and max(core) <= _LAST_LATIN and core.lower().isalpha():
-            return core.lower(), word[len(core) :]
-        return word, ""
+        if core.isalpha() and (core.isascii() or max(core) <= _LAST_LATIN):
+            lower = core.lower()
+            if lower.isalpha():
+                return lower, word[len(core) :], True
+        return word, "", False
 
     def _learn(self, words: list[bytes]) -> None:
         split = [(w, *self._parts(w.decode())) for w in words]
         cores, code = self.cores, self.code
         if len(cores) > KEEP_WORDS // 2:
             cores.clear()
-        new = list({part for _, *parts in split for part in parts if part not in cores})
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+        plain = {core for _, core, _, letters in split if letters}.difference(cores)
+        other = {core for _, core, _, letters in split if not letters}.union(c for _, _, c, _ in split).difference(cores)
+        other.update(self._learn_plain(list(plain)))
+        if other:
+            for part, e in zip(other, self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)):
                 cores[part] = array(code, e.ids).tobytes()
-        known = self.known
-        for w, core, closing in split:
-            known[w] = cores[core] + cores[closing]
+        self.known.update((w, cores[core] + cores[closing]) for w, core, closing, _ in split)
+
+    def _learn_plain(self, new: list[str]) -> list[str]:
+        """Ids of cores of letters; those whose ids cannot be told apart are returned."""
+        left: list[str] = []
+        lots = [new[lo : lo + TOGETHER] for lo in range(0, len(new), TOGETHER)]
+        size = self.dtype.itemsize
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast(list(map(" ".join, lots)), add_special_tokens=False)):
+            ids = np.array(e.ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(lot) or stops[-1] != len(ids):
+                left += lot
+                continue
+            raw, start = ids.astype(self.dtype).tobytes(), 0
+            for core, stop in zip(lot, (stops * size).tolist()):
+                self.cores[core] = raw[start:stop]
+                start = stop
+        return left
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text in the smallest fitting type, little-endian as the machine's."""
+        if not self.by_word:
+            whole = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [array(self.code, e.ids).tobytes() for e in whole]
         # bytes.split() parts at ASCII white space, on which every step of the tokenizer parts anyway
         split = [t.split() for t in texts]
         if len(self.known) > KEEP_WORDS // 2:
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         new = set().union(*split).difference(known)
-        again = new.intersection(before)
+        again = before.keys() & new  # looks up the few new ones; set.intersection would go through the whole table
         for w in again:
             known[w] = before[w]
         self._learn(list(new - again))

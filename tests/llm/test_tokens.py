@@ -76,11 +76,26 @@ def test_words_encode_by_themselves():
     from tokenizers import Tokenizer
 
     tokenizer, coder = Tokenizer.from_file(WORDS), arrowtokens.WordEncoder(WORDS)
-    some = texts(4000, 4) + ["The end. THE END!? the'S, it's. <|ENDOFTEXT|>. <|endoftext|>, Ñandú; İI. ǅ: e\u0301. naïve... O'Neil's", "ΟΔΟΣ. οδος!"]
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    r = random.Random(8)
+    some = [" ".join(r.choice(["It", "naïve", "ŒUF", "x1", "don't", ""]) + "".join(r.choices(marks, k=r.randrange(5))) for _ in range(20)) for _ in range(500)]
+    some += [f"one {' '.join(chr(c) * n for n in (1, 2, 3))} two" for c in range(0xA0, 0x250)]
+    some += texts(4000, 4) + ["The end. THE END!? the'S, it's. <|ENDOFTEXT|>. <|endoftext|>, Ñandú; İI. ǅ: e\u0301. naïve... O'Neil's", "ΟΔΟΣ. οδος!"]
     for t, e, ids in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), coder.encode([t.encode() for t in some])):
         assert np.frombuffer(ids, coder.dtype).tolist() == e.ids, t
 
 
+def test_other_tokenizers_see_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tokenizer, coder = Tokenizer.from_file(path), arrowtokens.WordEncoder(path)
+    assert not coder.by_word and arrowtokens.WordEncoder(WORDS).by_word
+    some = texts(300, 6) + ["Two  words. ", "", "\n"]
+    for e, ids in zip(tokenizer.encode_batch(some, add_special_tokens=False), coder.encode([t.encode() for t in some])):
+        assert np.frombuffer(ids, coder.dtype).tolist() == e.ids
+
+
 def test_sequences_round_trip(spark, awkward, no_documents):
     from tokenizers import Tokenizer
 
