@@ -50,11 +50,24 @@ def _segments(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value
     return placed, carried.where(F.col("_before") > 0)
 
 
+#: Rows of a key up to which one task may sort them.
+PLAIN_ROWS = 1_000_000
+
+
+def _all_small(df: DataFrame, keys: Sequence[str]) -> bool:
+    """No key has more than ``PLAIN_ROWS`` rows; counted with map-side combine."""
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) <= PLAIN_ROWS
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """1-based position within ``keys`` by ``order``, which must be unique per row of a key.
 
-    A scan over sort partitions: no task holds a whole key, also where all its rows share the leading order value.
+    A window where every key is small; else a scan over sort partitions, so that no task holds a hot key, also where
+    all its rows share the leading order value.
     """
+    if _all_small(df, keys):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     placed, carried = _segments(df, keys, order)
     inside = Window.partitionBy("_part", *keys).orderBy("_at")
     numbered = placed.withColumn("_inside", F.row_number().over(inside))
@@ -66,7 +79,9 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], nam
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """``value`` of the row before within ``keys`` by ``order``; null for the first row. A scan like ``number_rows``."""
+    """``value`` of the row before within ``keys`` by ``order``; null for the first row. A window or a scan, as in ``number_rows``."""
+    if _all_small(df, keys):
+        return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     placed, carried = _segments(df, keys, [F.col(c) for c in order], F.col(value))
     inside = Window.partitionBy("_part", *keys).orderBy("_at")
     lagged = placed.withColumns({"_first": F.row_number().over(inside) == 1, "_lag": F.lag(value).over(inside)})

@@ -118,7 +118,7 @@ def upsert_latest(spark, sf_dir):
 
     older = seen.filter(F.col("last_seen_at") < ntz(_MID))
     newer = seen.filter(F.col("last_seen_at") >= ntz(_MID))
-    return merge(merge(empty, older), newer)
+    return merge(stage(merge(empty, older), "first"), newer)
 
 
 @query(f"""
@@ -152,7 +152,7 @@ def upsert_partial(spark, sf_dir):
     )
     day = ntz(SPLIT_DAY)
     empty = spark.createDataFrame([], LISTINGS)
-    table_ = upsert_listings(empty, seen.filter(F.col("seen_at") < day))
+    table_ = stage(upsert_listings(empty, seen.filter(F.col("seen_at") < day)), "first")
     table_ = upsert_listings(table_, seen.filter(F.col("seen_at") >= day), columns=FOLDER_IMPORT_COLUMNS)
     return table_.select(
         "source", "source_url", "first_seen_at", "last_seen_at", "title", "unit", "rent_net", "broker_fee", "lat", "lng"
@@ -175,7 +175,7 @@ def upsert_link_scores(spark, sf_dir):
         F.col("orderkey").alias("seq"),
     )
     day = ntz(SPLIT_DAY)
-    first = upsert_links(links.drop("seq").limit(0), links.filter(F.col("created_at") < day))
+    first = stage(upsert_links(links.drop("seq").limit(0), links.filter(F.col("created_at") < day)), "first")
     return upsert_links(first, links.filter(F.col("created_at") >= day))
 
 
@@ -195,9 +195,19 @@ SELECT {_FIELDS} FROM units u JOIN c ON c.unit_id = u.unit_id WHERE {_WHERE}
 ORDER BY last_seen_at DESC, u.unit_id LIMIT 20 OFFSET 20
 """)
 def unit_search(spark, sf_dir):
+    return search.search_units(*refreshed(spark, sf_dir), page=2, **_SEARCH).drop("active_state")
+
+
+@query(f"""
+WITH {REGISTRY_SQL}{_COUNTS}
+SELECT {_FIELDS} FROM units u JOIN c ON c.unit_id = u.unit_id WHERE {_WHERE} AND borough = 'ASIA'
+ORDER BY last_seen_at DESC, u.unit_id LIMIT 20
+""")
+def unit_search_clustered(spark, sf_dir):
+    """A search of a table that was clustered for searches: only row groups of the borough and of such rents are read."""
     units, postings, listings = refreshed(spark, sf_dir)
     stored = search.write_search_table(units, f"{checkpoint_root(spark)}/search-{uuid4().hex}")
-    return search.search_units(stored, postings, listings, page=2, **_SEARCH).drop("active_state")
+    return search.search_units(stored, postings, listings, borough="ASIA", **_SEARCH).drop("active_state")
 
 
 @query(f"""

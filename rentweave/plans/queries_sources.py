@@ -164,7 +164,7 @@ def upsert_raw(spark, sf_dir):
         F.lit(None).cast(types["extracted_json"]).alias("extracted_json"), F.lit("1.0.0").alias("parse_version"),
     )
     mid = ntz("2024-01-16 00:00:00")
-    first = merge_raw(spark.createDataFrame([], RAW_LISTINGS), fetched.filter(F.col("fetched_at") < mid))
+    first = stage(merge_raw(spark.createDataFrame([], RAW_LISTINGS), fetched.filter(F.col("fetched_at") < mid)), "first")
     both = merge_raw(first, fetched.filter(F.col("fetched_at") >= mid))
     return both.select("source", "source_url", "source_listing_id", "raw_content", "fetched_at")
 

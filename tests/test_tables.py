@@ -51,7 +51,7 @@ def test_listings_keep_first_seen_and_partial_columns(spark):
     assert (part.title, part.lat, part.rent_gross, part.images) == ("t2", 1.0, None, ["i"])
 
 
-def test_positions_with_a_hot_key(spark):
+def test_positions_with_a_hot_key(spark, monkeypatch):
     rng = random.Random(3)
     rows = [("hot" if i % 3 else f"k{i % 5}", i, T0 + timedelta(hours=rng.randrange(200))) for i in range(600)]
     df = spark.createDataFrame(rows, "k string, i int, ts timestamp_ntz")
@@ -60,13 +60,15 @@ def test_positions_with_a_hot_key(spark):
         by_key.setdefault(r[0], []).append(r[1])
     want = {i: n for ids in by_key.values() for n, i in enumerate(ids, 1)}
     order = [F.col("ts"), F.col("i")]
-    got = ranking.number_rows(df, ["k"], order, "n").collect()
-    assert {r.i: r.n for r in got} == want
+    for most in (ranking.PLAIN_ROWS, 10):  # one window, or a scan because of the hot key
+        monkeypatch.setattr(ranking, "PLAIN_ROWS", most)
+        got = ranking.number_rows(df, ["k"], order, "n").collect()
+        assert {r.i: r.n for r in got} == want
     dense = ranking.dense_position(df, order, "n").collect()
     assert {r.i: r.n for r in dense} == {r[1]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], r[1])), 1)}
 
 
-def test_price_history_crosses_buckets(spark):
+def test_price_history_crosses_buckets(spark, monkeypatch):
     rng = random.Random(4)
     rows = [("u", i, T0 + timedelta(hours=7 * i), rng.choice([1, 2, None])) for i in range(80)]
     df = spark.createDataFrame(rows, "k string, i int, ts timestamp_ntz, price int")
@@ -77,13 +79,16 @@ def test_price_history_crosses_buckets(spark):
         if last is not None and p != last:
             want.append((i, last, p))
         last = p
-    got = history.price_history(df, ["k"], "ts", "i", "price").collect()
-    assert sorted((r.i, r.old_price, r.new_price) for r in got) == want
+    for most in (ranking.PLAIN_ROWS, 10):
+        monkeypatch.setattr(ranking, "PLAIN_ROWS", most)
+        got = history.price_history(df, ["k"], "ts", "i", "price").collect()
+        assert sorted((r.i, r.old_price, r.new_price) for r in got) == want
 
 
 @pytest.fixture
-def many_sort_partitions(spark):
-    """Small sort partitions stay apart, as large ones would."""
+def many_sort_partitions(spark, monkeypatch):
+    """Small sort partitions stay apart and keys are hot, as large ones would."""
+    monkeypatch.setattr(ranking, "PLAIN_ROWS", 0)
     name = "spark.sql.adaptive.coalescePartitions.enabled"
     spark.conf.set(name, "false")
     yield
