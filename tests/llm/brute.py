@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -68,6 +69,37 @@ def without_repeats(rows: list[tuple[int | None, str | None]], length: int) -> C
     return out
 
 
+def plain_bits(samples: dict[str, list[bytes]], text: bytes, order: int = 3, least_seen: int = 2) -> list[float]:
+    """Bits of a text under every language, byte by byte from the definition of the escapes."""
+    known = sorted({b for texts in samples.values() for t in texts for b in t})
+    novel = 256 - len(known)
+    flat = {**{b: 1 / 256 for b in known}, None: max(novel, 1) / 256}  # None: any byte of no sample
+    out = []
+    for language in sorted(samples):
+        seen: dict[bytes, Counter] = {}
+        for t in samples[language]:
+            for depth in range(order + 1):
+                for i in range(depth, len(t)):
+                    seen.setdefault(t[i - depth : i], Counter())[t[i]] += 1
+
+        def shares(context: bytes) -> dict:
+            n = seen.get(context)
+            if n is None or len(context) == order and n.total() < least_seen:
+                return shares(context[1:]) if context else flat
+            lower = shares(context[1:]) if context else flat
+            left = {s: p for s, p in lower.items() if s not in n}
+            rest = sum(left.values())
+            escape = len(n) / (n.total() + len(n)) if rest > 0 else 0.0
+            return {s: n[s] / n.total() * (1 - escape) if s in n else p / rest * escape for s, p in lower.items()}
+
+        bits = 0.0
+        for i, b in enumerate(text):
+            p = shares(text[max(0, i - order) : i])
+            bits -= math.log2(p[b] if b in p else p[None] / novel)
+        out.append(bits)
+    return out
+
+
 def groups(nodes: list, linked) -> dict:
     """Smallest member of every node's group under a symmetric relation."""
     root = {n: n for n in nodes}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from brute import passage
+from brute import passage, plain_bits
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -40,6 +40,38 @@ def test_code_length_is_additive_and_order_free():
     assert (together[1] == 0).all()
 
 
+def test_code_lengths_equal_a_plain_model():
+    samples = {"de": [GERMAN.encode(), b"Haus", b"ab"], "en": [ENGLISH.encode(), b"xyxyx"], "es": ["¿qué tal?".encode()]}
+    m = langid.fit(samples)
+    texts = [GERMAN[:90].encode(), b"the hat", b"", "Привет ÿ".encode(), b"\x00\xff xyxyxyx Haus", b"zz" * 20]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = langid.code_lengths(m, data, np.r_[0, np.cumsum([len(t) for t in texts])])
+    for t, bits in zip(texts, got):
+        assert np.allclose(bits, plain_bits(samples, t), rtol=1e-5, atol=1e-3)
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    foreign = ["Сегодня хорошая погода, и мы идём гулять в парк с собакой. " * 3, "今天天气很好，我们去公园散步。" * 5, "Σήμερα ο καιρός είναι καλός. " * 4]
+    rows = [(i, t) for i, t in enumerate([*foreign, GERMAN, ENGLISH, "the cat", "Cat!"])]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in langid.accepted(some, model()).collect()) == [3, 4, 5, 6]
+
+
+def test_sample_is_of_different_texts_and_all_over_them(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 20)
+    long = "".join(f"<{i:05}>" for i in range(3000))
+    rows = [(i, "a copy", "en") for i in range(900)] + [(1000 + i, f"text {i}", "en") for i in range(60)]
+    rows += [(2000 + i, None, "en") for i in range(50)] + [(3000, long, "de"), (3001, "", "de"), (3002, "kurz", "de"), (3003, "x", ""), (3004, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.training_sample(docs, F.lit(True))
+    assert sample.keys() == {"en", "de"} and len(sample["en"]) == len(set(sample["en"])) == 20
+    pieces = [p.decode() for p in sample["de"] if p != b"kurz"]
+    assert len(pieces) == langid.SAMPLE_PIECES and sum(map(len, pieces)) == langid.SAMPLE_CHARS
+    at = [long.index(p) for p in pieces]
+    assert min(at) == 0 and max(at) + len(pieces[0]) == len(long) and sorted(at)[1] > len(long) // 4
+    assert langid.training_sample(docs.where("lang is null"), F.lit(True)) == {}
+
+
 def test_awkward_documents(spark, awkward, no_documents):
     docs, rows = awkward
     got = langid.predict(docs, model()).collect()
