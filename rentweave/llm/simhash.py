@@ -236,6 +236,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3) -> Da
 # ---------------------------------------------------------------- near copies by similarity
 
 VIEWS = 24
+#: Turns in which texts are compared with one text of the largest component they meet, before what is left is compared exactly.
+TURNS = 3
 #: Shingles sampled for one view: the smallest under as many hash functions.
 PER_VIEW = 5
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, VIEWS * PER_VIEW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -346,8 +348,42 @@ def _leads(placed: DataFrame, crowded: DataFrame) -> DataFrame:
     )
 
 
+def _pairs_with_main(there: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: at each point of ``there(point, node, component)``, those outside its largest component with one text inside.
+
+    That text is another one each turn; one pair per row at most.
+    """
+    draw = F.xxhash64(F.lit(turn), "node")
+    parts = there.groupBy("point", "component").agg(
+        F.count("*").alias("size"), F.min(F.struct(draw.alias("draw"), "node"))["node"].alias("lead")
+    )
+    main = stage(
+        parts.groupBy("point").agg(F.max(F.struct("size", "component", "lead")).alias("main"), F.count("*").alias("parts"))
+        .where("parts > 1").select("point", "main.component", "main.lead"),
+        "main",
+    )
+    outside = there.alias("t").join(main.alias("m"), "point").where(F.col("t.component") != F.col("m.component"))
+    return outside.select(F.least("t.node", "m.lead").alias("a"), F.greatest("t.node", "m.lead").alias("b")).distinct()
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after ``links(a, b)`` between texts, by the components they connect."""
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_in"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+        F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")
+    )
+    up = stage(components(stage(between.where("a <> b").distinct(), "between")), "up").select(
+        F.col("node").alias("component"), F.col("component").alias("above")
+    )
+    new = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node").join(labels, "node", "left_anti")
+    every = labels.select("node", "component").union(new.select("node", F.col("node").alias("component")))
+    return stage(every.join(up, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "labels")
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``point, node, n``: every set of ``n`` shingles at those of its rarest shingles that a similar set must share.
+    """``point, node, n, at``: every set of ``n`` shingles at those of its rarest shingles that a similar set must share.
+
+    ``at`` is the shingle's place in the set's order.
 
     Sets of that similarity have ``similarity * n`` shingles in common, so in one order of all
     shingles they share one of the first ``n - ceil(similarity * n) + 1``. Shingles of one set only
@@ -369,13 +405,17 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     met = every.join(held, "point").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("held", "point"))).alias("met"))
     wanted = F.col("n") - F.ceil(similarity * F.col("n") - F.lit(1e-6)) + 1
     taken = F.greatest(wanted - (F.col("n") - F.size("met")), F.lit(0)).cast("int")
-    return met.select(F.explode(F.slice("met", F.lit(1), taken)).alias("m"), "node", "n").select("m.point", "node", "n")
+    alone = F.col("n") - F.size("met")
+    return met.select(F.posexplode(F.slice("met", F.lit(1), taken)).alias("place", "m"), "node", "n", alone.alias("alone")).select(
+        "m.point", "node", "n", (F.col("alone") + F.col("place")).alias("at")
+    )
 
 
 def _pairs_between(placed: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: pairs of ``placed(point, node, n, component)`` that share a point but no component.
+    """``a, b``: pairs of ``placed(point, node, n, at, component)`` that share a point but no component.
 
-    At a point, whatever is outside the component with most nodes is paired with every other one.
+    At a point, whatever is outside the component with most nodes is paired with every other one, if enough
+    shingles come after this one in both: the first shingle that similar sets share has that many behind it.
     """
     parts = placed.groupBy("point", "component").agg(F.count("*").alias("size"))
     mixed = stage(
@@ -386,8 +426,11 @@ def _pairs_between(placed: DataFrame, similarity: float) -> DataFrame:
     there = stage(placed.join(mixed, "point"), "there")
     outside = stage(there.where("component <> main").drop("main"), "outside")
     x, y = there.alias("x"), outside.alias("y")
-    fits = (F.col("x.component") != F.col("y.component")) & (
-        F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - F.lit(1e-6)
+    shared = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n"))
+    fits = (
+        (F.col("x.component") != F.col("y.component"))
+        & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - F.lit(1e-6))
+        & (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= shared - F.lit(1e-6))
     )
     return x.join(y, (F.col("x.point") == F.col("y.point")) & fits).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
@@ -399,7 +442,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
 
     Equal texts are one node. ``VIEWS`` points make it all but certain that similar texts meet.
     What meets is connected as comparing all texts of a point would: first every text is
-    compared with two or three leads of the point, which is linear and joins most groups. Where
+    compared with two or three leads of the point, then what is outside a point's largest component with one
+    text after another inside it; that is linear and joins most groups. Where
     a point of more than three texts still holds several components, its texts meet again at
     their rarest shingles, which loses no similar pair, and are compared across components.
     Texts without a partner are not listed. Null text is like the empty one.
@@ -431,8 +475,17 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
         return stage(_similar(compared, similarity), "similar")
 
     linked = links(pairs)
-    labels = components(linked)
-    there = crowded.join(labels, "node", "left").select("point", "node", F.coalesce("component", "node").alias("component"))
+    labels = stage(components(linked), "labels")
+
+    def open_points() -> DataFrame:
+        return crowded.join(labels, "node", "left").select("point", "node", F.coalesce("component", "node").alias("component"))
+
+    for turn in range(TURNS):
+        more = links(stage(_pairs_with_main(stage(open_points(), "there"), turn), "pairs"))
+        if not more.limit(1).count():
+            break
+        labels = _joined(labels, more)
+    there = open_points()
     mixed = stage(
         there.groupBy("point").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high"), "mixed"
     )
@@ -441,7 +494,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
         return labels
     again = _prefixes(sets.join(open_nodes, "node", "left_semi"), similarity).join(open_nodes, "node")
     more = links(stage(_pairs_between(stage(again, "prefixes"), similarity), "pairs"))
-    return components(linked.union(more))
+    return _joined(labels, more)
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
