@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,30 +45,35 @@ def _place(title: Column) -> tuple[Column, Column]:
 META = "struct<title:string,og_title:string,og_images:array<string>,geo_position:string,icbm:string>"
 
 
-def captured_meta(page_meta: DataFrame) -> DataFrame:
-    """``url, meta`` of captured page metadata.
+def captured_meta(page_meta: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
+    """``on, meta`` of captured page metadata, once per key.
 
-    ``og_images`` may be an array or one text, which counts as an array of one (none, if it is empty).
+    Of several captures of a key the last by ``captured_at`` counts, where there is such a column (else, and of equal
+    times, the greatest), so no page is ever repeated. ``og_images`` may be an array or one text, which counts as an
+    array of one (none, if it is empty).
     """
     images = F.col("og_images")
     if dict(page_meta.dtypes)["og_images"] == "string":
         images = F.when(F.col("og_images") != "", F.array("og_images"))
     fields = F.struct("title", "og_title", images.alias("og_images"), "geo_position", "icbm")
-    return page_meta.select("url", fields.cast(META).alias("meta"))
+    at = F.col("captured_at") if "captured_at" in page_meta.columns else F.lit(None).cast("timestamp_ntz")
+    rows = page_meta.select(*on, F.struct(at.alias("at"), fields.cast(META).alias("meta")).alias("capture"))
+    return rows.groupBy(*on).agg(F.max("capture")["meta"].alias("meta"))
 
 
-def with_page_meta(pages: DataFrame, page_meta: DataFrame) -> DataFrame:
-    """Pages with the metadata captured for the same url, null where there is none.
+def with_page_meta(pages: DataFrame, page_meta: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
+    """Pages with the metadata captured for the same key, null where there is none.
 
-    The pages' markup crosses this join; ``parse_with_page_meta`` joins what was parsed instead.
+    The pages' markup crosses this join; ``parse_with_page_meta`` joins what was parsed instead. Where urls are
+    visited more than once, ``on`` also names the visit's column, so that each visit gets what was captured with it.
     """
-    return pages.join(captured_meta(page_meta), "url", "left")
+    return pages.join(captured_meta(page_meta, on), list(on), "left")
 
 
-def parse_with_page_meta(pages: DataFrame, page_meta: DataFrame) -> DataFrame:
-    """Parsed posting fields of pages, overlaid with the metadata captured for their urls; only parsed fields are shuffled."""
+def parse_with_page_meta(pages: DataFrame, page_meta: DataFrame, on: Sequence[str] = ("url",)) -> DataFrame:
+    """Parsed posting fields of pages, overlaid with the metadata captured for their keys; only parsed fields are shuffled."""
     carried = [c for c in pages.columns if c != "html"]
-    return _overlay(_page_fields(pages).join(captured_meta(page_meta), "url", "left"), carried)
+    return _overlay(_page_fields(pages).join(captured_meta(page_meta, on), list(on), "left"), carried)
 
 
 def parse_building_pages(pages: DataFrame) -> DataFrame:
