@@ -401,6 +401,8 @@ def link_postings(
 
 #: Undecided nodes that one narrow step may hold (their compared fields, about 200 bytes each).
 SOLVED_AT_ONCE = 100_000
+#: Nodes of small components that are visited together on average.
+SOLVED_TOGETHER = 10_000
 
 
 def _found_units(undecided: DataFrame) -> tuple[DataFrame, int]:
@@ -423,6 +425,9 @@ def _found_units(undecided: DataFrame) -> tuple[DataFrame, int]:
             giants = stage(sizes.where(F.col("size") > SOLVED_AT_ONCE).select("part"), "giants")
             # a giant has more than SOLVED_AT_ONCE nodes, so giants are few
             small = parts.join(F.broadcast(giants), "part", "left_anti")
+            # no two components accept each other's nodes, so many are visited in one go, not a group each
+            bins = F.lit(left // SOLVED_TOGETHER + 1)
+            small = small.withColumn("part", F.pmod(F.xxhash64("part"), bins))
             founders = founders.unionByName(stage(_solve(small), "solved"))
             undecided = stage(parts.join(F.broadcast(giants), "part", "left_semi").drop("part"), "undecided")
             left = undecided.count()
