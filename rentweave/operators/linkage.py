@@ -315,10 +315,7 @@ def link_postings(
     # rule should not run twice over the source.
     rows = stage(
         rows.select(
-            "listing_id", "last_seen_at",
-            F.when(F.col("kept_unit").isNull(), founded_unit_id(F.col("listing_id")))
-            .otherwise(refounded_unit_id(F.col("listing_id"), F.col("last_seen_at")))
-            .alias("own_unit"),
+            "listing_id", "last_seen_at", F.col("kept_unit").isNotNull().alias("had_unit"),
             (F.lit(None).cast("string") if refound else F.col("kept_unit")).alias("kept_unit"),
             *IDENTITY,
             F.concat_ws(
@@ -328,6 +325,10 @@ def link_postings(
         "identity",
     )
     rows = sorted_position(rows, order or newest_first(), "ord")
+    # Made where it is needed: an id per row is most of a row.
+    own_unit = F.when(F.col("had_unit"), refounded_unit_id(F.col("listing_id"), F.col("last_seen_at"))).otherwise(
+        founded_unit_id(F.col("listing_id"))
+    )
 
     nodes = stage(
         rows.groupBy("vector", *IDENTITY)
@@ -349,6 +350,7 @@ def link_postings(
         .join(existing.select("node"), "node", "left_anti")
         .select("node", "ord", *IDENTITY)
     )
+    founders = stage(founders, "founders")
 
     # Founders a node can reach: one per address rung, and on the unit+cell rung a
     # handful that are mutually not close, so the list per node is short by geometry.
@@ -356,9 +358,8 @@ def link_postings(
         _meet(linkable, founders, ["node"], "ord", neighbours_only=False)
         .groupBy("node", "ord")
         .agg(F.max("score").alias("score"))
-        .join(
-            rows.select("ord", F.col("own_unit").alias("founded_unit")), "ord"
-        )
+        .join(rows.select("ord", "listing_id", "last_seen_at", "had_unit"), "ord")
+        .withColumn("founded_unit", own_unit)
         .groupBy("node")
         .agg(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "founded_unit")).alias("founders"))
     )
@@ -366,15 +367,13 @@ def link_postings(
         nodes.select("vector", "node", "self_score")
         .join(existing, "node", "left")
         .join(reach, "node", "left")
+        .join(founders.select("node", F.col("ord").alias("founder_ord")), "node", "left")
         .drop("node")
     )
-    founder_ords = founders.select(F.col("ord").alias("founder_ord"))
-    joined = rows.select("listing_id", "ord", "vector", "kept_unit", "own_unit").join(options, "vector").join(
-        founder_ords, F.col("ord") == F.col("founder_ord"), "left"
-    )
+    joined = rows.select("listing_id", "last_seen_at", "had_unit", "ord", "vector", "kept_unit").join(options, "vector")
     near = F.array_min(F.filter("founders", lambda f: f["ord"] < F.col("ord")))
     alone = F.col("kept_unit").isNull() & (F.col("self_score") < THRESHOLD)
-    founds = F.col("founder_ord").isNotNull() | alone
+    founds = F.coalesce(F.col("ord") == F.col("founder_ord"), F.lit(False)) | alone
     # Same score: the unit that existed before the run wins.
     by_founder = F.col("near").isNotNull() & F.coalesce(-F.col("near.neg") > F.col("score"), F.lit(True))
     links = (
@@ -382,7 +381,7 @@ def link_postings(
         .withColumn("founds_unit", founds)
         .select(
             "listing_id",
-            F.when(founds, F.col("own_unit"))
+            F.when(founds, own_unit)
             .when(by_founder, F.col("near.founded_unit"))
             .otherwise(F.col("unit_ord.unit_id"))
             .alias("unit_id"),

@@ -99,16 +99,25 @@ def _null(df: DataFrame, name: str):
 
 
 LISTING_KEY = ("source", "source_url")
+#: Stands for an id made from the row's key until the merge is done, so that ids are not shuffled beside their keys.
+FROM_KEY = ""
+
+
+def _with_ids(merged: DataFrame, **kinds: str) -> DataFrame:
+    """``FROM_KEY`` in the given id columns replaced by the id of that kind."""
+    ids = {c: stable_id(F.lit(kind), *[F.col(k) for k in LISTING_KEY]) for c, kind in kinds.items()}
+    return merged.withColumns({c: F.when(F.col(c) == FROM_KEY, made).otherwise(F.col(c)) for c, made in ids.items()})
 
 
 def upsert_raw(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     """Raw pages by (source, source_url); the source's own id is set on insert only."""
-    rows = fetched.withColumn("raw_id", stable_id(F.lit("raw"), F.col("source"), F.col("source_url")))
-    return keyed_upsert(
+    rows = fetched.withColumn("raw_id", F.lit(FROM_KEY))
+    merged = keyed_upsert(
         existing, _in_order(rows), LISTING_KEY, ("batch", "fetched_at", "seq"),
         update=("fetched_at", "http_status", "raw_content", "extracted_json", "parse_version"),
         insert_only=("raw_id", "source_listing_id"),
     )
+    return _with_ids(merged, raw_id="raw")
 
 
 # Columns the folder import overwrites; all others keep what is known.
@@ -127,18 +136,19 @@ def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[st
     """
     rows = parsed.withColumns(
         {
-            "listing_id": stable_id(F.lit("listing"), F.col("source"), F.col("source_url")),
-            "raw_id": stable_id(F.lit("raw"), F.col("source"), F.col("source_url")),
+            "listing_id": F.lit(FROM_KEY),
+            "raw_id": F.lit(FROM_KEY),
             "images": F.coalesce("images", F.array().cast("array<string>")),
             "first_seen_at": F.col("seen_at"),
             "last_seen_at": F.col("seen_at"),
         }
     )
     update = tuple(columns) if columns else ("raw_id", *PARSED_FIELDS, "last_seen_at")
-    return keyed_upsert(
+    merged = keyed_upsert(
         existing, _in_order(rows), LISTING_KEY, ("batch", "seen_at", "seq"), update=update,
         insert_only=("listing_id", "first_seen_at"),
     )
+    return _with_ids(merged, listing_id="listing", raw_id="raw")
 
 
 def upsert_links(existing: DataFrame, links: DataFrame) -> DataFrame:

@@ -14,10 +14,19 @@ STATES = ("active", "unknown", "stale")
 
 
 def unlinked(listings: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings without a unit."""
+    """Postings without a unit; before the first links that is all of them, without a join."""
+    if postings.isEmpty():
+        return listings
     return listings.join(postings.select("listing_id"), "listing_id", "left_anti")
 
 
+#: Columns of postings that linking, founding and change records read.
+LINKED_BY = (
+    "listing_id", "address", "unit", "neighborhood", "borough", "lat", "lng", "bedrooms", "bathrooms",
+    "rent_gross", "rent_net", "broker_fee", "last_seen_at",
+)
+
+
 def found_units(listings: DataFrame, links: DataFrame, as_of: Column, strict: bool = True) -> DataFrame:
     """One unit per founding posting, with that posting's fields."""
     founders = links.filter("founds_unit").select("listing_id", "unit_id")

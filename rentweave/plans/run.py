@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.linkage import LinkResult, link_postings, oldest_first
 from ..operators.merge import upsert_links, upsert_listings, upsert_raw
 from ..operators.registry import (
-    attach_changes, found_units, refresh_units, unlinked, update_freshness,
+    LINKED_BY, attach_changes, found_units, refresh_units, unlinked, update_freshness,
 )
 from ..session import stage
 
@@ -51,10 +51,11 @@ def link_new(
     listings: DataFrame, units: DataFrame, postings: DataFrame, as_of: Column, strict: bool = True
 ) -> LinkRun:
     """Link every posting without a unit, newest first, then refresh all posted units."""
-    todo = stage(unlinked(listings, postings), "todo")
+    todo = stage(unlinked(listings, postings).select(*LINKED_BY), "todo")
     run = apply_links(
         todo, units, postings, link_postings(todo, units, strict=strict), as_of, strict
     )
+    run.postings = stage(run.postings, "links")  # read by the refresh and by whoever keeps the tables
     run.units = refresh_units(run.units, run.postings, listings)
     return run
 
@@ -112,4 +113,4 @@ def run_batch(registry: Registry, batches: list, as_of: Column, strict: bool = T
     raw, listings = stage(raw, "raw"), stage(listings, "listings")
     run = link_new(listings, registry.units, registry.postings, as_of, strict)
     units = stage(update_freshness(run.units, as_of).drop("state_changed"), "units")
-    return Registry(raw, listings, units, stage(run.postings, "links")), run.changes
+    return Registry(raw, listings, units, run.postings), run.changes
