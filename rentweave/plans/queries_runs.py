@@ -167,10 +167,8 @@ def page_import_stream(spark, sf_dir):
     """Postings' pages land in three lots; each is imported by a run of the stream that ends with what is there."""
     root = f"{checkpoint_root(spark)}/import-{uuid4().hex}"
     key = F.col("orderkey")
-    when = postings_view(spark, sf_dir, place=False).select(
-        "listing_id", (F.col("last_seen_at") + F.make_dt_interval(secs=key.cast("decimal(18,6)") / 1000000)).alias("fetched_at")
-    )
-    pages = building_pages_view(spark, sf_dir).join(when, "listing_id").select(
+    fetched_at = F.col("last_seen_at") + F.make_dt_interval(secs=key.cast("decimal(18,6)") / 1000000)
+    pages = building_pages_view(spark, sf_dir, fetched_at.alias("fetched_at")).select(
         F.concat(F.lit(_SITE), F.col("listing_id")).alias("url"), F.lit(200).alias("http_status"), "html", "fetched_at"
     )
     (adapter,) = SourceRegistry().route("building_pages")
