@@ -213,14 +213,39 @@ def match_saved_searches(searches: DataFrame, units: DataFrame) -> DataFrame:
     )
 
 
+#: Levels of blocks that are cut one from the other; above, few units are left and enter all levels at once.
+_CUT_LEVELS = 3
+
+
+def _in_blocks(few: DataFrame, first: int) -> DataFrame:
+    """Units in every ``block`` they may be shown for: per own place, bedroom count and fee the ``first`` newest of each.
+
+    ``few`` holds the newest units per rent (level 0). A block's newest are among the newest of the blocks in it, so a
+    level is cut from the one below instead of from all units.
+    """
+    newest = [F.col("age"), F.col("unit_id")]
+    alike = ["borough", "neighborhood", "block", "bedrooms", "fee"]
+    rent = F.col("best_rent_gross").cast("bigint") + _RENT_SHIFT
+    index = lambda n: _block(n, F.shiftright(rent, _BITS * n))
+    level = few.where(F.col("best_rent_gross").isNotNull()).withColumn("block", index(0))
+    everything = F.lit(_ANY_RENT).cast("bigint")
+    out = few.where(F.col("best_rent_gross").isNull()).withColumn("block", everything).unionByName(level)
+    for n in range(1, _CUT_LEVELS):
+        level = stage(top_rows(level.withColumn("block", index(n)), alike, newest, first, "_place").drop("_place"), "level")
+        out = out.unionByName(level)
+    above = F.array(*[index(n) for n in range(_CUT_LEVELS, _LEVELS)], everything)
+    return out.unionByName(level.withColumn("block", F.explode(above)))
+
+
 def saved_search_pages(searches: DataFrame, units: DataFrame, first: int = DEFAULT_LIMIT) -> DataFrame:
     """The first ``first`` hits of every active saved search, in its own order, with its total.
 
     ``search_id, total, place, unit_id, last_seen_at, broker_fee``; a search without hits has one row with
     place null. Like ``match_saved_searches``, but the summary of a block holds its newest units instead of
     one: ``first`` of each fee (none, charged, unknown), which is all that either order can show of it. The
-    summary is cut in every task before it is shuffled, and a search reads ``first`` units per block of its
-    range and bedroom count, however many match.
+    summary is cut in every task before it is shuffled. A larger block is made from the newest units of the blocks
+    in it, and what a block shows under a bedroom limit and order is found once for all searches that ask for it, so
+    a search reads ``first`` units per block of its range, however many match.
     """
     first = min(MAX_LIMIT, max(1, first))
     fee = F.coalesce(F.col("broker_fee").cast("int"), F.lit(2))
@@ -234,9 +259,9 @@ def saved_search_pages(searches: DataFrame, units: DataFrame, first: int = DEFAU
     few = stage(top_rows(rows, alike, [F.col(c) for c in newest], first, "_place").drop("_place"), "newest")
     places = lambda c: F.array_distinct(F.array(F.coalesce(c, F.lit(_ANY)), F.lit(_ANY)))
     entered = (
-        few.withColumn("at_borough", F.explode(places(F.col("borough"))))
+        _in_blocks(few, first)
+        .withColumn("at_borough", F.explode(places(F.col("borough"))))
         .withColumn("at_hood", F.explode(places(F.col("neighborhood"))))
-        .withColumn("block", F.explode(_blocks_holding(F.col("best_rent_gross"))))
     )
     block = ["at_borough", "at_hood", "block", "bedrooms", "fee"]
     summary = top_rows(entered, block, [F.col(c) for c in newest], first, "_place").select(
@@ -252,14 +277,22 @@ def saved_search_pages(searches: DataFrame, units: DataFrame, first: int = DEFAU
     limits = ["at_borough", "at_hood", "max_rent", "min_beds", "no_fee"]
     number = F.xxhash64(*limits)
     asked = active.select(*limits).distinct().withColumn("ask", number)
-    found = (
+    part = ["at_borough", "at_hood", "block", "any_beds", "beds_from", "no_fee"]
+    read = (
         asked.withColumn("block", F.explode(_blocks_up_to(F.col("max_rent"))))
+        .withColumns({"any_beds": F.col("min_beds").isNull(), "beds_from": F.coalesce("min_beds", F.lit(0.0))})
+        .select("ask", *part)
+    )
+    # what a block shows is the same for all who ask for it under one bedroom limit and order
+    shown = (
+        read.select(*part).distinct()
         .join(summary, ["at_borough", "at_hood", "block"])
-        .filter(F.col("min_beds").isNull() | (F.col("bedrooms") >= F.col("min_beds")))
+        .filter(F.col("any_beds") | (F.col("bedrooms") >= F.col("beds_from")))
         .withColumn("shown_fee", F.when(F.col("no_fee"), F.col("fee")).otherwise(F.lit(0)))
     )
     order = [F.col("shown_fee"), F.col("age"), F.col("unit_id")]
-    page = top_rows(found, ["ask"], order, first, "place").select("ask", "place", "unit_id", "last_seen_at", "broker_fee")
+    firsts = top_rows(shown, part, order, first, "_place").drop("_place", "bedrooms", "fee")
+    page = top_rows(read.join(firsts, part), ["ask"], order, first, "place").select("ask", "place", "unit_id", "last_seen_at", "broker_fee")
     totals = match_saved_searches(searches, units).select("search_id", "total")
     return (
         active.withColumn("ask", number).select("search_id", "ask")
