@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,6 +60,12 @@ def mark_touched(existing: DataFrame, batch_filter: DataFrame, keys: Sequence[st
     return placed.join(F.broadcast(batch_filter), "_word", "left").withColumn("_touched", hit).drop("_word", "_bit", "_bits")
 
 
+def rows_among(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key ``wanted`` holds. Most others miss its key filter, so that a large table is not shuffled for them."""
+    marked = mark_touched(rows, key_filter(wanted, keys, dict(rows.dtypes)), keys)
+    return marked.filter("_touched").drop("_touched").join(wanted.select(*keys), list(keys), "left_semi")
+
+
 def _merge(existing, incoming, keys, order, update, insert_only) -> DataFrame:
     columns = existing.columns
     written = {*keys, *update, *insert_only}
@@ -109,13 +116,17 @@ def _with_ids(merged: DataFrame, **kinds: str) -> DataFrame:
     return merged.withColumns({c: F.when(F.col(c) == FROM_KEY, made).otherwise(F.col(c)) for c, made in ids.items()})
 
 
+RAW_MERGE = {
+    "update": ("fetched_at", "http_status", "raw_content", "extracted_json", "parse_version"),
+    "insert_only": ("raw_id", "source_listing_id"),
+}
+
+
 def upsert_raw(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     """Raw pages by (source, source_url); the source's own id is set on insert only."""
     rows = fetched.withColumn("raw_id", F.lit(FROM_KEY))
     merged = keyed_upsert(
-        existing, _in_order(rows), LISTING_KEY, ("batch", "fetched_at", "seq"),
-        update=("fetched_at", "http_status", "raw_content", "extracted_json", "parse_version"),
-        insert_only=("raw_id", "source_listing_id"),
+        existing, _in_order(rows), LISTING_KEY, ("batch", "fetched_at", "seq"), **RAW_MERGE
     )
     return _with_ids(merged, raw_id="raw")
 
@@ -127,6 +138,12 @@ FOLDER_IMPORT_COLUMNS = (
 )
 
 
+def join_raw(first: DataFrame, later: Sequence[DataFrame]) -> DataFrame:
+    """Raw pages of several rounds, in order, as if each had been merged into those before."""
+    parts = [rows.withColumn("round", F.lit(n)) for n, rows in enumerate(later)]
+    return keyed_upsert(first, reduce(DataFrame.unionByName, parts), LISTING_KEY, ("round",), **RAW_MERGE)
+
+
 def upsert_listings(existing: DataFrame, parsed: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Postings by (source, source_url).
 

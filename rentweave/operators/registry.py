@@ -132,15 +132,39 @@ def newest_posting(postings: DataFrame, listings: DataFrame, columns: list[str])
     )
 
 
-def refresh_units(units: DataFrame, postings: DataFrame, listings: DataFrame, keep_known: bool = False) -> DataFrame:
+def refresh_units(
+    units: DataFrame, postings: DataFrame, listings: DataFrame, keep_known: bool = False, newest_id: bool = False
+) -> DataFrame:
     """Best-known fields from the newest posting of each unit.
 
     A null of the newest posting overwrites too, unless ``keep_known``. Units
     without postings, and every unit's address and unit name, stay as they are.
+    With ``newest_id``, a column of that name holds the newest posting's id, for ``refresh_newer``.
     """
     newest = newest_posting(postings, listings, list(dict.fromkeys(REFRESHED.values())))
     joined = units.join(newest, "unit_id", "left")
-    found = F.col("newest").isNotNull()
+    out = _refreshed(units, F.col("newest").isNotNull(), keep_known)
+    if newest_id:
+        out.append(F.col("newest.listing_id").alias("newest_id"))
+    return joined.select(*out)
+
+
+def refresh_newer(units: DataFrame, known: DataFrame, links: DataFrame, listings: DataFrame) -> DataFrame:
+    """``refresh_units`` after new links to new postings, without a pass over those before; adds ``newest_id``.
+
+    ``units`` were refreshed before the links came; ``known`` (unit_id, newest_id) names the postings they show.
+    """
+    newest = newest_posting(links, listings, list(dict.fromkeys(REFRESHED.values())))
+    joined = units.join(known.where(F.col("newest_id").isNotNull()), "unit_id", "left").join(newest, "unit_id", "left")
+    shown = F.struct(age("last_seen_at").alias("age"), F.col("newest_id").alias("id"))
+    come = F.struct(age(F.col("newest.last_seen_at")).alias("age"), F.col("newest.listing_id").alias("id"))
+    newer = F.col("newest").isNotNull() & (F.col("newest_id").isNull() | (come < shown))
+    latest = F.when(newer, F.col("newest.listing_id")).otherwise(F.col("newest_id"))
+    return joined.select(*_refreshed(units, newer, False), latest.alias("newest_id"))
+
+
+def _refreshed(units: DataFrame, found: Column, keep_known: bool) -> list[Column]:
+    """Columns of ``units``, those of ``REFRESHED`` out of ``newest`` where ``found``."""
     out = []
     for c in units.columns:
         if c not in REFRESHED:
@@ -150,7 +174,7 @@ def refresh_units(units: DataFrame, postings: DataFrame, listings: DataFrame, ke
         if keep_known:
             fresh = F.coalesce(fresh, F.col(c))
         out.append(F.when(found, fresh).otherwise(F.col(c)).alias(c))
-    return joined.select(*out)
+    return out
 
 
 def freshness_state(last_seen: Column, as_of: Column) -> Column:

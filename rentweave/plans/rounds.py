@@ -17,26 +17,33 @@ from pyspark.sql import functions as F
 
 from ..operators import frontier
 from ..operators.ingest import IngestBatch, ingest_batch
+from ..operators.merge import join_raw, rows_among
 from ..schemas import CHANGE_LOG, CRAWL_JOBS, LISTINGS, POSTINGS, RAW_LISTINGS, ROUND_STATS, UNITS
 from ..session import stage
 from ..sources.adapters import BUILT_IN, SourceAdapter
-from .run import Registry, run_batch
+from .run import Registry, UnseenRun, run_batch, run_batch_newest, run_unseen
 
 
 @dataclass
 class Round:
-    """Registry and jobs after a round, its change records and, of a registry round, its one row of counts."""
+    """Registry and jobs after a round, its change records and, of a registry round, its one row of counts.
+
+    Of a registry round also (unit_id, newest_id), the newest posting of each unit, with which the next one goes on
+    (``newest``), and, if it went on so itself, what it added.
+    """
 
     registry: Registry
     jobs: DataFrame
     changes: DataFrame
     stats: DataFrame | None = None
+    newest: DataFrame | None = None
+    added: UnseenRun | None = None
 
 
 def _ingest(plan: DataFrame, fetched: DataFrame, adapters: Sequence[SourceAdapter]) -> list[IngestBatch]:
     """Batches of the planned urls, one per source."""
     wanted = plan.select("source", F.col("url").alias("source_url")).distinct()
-    got = stage(fetched.join(wanted, ["source", "source_url"], "left_semi"), "fetched")
+    got = stage(rows_among(fetched, wanted, ["source", "source_url"]), "fetched")
     return [ingest_batch(got.filter(F.col("source") == a.name).drop("source"), a) for a in adapters]
 
 
@@ -59,12 +66,14 @@ def registry_round(
     batch: int = frontier.BATCH,
     max_urls: int = frontier.MAX_URLS,
     target: int = frontier.TARGET_UNITS,
+    newest: DataFrame | None = None,
 ) -> Round:
     """Fill the registry: unseen urls up to the caps, ingested and linked, until ``target`` units.
 
     ``discovered``: source, url, seq. A registry at its target plans nothing and only counts.
     The round has one job of its own (source ``all``, query ``registry``), whose counters
-    are replaced and which pauses at its target.
+    are replaced and which pauses at its target. With ``newest`` of the round that left the registry, postings it
+    holds are not merged, linked or compared again: those planned are none of them.
     """
     before = registry.units
     plan = stage(
@@ -75,28 +84,46 @@ def registry_round(
         "plan",
     )
     batches = _ingest(plan, fetched, adapters)
-    after, changes = run_batch(registry, batches, as_of)
+    run = None
+    if newest is None:
+        after, changes, newest = run_batch_newest(registry, batches, as_of)
+    else:
+        run = run_unseen(registry, newest, batches, as_of)
+        after, changes, newest = _with_run(registry, run), run.changes, run.newest
     added = after.units.join(before.select("unit_id"), "unit_id", "left_anti").select(F.lit(True).alias("founds_unit"))
     stats = stage(frontier.run_stats(discovered, plan, _outcomes(batches), before, added), "stats")
     task = stats.select(F.lit("all").alias("source"), F.lit("registry").alias("query"))
     given = stage(frontier.assign_jobs(task, jobs, frontier.MODE_REGISTRY), "jobs")
     opened = frontier.open_jobs(given, jobs, as_of, frontier.MODE_REGISTRY, target)
     totals = stats.withColumns({"job_id": F.lit(given.first().job_id), "updated_at": as_of})
-    return Round(after, frontier.set_job_counts(opened, totals), changes, stats)
+    return Round(after, frontier.set_job_counts(opened, totals), changes, stats, newest, run)
+
+
+def _with_run(registry: Registry, run: UnseenRun) -> Registry:
+    return Registry(
+        join_raw(registry.raw, [run.raw]), registry.listings.unionByName(run.listings), run.units,
+        registry.postings.unionByName(run.postings),
+    )
 
 
 #: Rounds of one fill at most.
 MAX_ROUNDS = 10
+NEWEST = "unit_id string, newest_id string"
 
 
 class RoundLedger:
     """Finished rounds of one fill, below a folder.
 
     ``round=n`` holds the tables a round left, ``done/round=n`` its row of counts, written last: a round
-    without that row never happened, and running it again overwrites what it had begun.
+    without that row never happened, and running it again overwrites what it had begun. Of tables that only
+    grow (``GROWING``) a round after the first holds what it added, so a row is not written again by each round.
     """
 
-    TABLES = {"raw": RAW_LISTINGS, "listings": LISTINGS, "units": UNITS, "postings": POSTINGS, "jobs": CRAWL_JOBS, "changes": CHANGE_LOG}
+    TABLES = {
+        "raw": RAW_LISTINGS, "listings": LISTINGS, "units": UNITS, "postings": POSTINGS, "jobs": CRAWL_JOBS, "changes": CHANGE_LOG,
+        "newest": NEWEST,
+    }
+    GROWING = ("raw", "listings", "postings")
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root
@@ -107,7 +134,13 @@ class RoundLedger:
         return self.spark.read.schema(f"{ROUND_STATS}, round int").parquet(f"{self.root}/done").orderBy("round").collect()
 
     def read(self, number: int, table: str) -> DataFrame:
-        return self.spark.read.schema(self.TABLES[table]).parquet(f"{self.root}/round={number}/{table}")
+        """A table as a round left it."""
+        first = 1 if table in self.GROWING else number
+        reader = self.spark.read.schema(self.TABLES[table])
+        paths = [f"{self.root}/round={n}/{table}" for n in range(first, number + 1)]
+        if table == "raw" and len(paths) > 1:  # a url that could not be read is fetched again
+            return join_raw(reader.parquet(paths[0]), [reader.parquet(p) for p in paths[1:]])
+        return reader.parquet(*paths)
 
     def registry(self, number: int) -> Registry:
         return Registry(*[self.read(number, t) for t in ("raw", "listings", "units", "postings")])
@@ -118,7 +151,9 @@ class RoundLedger:
         return reduce(DataFrame.unionByName, parts, self.spark.createDataFrame([], CHANGE_LOG))
 
     def save(self, number: int, done: Round) -> None:
-        tables = {**vars(done.registry), "jobs": done.jobs, "changes": done.changes}
+        tables = {**vars(done.registry), "jobs": done.jobs, "changes": done.changes, "newest": done.newest}
+        if number > 1:
+            tables.update({name: getattr(done.added, name) for name in self.GROWING})
         for name, schema in self.TABLES.items():
             columns = [c.split()[0] for c in schema.split(",")]
             tables[name].select(*columns).write.mode("overwrite").parquet(f"{self.root}/round={number}/{name}")
@@ -147,17 +182,20 @@ def fill_registry(
     task = discovered.sparkSession.createDataFrame([("all", "registry")], "source string, query string")
     job = frontier.assign_jobs(task, jobs, frontier.MODE_REGISTRY).first().job_id
     before = registry.units.count()
+    unlinked = not (registry.listings.isEmpty() and registry.postings.isEmpty())
+    newest = None if unlinked else discovered.sparkSession.createDataFrame([], NEWEST)
     while True:
         rounds = ledger.finished()
         if rounds:
-            registry, jobs = ledger.registry(rounds[-1].round), ledger.read(rounds[-1].round, "jobs")
+            registry, jobs, newest = ledger.registry(rounds[-1].round), *[ledger.read(rounds[-1].round, t) for t in ("jobs", "newest")]
         attempted = sum(r.new_urls for r in rounds)
         units = rounds[-1].ending_units if rounds else before
         over = bool(rounds) and not rounds[-1].new_urls
         if over or len(rounds) >= max_rounds or attempted >= max_urls or units >= target:
             break
         done = registry_round(
-            registry, jobs, discovered, fetched, as_of, adapters, attempted=attempted, batch=batch, max_urls=max_urls, target=target
+            registry, jobs, discovered, fetched, as_of, adapters, attempted=attempted, batch=batch, max_urls=max_urls, target=target,
+            newest=newest,
         )
         ledger.save(len(rounds) + 1, done)
     names = ("discovered", "new_urls", "ingested", "errors", "units_added")
