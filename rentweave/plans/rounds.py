@@ -43,7 +43,9 @@ class Round:
 def _ingest(plan: DataFrame, fetched: DataFrame, adapters: Sequence[SourceAdapter]) -> list[IngestBatch]:
     """Batches of the planned urls, one per source."""
     wanted = plan.select("source", F.col("url").alias("source_url")).distinct()
-    got = stage(rows_among(fetched, wanted, ["source", "source_url"]), "fetched")
+    key = ["source", "source_url"]
+    # a round's rows often lie together in the input: spread, else one task parses them all
+    got = stage(rows_among(fetched, wanted, key).repartition(*key), "fetched")
     return [ingest_batch(got.filter(F.col("source") == a.name).drop("source"), a) for a in adapters]
 
 
