@@ -86,6 +86,22 @@ def test_repeat_groups_hold_one_string(spark):
     assert strings and all(len(s) == 1 for s in strings.values())
 
 
+def test_a_repeated_line_is_one_row_of_a_document(spark, monkeypatch):
+    line = "the very common line of them all\n"
+    rows = [(k, f"begin{k} " + line * 300 + f"end{k}") for k in range(6)] + [(9, line * 40), (9, line * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = suffix.occurrences(keyed(docs), 400)
+    assert sum(len(r.starts) for r in seen.collect()) > 1000  # places
+    assert seen.count() < 50  # rows, which were as many as places
+    assert repeats_of(docs, 400) == without_repeats(rows, 400)
+
+    staged = {}
+    monkeypatch.setattr(suffix, "stage", lambda df, name, write=suffix.stage: staged.setdefault(name, write(df, name)))
+    got = Counter((x.doc_id, x.text or "") for x in suffix.cut_repeats(docs, 400, passage=51).collect())
+    assert got == without_passages(rows, 51, 400)
+    assert staged["word_anchors"].count() < 50
+
+
 def test_interval_scan_is_exhaustive():
     r = random.Random(6)
     for _ in range(200):
