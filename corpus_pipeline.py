@@ -60,7 +60,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes what is left and decodes it again: one row per row, a null text as an empty one, very long texts whole."""
     bound_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.token_digests(docs, ranks, public_tokenizers.PATTERN, KEEP_CHUNKS)
+    return bpe.token_digests(docs, ranks, public_tokenizers.PATTERN, KEEP_CHUNKS, lasting=False)
 
 
 STAGES = [

@@ -165,6 +165,11 @@ class DocumentCodec:
         self.known: dict[str, tuple[int, str, bytes]] = {}
         self.before: dict[str, tuple[int, str, bytes]] = {}
 
+    def forget(self) -> None:
+        """Drop what was learned from texts; the ranks stay."""
+        self.known, self.before = {}, {}
+        self.bpe.seams = {}
+
     def tokens(self, text: str) -> list[int]:
         return [t for piece in self.pieces.findall(text) for t in self.bpe.encode(piece.encode())]
 
@@ -214,22 +219,29 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def token_digests(docs: DataFrame, ranks_path: str, pattern: str, keep: int = KEEP_CHUNKS) -> DataFrame:
+def token_digests(
+    docs: DataFrame, ranks_path: str, pattern: str, keep: int = KEEP_CHUNKS, lasting: bool = True
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encode every whole text, decode the ids.
 
     One row per input row, repeated ids included; a null doc_id stays null. No shuffle. ``keep``: encoded
     chunks that a worker holds, about 250 bytes each; it costs memory for time and changes no result.
+    Unless ``lasting``, they go when a task ends, which leaves their memory to the steps after this one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(ranks_path, pattern, keep)
-        for batch in slices(batches):
-            rows = [coder.digest(t or "") for t in batch.column("text").to_pylist()]
-            n, ids, decoded = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for batch in slices(batches):
+                rows = [coder.digest(t or "") for t in batch.column("text").to_pylist()]
+                n, ids, decoded = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:
+            if not lasting:
+                coder.forget()
 
     return only(docs, "doc_id", "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

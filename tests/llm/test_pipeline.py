@@ -7,6 +7,7 @@ import random
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import WORD, groups, plain_bits
 from test_repeats import without_passages
@@ -68,6 +69,17 @@ def one_of_each(rows: list[tuple]) -> list[tuple]:
     return [r for r in rows if group[r[0]] == r[0]]
 
 
+@pytest.mark.parametrize("name, step", corpus_pipeline.STAGES)
+def test_steps_see_small_batches(spark, tmp_path, name, step):
+    rows = fixture(random.Random(2))
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    step(spark, spark.createDataFrame(rows, DDL), str(tmp_path))
+    texts = spark.range(0, 800, 1, 1).selectExpr("repeat(concat('word ', id), 1000) AS text")  # some 6 MB
+    sizes = texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()
+    assert sum(r.n for r in sizes) > 6_000_000 and max(r.n for r in sizes) < 400_000
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_pipeline_equals_its_plain_version(spark, tmp_path, seed):
     import base64

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -72,6 +73,24 @@ def test_document_digests(awkward, tiktoken_encoding, no_documents):
     assert bpe.token_digests(no_documents, RANKS, P.PATTERN).count() == 0
 
 
+def test_tables_go_when_a_task_ends(monkeypatch):
+    runs = []
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+
+    monkeypatch.setattr(bpe, "only", lambda docs, *columns: Docs())
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["thexqzvw river", None]})
+    got = []
+    for lasting in (True, False):
+        bpe.token_digests(None, RANKS, P.PATTERN, lasting=lasting)
+        got.append(list(runs[-1](iter([batch]))))
+        coder = bpe.codec(RANKS, P.PATTERN)
+        assert bool(coder.known) == bool(coder.bpe.seams) == lasting
+    assert got[0] == got[1] and got[0][0].num_rows == 2
+
+
 def test_words_encode_by_themselves():
     from tokenizers import Tokenizer
 
