@@ -16,7 +16,8 @@ are reranked by the exact inner product of the original vectors in double precis
 
 Equal vectors are one candidate with their ``k + 1`` smallest ids, which is all that a
 top-k list with ties to the smaller id can hold of them, so a vector that is repeated
-without end costs no more than one. Leaves are read in blocks of bounded size.
+without end costs no more than one. Leaves are read in blocks of bounded size, and Arrow
+batches hold one pair of blocks, so memory depends neither on the table nor on the walks.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rentweave.llm.common import stage
+from rentweave.llm.common import bound_batches, stage
 
 TREES = 8
 #: Vectors the trees are fitted on, in order of a hash of the vector.
@@ -44,6 +45,8 @@ VISIT = 50
 SMALL = 256
 #: Candidates, and queries, of one leaf that are scored in one block.
 BLOCK = 2_048
+#: Queries whose walks are found at a time, and leaves of theirs that go on in one batch: each takes the query's vector with it.
+QUERIES, REACHED = 64, 8_192
 
 
 @dataclass
@@ -205,6 +208,28 @@ def _lengthened(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.c_[vectors / longest, rest / longest]
 
 
+def reached(forest: Forest, batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """``leaf, query_id, query`` for every leaf that a query's walk comes to, in batches of bounded size.
+
+    A walk may come to thousands of leaves, so neither the rows of a batch of queries nor the sides of its
+    queries, a Python number for each node of the forest, are held at once.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, QUERIES):
+            part = batch.slice(at, QUERIES)
+            v = _vectors(part.column("embedding"), dims)
+            # the component that lengthens the others is 0 here
+            found = [forest.leaves(sides) for sides in forest.sides(v / np.linalg.norm(v, axis=1, keepdims=True))]
+            rows = np.repeat(np.arange(len(v)), [len(f) for f in found])
+            leaf = np.array([l * TREES + t for f in found for t, l in f], np.int64)
+            for start in range(0, len(rows), REACHED):
+                some = pa.array(rows[start : start + REACHED])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf[start : start + REACHED]), part.column("vec_id").take(some), part.column("embedding").take(some)],
+                    ["leaf", "query_id", "query"],
+                )
+
+
 def usable(vector: Column) -> Column:
     """Not null, some component, all of them finite, not all zero."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -220,6 +245,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     have the size that most have; others take no part. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)  # a row of two blocks has about a megabyte, and a batch of many such rows is held four times over
     given = vectors.select(F.col("`vec_id`"), F.col("`embedding`")).where(
         F.col("vec_id").isNotNull() & usable(F.col("embedding"))
     ).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -252,17 +278,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     placed = distinct.mapInArrow(place, f"leaf long, embedding array<{element}>, ids array<long>")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = sent.value
-        for batch in batches:
-            v = _vectors(batch.column("embedding"), dims)
-            # the component that lengthens the others is 0 here
-            found = [forest.leaves(sides) for sides in forest.sides(v / np.linalg.norm(v, axis=1, keepdims=True))]
-            rows = pa.array(np.repeat(np.arange(len(v)), [len(f) for f in found]))
-            leaf = np.array([l * TREES + t for f in found for t, l in f], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf), batch.column("vec_id").take(rows), batch.column("embedding").take(rows)],
-                ["leaf", "query_id", "query"],
-            )
+        return reached(sent.value, batches, dims)
 
     asked = given.where(is_query).mapInArrow(ask, f"leaf long, query_id long, query array<{element}>")
     asked = stage(asked, "asked")

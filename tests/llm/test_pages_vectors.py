@@ -10,6 +10,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,31 @@ def test_clustered_vectors_need_few_leaves():
     assert every.reach > 0.4 * 2000
 
 
+def test_walks_go_on_in_bounded_batches():
+    r = np.random.default_rng(7)
+    sample = ann._lengthened(r.normal(size=(3000, 16)), 9.0)
+    forest = ann.Forest([ann.fit_tree(sample, seed, ann.FINE_LEAF) for seed in range(ann.TREES)], len(sample), 1500)
+    v = r.normal(size=(900, 16)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(900)), pa.ListArray.from_arrays(pa.array(np.arange(0, 900 * 16 + 1, 16), pa.int32()), pa.array(v.reshape(-1)))],
+        ["vec_id", "embedding"],
+    )
+    got = list(ann.reached(forest, iter([batch]), 16))
+    assert max(b.num_rows for b in got) <= ann.REACHED and len(got) > 900 // ann.QUERIES
+    unit = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    want = [(l * ann.TREES + t, i) for i, sides in enumerate(forest.sides(unit)) for t, l in forest.leaves(sides)]
+    assert [(x, i) for b in got for x, i in zip(b.column("leaf").to_pylist(), b.column("query_id").to_pylist())] == want
+    vectors = [q for b in got[:2] for q in b.column("query").to_pylist()]
+    assert vectors == [v[i].tolist() for _, i in want[: len(vectors)]]
+
+
+def test_blocks_go_to_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    rows = [(i, [float(i), 1.0]) for i in range(40)]
+    ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 3)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "256k"
+
+
 def test_recall(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(4000, 32)) * rng.uniform(0.5, 2, size=(4000, 1))
