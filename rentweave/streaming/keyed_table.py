@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import column_types
+from ..session import dropping_shuffle_files
 
 
 class KeyedTable:
@@ -64,8 +65,10 @@ class KeyedTable:
         before = self.live(batch - 1)
         if hit:
             merged = apply(self.read(batch - 1, hit), rows).select(*self._types).withColumn("bucket", self.bucket())
-            # as many tasks per bucket as its size asks for
-            merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
+            # as many tasks per bucket as its size asks for; ids are hex digits, which only an entropy coder shrinks
+            writer = merged.hint("rebalance", "bucket").write.mode("overwrite").option("compression", "zstd")
+            with dropping_shuffle_files(merged.sparkSession):
+                writer.partitionBy("bucket").parquet(f"{self.root}/data/batch={batch}")
         now = sorted((before | dict.fromkeys(hit, batch)).items())
         listed = self.spark.createDataFrame(now, "bucket int, written int")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/live/batch={batch}")

@@ -11,7 +11,7 @@ from ..operators.ingest import ingest_batch
 from ..operators.merge import LISTING_KEY, keyed_upsert, upsert_links, upsert_listings, upsert_raw
 from ..plans.run import arrival_changes
 from ..schemas import CHANGE_LOG, LISTINGS, PAGES, POSTINGS, RAW_LISTINGS, UNITS
-from ..session import stage
+from ..session import dropping_shuffle_files, dropping_stages, stage
 from ..sources.adapters import SourceAdapter
 from ..sources.intake import accepted, check_pages, quarantined
 from .keyed_table import KeyedTable
@@ -36,7 +36,8 @@ class RegistryFolder:
         return self.tables[table].read(batch)
 
     def write_batch(self, name: str, batch: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
+        with dropping_shuffle_files(df.sparkSession):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}/batch={batch}")
 
     def changes(self) -> DataFrame:
         return self.spark.read.schema(CHANGE_LOG).parquet(f"{self.root}/changes/*")
@@ -59,9 +60,14 @@ def import_pages(
 
     A batch is dated by its newest page, so a batch that runs again writes the same rows. It reads
     the compared columns of all units, and rewrites the key folders its own urls, units and links are in.
+    What it stages on the way goes when it ends, so that the registry's own tables are all that a batch leaves.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
+        with dropping_stages(registry.spark):
+            load(batch, epoch)
+
+    def load(batch: DataFrame, epoch: int) -> None:
         # one reading of the batch and one time for all its tables
         checked = stage(check_pages(batch), "checked")
         newest = checked.agg(F.max("fetched_at").alias("at")).first()["at"]

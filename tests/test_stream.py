@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 
 from rentweave.operators.merge import keyed_upsert
 from rentweave.schemas import PAGES
+from rentweave.session import dropping_stages, stage
 from rentweave.sources.adapters import SourceRegistry
 from rentweave.streaming.keyed_table import KeyedTable
 from rentweave.streaming.page_import import RegistryFolder, import_pages, read_landing, stream_first_last_seen
@@ -110,6 +112,24 @@ def test_replayed_batch_changes_nothing(spark, tmp_path, monkeypatch):
     assert all(1 <= len(n) <= 2 for n in rewritten.values())
 
 
+def test_batch_leaves_only_the_registry(spark, tmp_path):
+    """What a batch stages on the way goes with it, whether it ends well or not; tables are zstd."""
+    staged = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).iterdir()}
+    landing, registry = tmp_path / "landing", RegistryFolder(spark, str(tmp_path / "registry"), buckets=4)
+    (adapter,) = SourceRegistry().route("building_pages")
+    land(spark, landing, [(f"https://h/{i}", 200, page(f"{i}A", 1000 + i, f"-73.{i:02}"), T0) for i in range(10, 20)])
+    before = staged()
+    drain(import_pages(read_landing(spark, str(landing)), registry, adapter, str(tmp_path / "checkpoint")).start())
+    assert staged() == before and registry.read("postings", 0).count() == 10
+    assert all(p.name.endswith(".zstd.parquet") for p in (tmp_path / "registry" / "raw" / "data").rglob("*.parquet"))
+    with pytest.raises(ValueError), dropping_stages(spark):
+        assert stage(spark.range(3), "lost").count() == 3 and staged() != before
+        raise ValueError
+    assert staged() == before
+    kept = stage(spark.range(3), "kept")
+    assert kept.count() == 3
+
+
 def test_first_last_seen_stream_equals_batch(spark, tmp_path):
     from rentweave.operators.history import first_last_seen
 
